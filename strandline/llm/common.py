@@ -67,3 +67,10 @@ def annotate(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), compute(batch)], [*kept, name])
 
     return df.mapInArrow(run, schema)
+
+
+def at_most(df: DataFrame, count: str, limit: int) -> int | None:
+    """The smallest value of ``count`` that at most ``limit`` rows of df reach; None if even the largest has more."""
+    levels = df.groupBy(count).agg(F.count("*").alias("n")).orderBy(F.desc(count)).toPandas()
+    fits = levels[levels["n"].cumsum() <= limit]
+    return None if fits.empty else int(fits[count].min())

@@ -25,12 +25,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import at_most, saved
 from .components import connected_components
 from .textkit import runs, shingle_sets
 
@@ -87,11 +86,10 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
 def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts; at most FREQUENT of them."""
     counts = saved(profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "shingle-counts")
-    levels = counts.groupBy("seen").count().orderBy(F.desc("seen")).toPandas()
-    fits = levels[levels["count"].cumsum() <= FREQUENT]
-    if fits.empty:
+    least = at_most(counts, "seen", FREQUENT)
+    if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counts.where(F.col("seen") >= int(fits["seen"].min())).toPandas()
+    got = counts.where(F.col("seen") >= least).toPandas()
     token = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], got["seen"].to_numpy(np.int64)[order]
