@@ -58,6 +58,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_documents(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated_strings
+
+    return remove_repeated_strings(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
