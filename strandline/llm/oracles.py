@@ -23,9 +23,9 @@ from d left join hits using (doc_id) left join items using (doc_id)
 """
 
 ORACLES["op4_embedding_dedup"] = """
-with v as (select vec_id, label, list_transform(embedding, x -> cast(x as double)) e from embeddings
-           where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-             and len(list_filter(embedding, x -> x <> 0)) > 0),
+with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+           where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
       where list_cosine_similarity(a.e, b.e) >= 0.93),
 r as (with recursive t(a, b) as (select a, b from l union select t.a, l.b from t join l on t.b = l.a) select a, min(b) m from t group by a)
@@ -96,16 +96,16 @@ ORACLES["op10_line_dedup"] = r"""
 with l as (select doc_id, string_split(text, chr(10)) ls from documents),
 u as (select doc_id, no, ls[no] line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) no from l)),
 e as (select doc_id, no, line from u where length(line) >= 16 and trim(line, ' ') <> ''),
-f as (select line, min((doc_id, no)) at from e group by line),
-w as (select line, at, string_split(line, ' ') w from f where len(string_split(line, ' ')) >= 10),
-v as (select line, at, len(w) n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') s from (select line, at, w, unnest(range(1, len(w) + 1)) i from w)),
-near as (select a.line, b.at from v a join v b on a.s = b.s and a.n = b.n and a.i = b.i and a.line <> b.line
-         union all select a.line, b.at from v a join w b on a.s = array_to_string(b.w, ' ')
-         union all select b.line, a.at from v a join w b on a.s = array_to_string(b.w, ' ')),
-c as (select line, min(at) at from (select * from f union all select * from near) group by line),
-g as (select doc_id, list(no) gone from e join c using (line) where (doc_id, no) > at group by doc_id),
+f as (select line, min((doc_id, no)) pos from e group by line),
+w as (select line, pos, string_split(line, ' ') w from f where len(string_split(line, ' ')) >= 10),
+v as (select line, pos, len(w) n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') s from (select line, pos, w, unnest(range(1, len(w) + 1)) i from w)),
+near as (select a.line, b.pos from v a join v b on a.s = b.s and a.n = b.n and a.i = b.i and a.line <> b.line
+         union all select a.line, b.pos from v a join w b on a.s = array_to_string(b.w, ' ')
+         union all select b.line, a.pos from v a join w b on a.s = array_to_string(b.w, ' ')),
+c as (select line, min(pos) pos from (select * from f union all select * from near) group by line),
+g as (select doc_id, list(no) gone from e join c using (line) where (doc_id, no) > pos group by doc_id),
 k as (select doc_id, ls, coalesce(gone, []) gone from l left join g using (doc_id))
 select doc_id, cast(coalesce(len(ls), 0) as bigint) n_lines, cast(len(gone) as bigint) n_removed,
-       sha256(coalesce(array_to_string(list_filter(ls, (x, i) -> not list_contains(gone, i)), chr(10)), '')) kept_sha256
+       sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: not list_contains(gone, i)), chr(10)), '')) kept_sha256
 from k
 """
