@@ -12,7 +12,7 @@ documents are counted, summed over all runs, and the most frequent of them (at
 most ``FREQUENT``, the bound of the broadcast) sort behind all others by their
 count. Equal sets are one document for the join. Groups of near copies cost
 their size and not its square: a posting list first links its documents with
-one leader; pairs are only sought further between different components.
+leaders; pairs are only sought further between different components.
 
 Defined cases: a null or empty text has no shingles and links with nothing. A
 text of fewer words than a shingle is one shingle. Rows without id are returned
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at_most, saved
@@ -40,6 +40,8 @@ BROADCAST_ROWS = 500_000
 #: Shingles counted together before those seen once are left out.
 COUNTED = 1 << 22
 MOST_MATCHES = 8
+#: Rounds that link documents by the leaders of their lists before pairs between components are sought.
+LEADER_ROUNDS = 2
 #: Comparisons of sizes to the cost of one posting.
 VERIFY_COST = 20.0
 
@@ -138,8 +140,8 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int,
     return docs.select("doc_id", "text").mapInArrow(run, "token long, doc long, n int, need int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc, s): the shingles of wanted documents."""
+def _sets(rows: DataFrame, ids: list[str], k: int) -> DataFrame:
+    """The id columns of rows and s, the shingles of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,10 +149,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part.column("text"), k)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _long(values))], ["doc", "s"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ids), pa.ListArray.from_arrays(pa.array(ends), _long(values))], [*ids, "s"])
 
-    chosen = docs.select("doc_id", "text").join(wanted.toDF("doc_id"), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc long, s array<long>")
+    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", s array<long>")
 
 
 def _fits(na: Column, nb: Column, percent: int) -> Column:
@@ -158,13 +159,37 @@ def _fits(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, checked on whole sets."""
+    """The pairs (a, b) whose sets are similar enough, checked on whole sets.
+
+    A pair takes b's set to the place of a, so the few leaders' sets move once.
+    """
     pairs = saved(pairs.select("a", "b"), "candidates")
-    wanted = saved(pairs.select("a").union(pairs.select("b")).distinct(), "candidate-docs")
-    sets = saved(_sets(docs, _bounded(wanted), k).dropDuplicates(["doc"]), "candidate-sets")
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
+    leaders = saved(pairs.select(F.col("a").alias("doc_id")).distinct(), "candidate-leaders")
+    texts = docs.select("doc_id", "text")
+    members = _sets(texts.join(_bounded(pairs), F.col("doc_id") == F.col("b")), ["a", "b"], k)
+    heads = _sets(texts.join(_bounded(leaders), "doc_id", "left_semi"), ["doc_id"], k).toDF("a", "head")
+    common = F.size(F.array_intersect("s", "head"))
+    return members.join(heads, "a").where(common * 100 >= (F.size("s") + F.size("head") - common) * percent).select("a", "b")
+
+
+def _led(placed: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Candidates (a, b): each document b with the two leaders of other components that most of its lists share.
+
+    A list's leader is its document of smallest salted hash, so lists with the same documents mostly have the same one.
+    """
+    leader = F.min(F.struct(F.xxhash64(F.lit(salt), "doc").alias("h"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")))
+    mixed = placed.groupBy("token").agg(leader.alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token", "l.*")
+    met = placed.join(_bounded(saved(mixed, "leaders")), "token").where((F.col("c") != F.col("ca")) & _fits(F.col("na"), F.col("n"), percent))
+    counted = met.groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("m"))
+    best = Window.partitionBy("b").orderBy(F.desc("m"), "a")
+    return counted.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
+
+
+def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """shared with c, the component so far of its document."""
+    hops = connected_components(links)
+    placed = shared.join(hops, F.col("doc") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "doc").alias("c"))
+    return saved(placed, "placed-postings")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -173,6 +198,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[D
     The profile has doc_id, n and rep: the smallest id with an equal set. Links (a, b)
     join representatives; their components are those of the full similarity graph.
     """
+    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     profile = saved(_profile(docs, k), "shingles")
     members = profile.where("token is null").select("doc_id", "n", "fp")
     reps = members.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -180,25 +206,23 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[D
     frequent = _frequent(profile)
     chosen = _bounded(reps.select(F.col("rep").alias("doc")))
     postings = saved(_postings(docs, frequent, k, percent).join(chosen, "doc", "left_semi"), "postings")
-    leaders = postings.groupBy("token").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader != last").select("token", "leader")
-    leaders = saved(leaders, "leaders")
-    shared = saved(postings.join(_bounded(leaders), "token"), "shared-postings")
-
-    sizes = shared.select("doc", "n").distinct()
-    led = shared.where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"), "n").distinct()
-    led = led.join(sizes.toDF("a", "na"), "a").where(_fits(F.col("na"), F.col("n"), percent))
-    links = saved(_verified(docs, led, k, percent), "links")
-    hops = saved(connected_components(links), "first-components")
-
-    placed = shared.join(hops, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "need", F.coalesce("component", "doc").alias("c"))
-    placed = saved(placed, "placed-postings")
+    # half of a token's bits tell most lists of one document from the others, at a fraction of the bytes
+    half = F.call_function("shiftright", F.col("token"), F.lit(32)).cast("int")
+    several = saved(postings.groupBy(half.alias("half")).count().where("count > 1").select("half"), "several")
+    several = F.broadcast(several) if several.count() <= 4 * BROADCAST_ROWS else several
+    shared = saved(postings.withColumn("half", half).join(several, "half", "left_semi").drop("half"), "shared-postings")
+
+    placed, links = shared.withColumn("c", F.col("doc")), None
+    for salt in range(LEADER_ROUNDS):
+        more = saved(_verified(docs, _led(placed, salt, percent), k, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        placed = _placed(shared, links)
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
     open_lists = saved(placed.join(_bounded(saved(mixed, "mixed-lists")), "token", "left_semi"), "open-postings")
     left, right = (open_lists.select("token", *[F.col(c).alias(c + s) for c in ("doc", "n", "need", "c")]) for s in "ab")
     more = left.join(right, "token").where((F.col("doca") < F.col("docb")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent))
     more = more.groupBy(F.col("doca").alias("a"), F.col("docb").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("needa", "needb")).alias("need"))
-    more = more.where("m >= need").join(led.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(saved(_verified(docs, more, k, percent), "more-links"))
+    links = links.unionByName(saved(_verified(docs, more.where("m >= need"), k, percent), "more-links"))
     full = members.join(reps, "fp", "left").select("doc_id", "n", "rep")
     return full, links
 
