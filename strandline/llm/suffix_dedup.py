@@ -39,8 +39,10 @@ GRAM = 20
 FLUSH = 32 << 20
 #: Longest stretch of one text handled at once; also keeps places within 24 bits.
 SEGMENT = 8 << 20
-#: Most anchors in a broadcast filter (32 MB); beyond it the filter is a join.
-FILTER_ROWS = 4_000_000
+#: Bits of the broadcast anchor filter (16 MB), each for one remainder of a key. It lets some unique
+#: anchors through, which the search then leaves out; with many more anchors a join filters as well.
+FILTER_BITS = 1 << 27
+FILTER_ROWS = FILTER_BITS >> 3
 BROADCAST_ROWS = 300_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -136,20 +138,36 @@ def _common_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, keys binary").groupBy("bucket").applyInArrow(several, "key long")
 
 
+def _filter(anchors: DataFrame) -> np.ndarray:
+    """The bitmap of the anchors' keys, made in blocks by tasks."""
+    width = FILTER_BITS >> 8
+
+    def block(key, table):
+        bits = np.zeros(width, np.uint8)
+        bits[table["bit"].to_numpy() % width] = 1
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    bit = F.pmod("key", F.lit(FILTER_BITS)).alias("bit")
+    keyed = anchors.select(bit).distinct().withColumn("block", F.floor(F.col("bit") / width))
+    out = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for r in keyed.groupBy("block").applyInArrow(block, "block long, bits binary").collect():
+        out[r["block"] * (width >> 3) : (r["block"] + 1) * (width >> 3)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """(key, doc_id, start, content) of every stretch whose anchor is common."""
-    spark = docs.sparkSession
-    small = anchors.count() <= FILTER_ROWS
-    keys = spark.sparkContext.broadcast(np.sort(anchors.toPandas()["key"].to_numpy(np.int64)) if small else None)
+    few = anchors.count() <= FILTER_ROWS
+    seen = docs.sparkSession.sparkContext.broadcast(_filter(anchors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = keys.value
+        known = seen.value
         for batch in batches:
             for data, offsets, ids, place in _parts(batch, length):
                 key, row, begin, count = stretches(data, offsets, length)
-                if known is not None:
-                    common = known[np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))] == key if len(known) else np.zeros(len(key), bool)
-                    key, row, begin, count = key[common], row[common], begin[common], count[common]
+                bit = key % FILTER_BITS
+                common = (known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                key, row, begin, count = key[common], row[common], begin[common], count[common]
                 size = count + length - 1
                 ends = np.cumsum(size)
                 flat = data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
@@ -161,7 +179,7 @@ def _occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), content], ["key", "doc_id", "start", "content"])
 
     made = docs.mapInArrow(run, "key long, doc_id long, start long, content binary")
-    return made if small else made.join(anchors, "key", "left_semi")
+    return made if few else made.join(anchors, "key", "left_semi")
 
 
 def suffix_order(s: np.ndarray, reach: int, covered: int = 1) -> np.ndarray:
