@@ -40,7 +40,7 @@ def loo_group_mean(df: DataFrame, group: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(*group)
     n = F.count(value).over(w)
     mean = (F.sum(value).over(w) - F.col(value)) / F.nullif(n - 1, F.lit(0))
-    return df.withColumn("loo_group_mean", F.coalesce(F.round(mean, 6), F.lit(0.0)))
+    return df.withColumn("loo_group_mean", F.coalesce(mean, F.lit(0.0)))
 
 
 def weighted_merge(df: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
