@@ -64,7 +64,7 @@ h as (select host, count(bad) n, coalesce(sum(bad), 0) k,
       from p left join o using (page_id) group by host),
 hd as (select *, case when length(host) <= length(suffix) + 1 then host
                       else split_part(substr(host, 1, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix end domain from h),
-s0 as (select suffix, sum(n) n, sum(k) k, (select (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) from hd) m from hd group by suffix),
+s0 as (select suffix, sum(n) n, sum(k) k, (select case when sum(n) > 0 then (sum(k) + 0.5) / (sum(n) + 1.0) else 0 end from hd) m from hd group by suffix),
 s1 as (select suffix, (k + s * m) / (n + s) m from s0, {_strength("s0")}),
 d0 as (select domain, suffix, sum(n) n, sum(k) k, any_value(s1.m) m from hd join s1 using (suffix) group by domain, suffix),
 d1 as (select domain, (k + s * m) / (n + s) m from d0, {_strength("d0")}),

@@ -113,7 +113,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     )
     hosts = saved(hosts, "hosts")
     sums = [F.sum("_n").alias("_n"), F.sum("_k").alias("_k")]
-    top = hosts.agg(((F.coalesce(F.sum("_k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("_n"), F.lit(0)) + 1)).alias("_m"))
+    share = (F.sum("_k") + 0.5) / (F.sum("_n") + 1)
+    top = hosts.agg(F.when(F.sum("_n") > 0, share).otherwise(0.0).alias("_m"))  # without labels nothing is bad
 
     def shrunk(groups: DataFrame, key: str) -> DataFrame:
         s = _strength(groups)  # one row, as is top: joining them to each group is a projection
