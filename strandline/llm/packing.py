@@ -18,12 +18,12 @@ packed one by one. Sequence ids are unique: the partition's number and a counter
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,25 +33,29 @@ from .textkit import text_buffer
 GROUP_WINDOWS = 64
 #: Most words remembered by a task, about 100 MB.
 REMEMBERED = 400_000
-
-#: How the word tokenizer's own definition splits text.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts that its normaliser only lower-cases.
-_PLAIN = regex.compile(r"[\x21-\x7e¡-ÿ]+")
+#: New words encoded in one call.
+CHUNK = 8192
+#: A plain letter before plain punctuation: the tokenizer parts them, so white space between them changes nothing.
+_MARKS = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 
 
 class WordTokenizer:
-    """Encodes with a word-end BPE tokenizer, remembering white-space separated words and their parts."""
+    """Encodes with a lower-casing tokenizer that drops white space, remembering white-space separated words.
+
+    New words are encoded together in one text, a special token of the tokenizer between
+    them: it ends normalisation and merges just as white space does, and its id tells the words apart.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        special = {i: t for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)}
+        self.cut_id = min(special)
+        self.cut = special[self.cut_id].content
+        self.cut_bytes = self.cut.encode()
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -59,45 +63,38 @@ class WordTokenizer:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Encodes new parts in one text; ids that end a word tell them apart."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(parts):
-            for p, x in zip(parts, np.split(ids, cuts[:-1]), strict=True):
-                self.parts[p] = x.tolist()
-        else:
-            for p in parts:
-                self.parts[p] = self.tokenizer.encode(p, add_special_tokens=False).ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _remember(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        k = len(self.words)
+        while k + len(words) > len(self.starts):
+            self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, self.flat * 0)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[k : k + len(words)] = starts + self.used
+        self.sizes[k : k + len(words)] = ends - starts
+        self.used += len(ids)
+        self.words.update(zip(words, range(k, k + len(words)), strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
-        split, fresh = {}, {}
-        for w in new:
-            text = w.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                split[w] = _PARTS.findall(text.lower())
-                fresh.update((p, None) for p in split[w] if p not in self.parts)
-        if len(self.parts) + len(fresh) > REMEMBERED:
-            self.parts.clear()
-            fresh = {p: None for ps in split.values() for p in ps}
-        if fresh:
-            self._encode_parts(list(fresh))
-        for w in new:
-            if w in split:
-                ids = [i for p in split[w] for i in self.parts[p]]
-            else:
-                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-            k = len(self.words)
-            if k == len(self.starts):
-                self.starts, self.sizes = np.append(self.starts, self.starts * 0), np.append(self.sizes, self.sizes * 0)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, self.flat * 0)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.words[w] = k
+        together = [w for w in new if self.cut_bytes not in w]
+        for i in range(0, len(together), CHUNK):
+            words = together[i : i + CHUNK]
+            ids = self._ids(b"".join(w + self.cut_bytes for w in words).decode())
+            ends = np.flatnonzero(ids == self.cut_id)
+            self._remember(words, ids, np.append(0, ends[:-1] + 1), ends)
+        if len(together) < len(new):
+            for w in new:
+                if self.cut_bytes in w:
+                    ids = self._ids(w.decode())
+                    self._remember([w], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
     def encode(self, text: bytes) -> np.ndarray:
+        lower = text.lower()
+        if not any(t in lower for t in self.special):
+            text = _MARKS.sub(rb"\1 \2", lower)  # fewer different words to encode
         words = text.split()
         if len(self.words) > REMEMBERED:
             self._clear()
