@@ -32,6 +32,8 @@ from .common import saved
 #: Rows of a side that is broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 300_000
 LAST = (1 << 63) - 1
+#: Words whose sums are kept together, so that a variant of a long line needs few steps.
+SUM_BLOCK = 64
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -70,6 +72,57 @@ def _halves(words: Column) -> Column:
     return F.array(head(k), tail(k), F.when(even, tail(k - 1)).otherwise(head(k + 1)))
 
 
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
+def _with_sums(lines: DataFrame) -> DataFrame:
+    """Adds sums (by xor) from which each variant's key follows without reading the words again.
+
+    _here: hash of each word and its place; _all: their sum. _shift: what a word
+    adds when it moves one place down; _blocks: sums of these by SUM_BLOCK words.
+    The caller saves the result, so that each array is computed once a line.
+    """
+    words = F.split("line", " ")
+
+    def moved(w: Column, j: Column) -> Column:
+        return F.xxhash64(w, j).bitwiseXOR(F.xxhash64(w, j - 1))
+
+    here = F.transform(words, lambda w, j: F.xxhash64(w, j))
+    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(SUM_BLOCK))
+    blocks = F.transform(starts, lambda s: _xor(F.transform(F.slice(words, s + 1, SUM_BLOCK), lambda w, j: moved(w, j + s))))
+    return lines.select(
+        "*", F.size(words).alias("n"), here.alias("_here"), _xor(here).alias("_all"), F.transform(words, moved).alias("_shift"), blocks.alias("_blocks")
+    )
+
+
+def _variants(chosen: DataFrame) -> DataFrame:
+    """(_h, _g, pos, i, kind, key): every line without its i-th word, replaced (r) or deleted (d), and whole (w)."""
+    k = F.floor(F.col("n") / 2).cast("int")
+    # a shared first half leaves edits behind it, a shared last half edits before it
+    low = F.when(F.col("by_head") & F.col("by_both"), k).otherwise(F.lit(1))
+    high = F.when(F.col("by_head"), F.col("n")).otherwise(F.col("n") - k + 1)
+    places = F.sequence(F.greatest(low, F.lit(1)), F.least(high, F.col("n")))
+
+    def item(kind: str, i: Column, key: Column) -> Column:
+        return F.struct(i.alias("i"), F.lit(kind).alias("kind"), key.alias("key"))
+
+    def without(i: Column) -> Column:
+        return F.col("_all").bitwiseXOR(F.get("_here", i - 1))
+
+    def shifted(i: Column) -> Column:
+        """What moving the words behind place i adds: the rest of its block, then whole blocks."""
+        block = F.floor(i / SUM_BLOCK).cast("int")
+        rest = F.slice("_shift", i + 1, (block + 1) * SUM_BLOCK - i)
+        later = F.slice("_blocks", block + 2, F.size("_blocks"))
+        return _xor(rest).bitwiseXOR(_xor(later))
+
+    replaced = F.transform(places, lambda i: item("r", i, F.xxhash64(F.lit("r"), "n", i, without(i))))
+    shorter = F.transform(places, lambda i: item("d", i, F.xxhash64(F.lit("d"), F.col("n") - 1, without(i).bitwiseXOR(shifted(i)))))
+    whole = F.array(item("w", F.lit(0), F.xxhash64(F.lit("d"), "n", "_all")))
+    return chosen.select("_h", "_g", "pos", F.inline(F.concat(replaced, shorter, whole)))
+
+
 def _near_cuts(lines: DataFrame, min_words: int) -> DataFrame:
     """(_h, _g, cut): for lines within one edit of another line, the earliest place of such a line."""
     worded = lines.select("pos", "_h", "_g", "line", F.split("line", " ").alias("_w")).where(F.size("_w") >= min_words)
@@ -83,26 +136,15 @@ def _near_cuts(lines: DataFrame, min_words: int) -> DataFrame:
         .groupBy("_h", "_g")
         .agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.max("head").alias("by_head"), F.min("head").alias("by_both"))
     )
-    chosen = saved(chosen, "line-candidates").withColumn("_w", F.split("line", " ")).withColumn("n", F.size("_w"))
-    k = F.floor(F.col("n") / 2).cast("int")
-    # a shared first half leaves edits behind it, a shared last half edits before it
-    low = F.when(F.col("by_head") & F.col("by_both"), k).otherwise(F.lit(1))
-    high = F.when(F.col("by_head"), F.col("n")).otherwise(F.col("n") - k + 1)
-    numbered = chosen.select("_h", "_g", "pos", "_w", "n", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.least(high, F.col("n")))).alias("i"))
-    before, after = _slice(F.col("_w"), 1, F.col("i") - 1), _slice(F.col("_w"), F.col("i") + 1, F.col("n") - F.col("i"))
-    replaced = numbered.select("_h", "_g", "pos", "i", F.lit("r").alias("kind"), F.xxhash64(F.lit("r"), "n", "i", before, after).alias("key"))
-    shorter = numbered.select("_h", "_g", "pos", "i", F.lit("d").alias("kind"), F.xxhash64(F.lit("d"), before, after).alias("key"))
-    whole = chosen.select("_h", "_g", "pos", F.lit(0).alias("i"), F.lit("w").alias("kind"), F.xxhash64(F.lit("d"), "_w").alias("key"))
-    variants = replaced.unionByName(shorter).unionByName(whole)
+    chosen = saved(_with_sums(chosen), "line-candidates").withColumn("_w", F.split("line", " "))
+    variants = _variants(chosen)
+    shared = variants.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo != hi").select("key")
+    variants = saved(variants.join(_small(saved(shared, "line-shared")), "key"), "line-variants")
     first = F.struct("pos", "_h", "_g", "i")
     groups = variants.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == "w", first)).alias("full"),
-        F.min(F.when(F.col("kind") != "w", first)).alias("cut_out"),
-        F.min("_h").alias("lo"),
-        F.max("_h").alias("hi"),
+        F.min(F.when(F.col("kind") == "w", first)).alias("full"), F.min(F.when(F.col("kind") != "w", first)).alias("cut_out")
     )
-    groups = groups.where("lo != hi").drop("lo", "hi")
-    groups = _small(saved(groups, "line-variants"))
+    groups = _small(saved(groups, "line-groups"))
     # a replaced line meets replaced ones, a shortened line full ones, a full line shortened ones
     other = F.when(F.col("kind") == "d", F.col("full")).otherwise(F.col("cut_out"))
     pairs = variants.join(groups, "key").select("_h", "_g", "i", "kind", "pos", other.alias("o")).where("o is not null and o.pos < pos")
