@@ -116,3 +116,26 @@ def paired_comparison(obs: DataFrame, a: str, b: str, folds: int) -> dict[str, f
         out["p_naive"] = t_two_sided(mean / math.sqrt(var / n), n - 1)
         out["p_corrected"] = t_two_sided(mean / math.sqrt(var * (1 / n + 1 / (folds - 1))), n - 1)
     return out
+
+
+def hit_expectation(n: Column, positives: Column, k: int) -> Column:
+    """Chance that k of n rows drawn without return hold a positive: 1 - C(n - p, k) / C(n, k); 1 where fewer than k are negative."""
+    missed = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda acc, i: acc * (n - positives - i) / F.greatest(n - i, F.lit(1)))
+    return F.when(n - positives < k, F.lit(1.0)).otherwise(1 - missed)
+
+
+def interpolate(curve: DataFrame, keys: list[str], x: str, y: str, points: int = 201) -> DataFrame:
+    """The piecewise linear curve of each group at ``points`` even places of [0, 1]; flat beyond its ends.
+
+    ``curve`` holds one row per key and x, of a bounded number (a threshold sweep).
+    """
+    grid = curve.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i"))
+    grid = grid.select(*keys, (F.col("_i") / F.lit(float(points - 1))).alias(x), F.lit(None).cast("double").alias(y), F.col("_i").alias("step"))
+    every = curve.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), F.lit(None).cast("int").alias("step")).unionByName(grid)
+    up = Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    known = F.when(F.col(y).isNotNull(), F.col(x))
+    sided = every.select(*keys, x, "step", F.max(known).over(up).alias("_x0"), F.min(known).over(down).alias("_x1"),
+                         F.max_by(y, known).over(up).alias("_y0"), F.min_by(y, known).over(down).alias("_y1"))
+    between = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(x) - F.col("_x0")) / F.nullif(F.col("_x1") - F.col("_x0"), F.lit(0.0))
+    return sided.where("step is not null").select(*keys, "step", F.coalesce(between, "_y0", "_y1").alias(y))

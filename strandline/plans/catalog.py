@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import models as X
 from ..operators import resample as R
 from ..operators import windows as W
 from ..sources import sinks as K
@@ -723,3 +724,97 @@ def session_gaps(spark, d):
     g = sites(spark, d).withColumn("b", F.lag("p").over(w))
     k = F.sum(F.when(F.col("b").isNull() | (F.col("p") - F.col("b") > 43200), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumn("k", k).groupBy("u", "k").agg(F.min("p").alias("started"), F.max("p").alias("ended"), F.count(F.lit(1)).alias("n")).drop("k")
+
+
+# --- models and their evaluation -----------------------------------------------
+
+
+TRAITS = ["size", "spaces", "digits", "lines"]
+
+
+def traits(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, y and four measures of the text) for labelled documents."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    docs = table(spark, d, "documents").select(
+        "doc_id", "source", F.log1p(n).alias("size"), (F.regexp_count("text", F.lit(" ")) / n).alias("spaces"),
+        (F.regexp_count("text", F.lit("[0-9]")) / n).alias("digits"), (F.regexp_count("text", F.lit("\n")) / n).alias("lines"),
+    )
+    return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+
+
+def thirds(df: DataFrame) -> DataFrame:
+    """df with a group of rows that stands for a gene."""
+    return df.withColumn("g", F.floor(F.col("doc_id") / 7))
+
+
+@query()
+def model_logistic(spark, d):
+    df = traits(spark, d)
+    return X.score(df, X.fit(df, TRAITS, "y", "logistic"), TRAITS).select("doc_id", "y", F.round("score", 6).alias("score"))
+
+
+@query()
+def model_mlp(spark, d):
+    df = traits(spark, d)
+    return X.score(df, X.fit(df, TRAITS, "y", "mlp"), TRAITS).select("doc_id", "y", F.round("score", 6).alias("score"))
+
+
+@query()
+def model_boosted_calibrated(spark, d):
+    return X.calibrated(thirds(traits(spark, d)), TRAITS, "y", "g").select("doc_id", "y", F.round("score", 6).alias("score"))
+
+
+@query()
+def model_cross_fit(spark, d):
+    return X.cross_fit(thirds(traits(spark, d)), TRAITS, "y", "g").select("doc_id", "y", "_fold", F.round("score", 6).alias("score"))
+
+
+PARTS_BY_FLAG = """a as (select l_partkey k, avg(l_quantity) x, max(cast(l_discount > 0.05 as int)) y from lineitem where l_returnflag = 'A' group by 1),
+b as (select l_partkey k, avg(l_quantity) x, max(cast(l_discount > 0.05 as int)) y from lineitem where l_returnflag = 'R' group by 1)"""
+
+
+def parts_by_flag(spark: SparkSession, d: str, flag: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
+    return li.groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("x"), F.max((F.col("l_discount") > 0.05).cast("int")).alias("y"))
+
+
+@query(f"""with {PARTS_BY_FLAG}
+select k, round(a.x, 6) x, 'a' origin, case when b.k is null then 1.0::double else 0.5::double end weight, a.y from a left join b using (k)
+union all select k, round(b.x, 6), 'b', case when a.k is null then 1.0::double else 0.5::double end, b.y from b left join a using (k)""")
+def cross_source_pooled(spark, d):
+    return rounded(X.cross_source_rows(parts_by_flag(spark, d, "A"), parts_by_flag(spark, d, "R"), "k", "y"), "x")
+
+
+@query(f"""with {PARTS_BY_FLAG}, f as (select k, x, 'a' origin from a union all select k, x, 'b' from b), l as (select k, y from a union all select k, y from b),
+n as (select k, count(*) n from l group by 1)
+select k, round(x, 6) x, origin, case when n = 2 then 0.25::double else 1.0::double end weight, y from f join l using (k) join n using (k)""")
+def cross_source_pooled_both(spark, d):
+    return rounded(X.cross_source_rows(parts_by_flag(spark, d, "A"), parts_by_flag(spark, d, "R"), "k", "y", both=True), "x")
+
+
+@query("""with s as (select l_discount f, 100 / (1 + exp(-(l_quantity - 25) / 10.0::double)) s from lineitem)
+select f, count(*) n, round(quantile_cont(s, 0.25), 6) q25, round(quantile_cont(s, 0.5), 6) mid, round(quantile_cont(s, 0.75), 6) q75 from s group by 1""")
+def mixture_summary(spark, d):
+    s = table(spark, d, "lineitem").select(F.col("l_discount").alias("f"), (100 / (1 + F.exp(-(F.col("l_quantity") - 25) / F.lit(10.0)))).alias("s"))
+    quartiles = {"q25": 0.25, "mid": 0.5, "q75": 0.75}
+    return rounded(s.groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.percentile("s", F.lit(q)).alias(c) for c, q in quartiles.items()]), *quartiles)
+
+
+@query("""with g as (select l_suppkey, count(*) n, sum(cast(l_returnflag = 'R' as int)) p from lineitem group by 1 having count(*) >= 5)
+select l_suppkey, n, cast(p as bigint) p, round(case when n - p < 5 then 1 else 1 - exp(lgamma(n - p + 1) - lgamma(n - p - 5 + 1) - lgamma(n + 1) + lgamma(n - 5 + 1)) end, 6) expected from g""")
+def shortlist_expectation(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("l_returnflag") == "R").cast("int")).alias("p"))
+    return g.where("n >= 5").withColumn("expected", F.round(M.hit_expectation(F.col("n"), F.col("p"), 5), 6))
+
+
+@query("""with e as (select l_returnflag g, l_quantity / 50.0::double x, count(*) n from lineitem group by 1, 2),
+c as (select g, x, sum(n) over (partition by g order by x) / sum(n) over (partition by g)::double y from e),
+i as (select g, step, step / 200.0::double x from (select distinct g from c), range(201) t(step)),
+b as (select i.g, step, i.x, max(l.x) x0, max_by(l.y, l.x) y0 from i left join c l on l.g = i.g and l.x <= i.x group by 1, 2, 3),
+u as (select i.g, step, min(r.x) x1, min_by(r.y, r.x) y1 from i left join c r on r.g = i.g and r.x >= i.x group by 1, 2)
+select g, cast(step as int) step, round(coalesce(y0 + (y1 - y0) * (x - x0) / nullif(x1 - x0, 0), y0, y1), 6) y from b join u using (g, step)""")
+def curve_interpolation(spark, d):
+    e = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), (F.col("l_quantity") / F.lit(50.0)).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("g")
+    c = e.select("g", "x", (F.sum("n").over(w.orderBy("x")) / F.sum("n").over(w)).alias("y"))
+    return rounded(M.interpolate(c, ["g"], "x", "y"), "y")
