@@ -18,7 +18,8 @@ occur in it.
 
 Defined cases: a null text has no bytes. Matches never cross documents. Rows
 without id neither remove nor lose bytes. Rows that repeat an id are one
-document to the others and never remove each other's bytes.
+document to the others and never remove each other's bytes; what is found in one
+of their texts is cut out of that text only.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ SEGMENT = 8 << 20
 FILTER_BITS = 1 << 27
 FILTER_ROWS = FILTER_BITS >> 3
 BROADCAST_ROWS = 300_000
+#: A row: its id and the hash of its text, as rows may repeat an id.
+ROW = ["doc_id", "th"]
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -81,13 +84,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     return (least[begin] >> np.uint64(24)).astype(np.int64), row[begin], begin, count
 
 
-def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
-    """(bytes, offsets, ids, place of each row's first byte in its text) with bounded bytes."""
+def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+    """(bytes, offsets, ids and text hashes, place of each row's first byte in its text) with bounded bytes."""
     for part in runs(batch, "text"):
         data, offsets = text_buffer(part.column("text"))
-        ids = part.column("doc_id").to_pylist()
+        ids = part.column("doc_id").to_numpy(), part.column("th").to_numpy()
         if len(data) <= SEGMENT:
-            yield data, offsets, ids, np.zeros(len(ids), np.int64)
+            yield data, offsets, ids, np.zeros(len(ids[0]), np.int64)
         else:  # one long text: windows that start in a segment need the bytes after it
             for at in range(0, len(data), SEGMENT):
                 piece = data[at : at + SEGMENT + length - 1]
@@ -121,7 +124,7 @@ def _common_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 key, row, _, _ = stretches(data, offsets, length)
                 held.append(np.column_stack([key, row + base]))
                 size += len(data)
-                base += len(ids) if len(offsets) > 2 or len(data) <= SEGMENT else 0
+                base += len(ids[0]) if len(offsets) > 2 or len(data) <= SEGMENT else 0
                 if size > FLUSH:
                     yield blobs(held)
                     held, size = [], 0
@@ -156,7 +159,7 @@ def _filter(anchors: DataFrame) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, start, content) of every stretch whose anchor is common."""
+    """(key, doc_id, th, start, content) of every stretch whose anchor is common."""
     few = anchors.count() <= FILTER_ROWS
     seen = docs.sparkSession.sparkContext.broadcast(_filter(anchors))
 
@@ -175,10 +178,10 @@ def _occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                     pa.binary(), len(key), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]
                 )
                 start = begin - offsets[row] + place[row]
-                doc = np.array(ids, np.int64)[row] if len(key) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), content], ["key", "doc_id", "start", "content"])
+                columns = [pa.array(key), pa.array(ids[0][row]), pa.array(ids[1][row]), pa.array(start), content]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "th", "start", "content"])
 
-    made = docs.mapInArrow(run, "key long, doc_id long, start long, content binary")
+    made = docs.mapInArrow(run, "key long, doc_id long, th long, start long, content binary")
     return made if few else made.join(anchors, "key", "left_semi")
 
 
@@ -307,20 +310,20 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row."""
-    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").withColumn("th", F.xxhash64("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets = max(48, int(size >> 23))
     long_enough = docs.where(F.octet_length("text") >= length).where("doc_id is not null")
-    texts = long_enough.select("doc_id", F.sha2("text", 256).alias("sha"))
+    texts = long_enough.select("doc_id", "th", F.sha2("text", 256).alias("sha"))
     firsts = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("sha", "first")
-    copies = saved(texts.join(firsts, "sha").where("doc_id != first").select("doc_id", F.lit(True).alias("copy")).distinct(), "whole-copies")
+    copies = saved(texts.join(firsts, "sha").where("doc_id != first").select(*ROW, F.lit(True).alias("copy")).distinct(), "whole-copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    searched = long_enough.join(few, "doc_id", "left_anti")
+    searched = long_enough.join(few, ROW, "left_anti")
     anchors = saved(_common_anchors(searched, length, buckets), "anchors")
     met = saved(_occurrences(searched, anchors, length).withColumn("ck", F.xxhash64("content")), "stretches")
     contents = met.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("ck").alias("ck"))
     verdicts = saved(_verdicts(contents, length, buckets), "verdicts")
-    hits = met.select("ck", "doc_id", "start").join(verdicts, "ck").where("least < doc_id")
+    hits = met.select("ck", *ROW, "start").join(verdicts, "ck").where("least < doc_id")
     span = F.struct((F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi") + length).alias("to"))
-    found = hits.groupBy("doc_id").agg(F.collect_list(span).alias("found"))
-    return _cut(docs.join(few, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found"))
+    found = hits.groupBy(*ROW).agg(F.collect_list(span).alias("found"))
+    return _cut(docs.join(few, ROW, "left").join(found, ROW, "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found"))
