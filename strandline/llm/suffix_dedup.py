@@ -13,6 +13,11 @@ suffixes are sorted by one byte and their successor's rank and merged in. Window
 that are neighbours in that order and agree in their first ``length`` bytes are
 one class, whose smallest document is joined back to all occurrences.
 
+An anchor at the edge of a passage that many documents share has another stretch
+in each of them. Keys with more than ``KEY_BYTES`` of distinct stretches would
+outgrow a block, so their windows meet one by one instead, by an aggregate over
+each window's bytes, which spreads over all tasks.
+
 Whole copies of an earlier document never enter the search: all their windows
 occur in it.
 
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -45,6 +50,8 @@ SEGMENT = 8 << 20
 FILTER_BITS = 1 << 27
 FILTER_ROWS = FILTER_BITS >> 3
 BROADCAST_ROWS = 300_000
+#: Bytes of distinct contents of one key that a block takes; beyond it the key's windows are spread.
+KEY_BYTES = 1 << 20
 #: A row: its id and the hash of its text, as rows may repeat an id.
 ROW = ["doc_id", "th"]
 _PLACE = np.uint64((1 << 24) - 1)
@@ -275,6 +282,25 @@ def _verdicts(contents: DataFrame, length: int, buckets: int) -> DataFrame:
     return contents.select(bucket, "ck", "content", "low", "high").groupBy("bucket").applyInArrow(judge, "ck long, lo long, hi long, least long")
 
 
+def _large_keys(met: DataFrame) -> DataFrame:
+    """(key): keys with more than KEY_BYTES of distinct contents; at most one for each KEY_BYTES of met."""
+    size = F.sum(F.octet_length("content")).alias("b")
+    often = saved(met.groupBy("key").agg(size).where(F.col("b") > KEY_BYTES).select("key"), "frequent-keys")
+    distinct = met.join(F.broadcast(often), "key", "left_semi").select("key", "content").distinct()
+    return saved(distinct.groupBy("key").agg(size).where(F.col("b") > KEY_BYTES).select("key"), "large-keys")
+
+
+def _spread_verdicts(contents: DataFrame, length: int) -> DataFrame:
+    """_verdicts without blocks: windows of equal bytes meet by an aggregate."""
+    places = F.explode(F.sequence(F.lit(0), F.octet_length("content") - length)).alias("at")
+    windows = contents.select("ck", "low", "high", "content", places).withColumn("window", F.substring("content", F.col("at") + 1, F.lit(length)))
+    least = windows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").drop("most")
+    useful = windows.select("ck", "high", "at", "window").join(least, "window").where("least < high")
+    place = F.row_number().over(Window.partitionBy("ck", "least").orderBy("at"))
+    runs_of = useful.select("ck", "least", F.col("at").cast("long").alias("at")).withColumn("run", F.col("at") - place)
+    return runs_of.groupBy("ck", "least", "run").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("ck", "lo", "hi", "least")
+
+
 def _cut(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, copy, found) as doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept."""
 
@@ -322,7 +348,12 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     anchors = saved(_common_anchors(searched, length, buckets), "anchors")
     met = saved(_occurrences(searched, anchors, length).withColumn("ck", F.xxhash64("content")), "stretches")
     contents = met.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("ck").alias("ck"))
-    verdicts = saved(_verdicts(contents, length, buckets), "verdicts")
+    large = _large_keys(met)
+    if large.isEmpty():
+        verdicts = saved(_verdicts(contents, length, buckets), "verdicts")
+    else:
+        blocks = saved(_verdicts(contents.join(F.broadcast(large), "key", "left_anti"), length, buckets), "verdicts")
+        verdicts = blocks.unionByName(saved(_spread_verdicts(contents.join(F.broadcast(large), "key", "left_semi"), length), "spread-verdicts"))
     hits = met.select("ck", *ROW, "start").join(verdicts, "ck").where("least < doc_id")
     span = F.struct((F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi") + length).alias("to"))
     found = hits.groupBy(*ROW).agg(F.collect_list(span).alias("found"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from strandline.llm import suffix_dedup
 from strandline.llm.suffix_dedup import remove_repeated_strings
 
 RNG = np.random.default_rng(11)
@@ -41,3 +42,26 @@ def test_rows_of_one_id_keep_their_own_bytes(spark):
     ]
     rows += [(7, rows[6][1])]
     assert found(spark, rows) == brute(rows)
+
+
+def test_windows_of_a_large_key_leave_its_block(spark, monkeypatch):
+    header = noise(120)
+    rows = [(i, noise(int(RNG.integers(0, 60))) + header + noise(70)) for i in range(120)]
+    rows += [(200 + i, rows[i][1][30:] + noise(20)) for i in range(0, 120, 3)] + [(400, rows[7][1] + rows[9][1])]
+    sizes = spark.sparkContext.accumulator(0)
+    whole = suffix_dedup.smallest_documents
+
+    def block(contents, low, length):
+        held = Counter()
+        for c in contents:  # contents of the header's edges share most of its bytes
+            held[header[:30].encode() in c or header[-30:].encode() in c] += len(c)
+        sizes.add(held[True])
+        return whole(contents, low, length)
+
+    monkeypatch.setattr(suffix_dedup, "smallest_documents", block)
+    expected = brute(rows)
+    assert found(spark, rows) == expected
+    before = sizes.value
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 2000)
+    assert found(spark, rows) == expected
+    assert sizes.value - before < before / 4
