@@ -5,9 +5,13 @@ each and ``SHARED`` classes of the other words by their last two bytes. The
 log-bilinear model predicts the class of a token from the classes of the two
 before it: a context vector, the sum of their vectors through one matrix each,
 meets every class's output vector. It is trained in numpy on the class trigram
-counts of the whole corpus, with noise from the class frequencies; tasks train
-on their shares of the trigrams and the parameters are averaged each round.
-Matrix products over all contexts at a time then give normalised class
+counts of the whole corpus, with noise from the class frequencies: each of
+``PASSES`` steps follows the gradient of the noise-contrastive objective over
+every trigram, weighted by its count, and over all noise classes in expectation,
+so nothing is drawn. However large the input, there are at most ``CLASSES``**3
+counts (64 MB) and a step works through them in a fraction of a second, less than
+a job takes to start; one task therefore makes all steps, and the model does not
+depend on partitions. Matrix products over all contexts at a time then give normalised class
 log-probabilities, and a word's share of its class is its smoothed count.
 
 Counts are aggregated and joined as tables. The driver sees only the class
@@ -37,6 +41,8 @@ from .textkit import text_buffer
 SINGLE, SHARED = 192, 64
 CLASSES = SINGLE + SHARED
 KNOWN_WORDS = 300_000
+#: Steps of the training, each a pass over all counts.
+PASSES = 80
 ALPHA = 0.1
 #: The end token as a word: no word is empty.
 END = b""
@@ -140,40 +146,41 @@ class LogBilinear:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n, _ in self.SHAPES]).astype(np.float64)
 
-    def train(self, code: np.ndarray, n: np.ndarray, frequency: np.ndarray, seed: int, batch: int = 2048, noise: int = 96, rate: float = 0.1) -> None:
-        """Adagrad steps on samples in proportion to the counts; as many as the distinct trigrams need."""
-        rng = np.random.default_rng(seed)
-        total = np.cumsum(n, dtype=np.float64)
-        ln_q, cum_q = np.log(frequency), np.cumsum(frequency)
-        square = {name: np.full(shape, 1e-4, np.float32) for name, shape in self.SHAPES}
-
-        def move(name: str, g: np.ndarray) -> None:
-            square[name] += g * g
-            getattr(self, name)[...] += rate * g / np.sqrt(square[name])
-
-        def onto(rows: np.ndarray, g: np.ndarray) -> np.ndarray:
-            hot = np.zeros((CLASSES, len(rows)), np.float32)
-            hot[rows, np.arange(len(rows))] = 1
-            return hot @ g
-
-        for _ in range(max(1, -(-len(code) // batch))):
-            c = code[np.searchsorted(total, rng.random(batch) * total[-1], "right").clip(max=len(code) - 1)]
-            first, second, word = c // (CLASSES * CLASSES), c // CLASSES % CLASSES, c % CLASSES
-            other = np.searchsorted(cum_q, rng.random(noise) * cum_q[-1]).clip(max=CLASSES - 1)
-            x1, x2 = self.x[first], self.x[second]
-            r = x1 @ self.a + x2 @ self.b
-            data = (r * self.q[word]).sum(1) + self.bias[word] - ln_q[word] - np.log(noise)
-            false = r @ self.q[other].T + self.bias[other] - ln_q[other] - np.log(noise)
-            up = ((1 - 1 / (1 + np.exp(-data))) / batch).astype(np.float32)
-            down = (-1 / (1 + np.exp(-false)) / batch).astype(np.float32)
-            gr = up[:, None] * self.q[word] + down @ self.q[other]
-            gq = onto(word, up[:, None] * r)
-            np.add.at(gq, other, down.T @ r)
-            gb = np.bincount(word, up, CLASSES) + np.bincount(other, down.sum(0), CLASSES)
-            gx = onto(first, gr @ self.a.T) + onto(second, gr @ self.b.T)
-            ga, gb2 = x1.T @ gr, x2.T @ gr
-            for name, g in (("x", gx), ("a", ga), ("b", gb2), ("q", gq), ("bias", gb.astype(np.float32))):
-                move(name, g)
+    def gradient(self, counts: dict[int, np.ndarray], frequency: np.ndarray, noise: float) -> np.ndarray:
+        """Gradient a token of the objective over all trigrams, as flat(); counts[a][b, c] is the count of (a, b, c)."""
+        ln_noise, expected = (np.log(frequency * noise)).astype(np.float32), (frequency * noise).astype(np.float32)
+        later = self.x @ self.b
+        by_first, by_second = np.zeros((CLASSES, 32)), np.zeros((CLASSES, 32))
+        gq, gb, total = np.zeros((CLASSES, 32)), np.zeros(CLASSES), 0.0
+        for a, n in counts.items():
+            weight = n.sum(1)
+            live = np.flatnonzero(weight)
+            n, weight = n[live], weight[live]
+            r = self.x[a] @ self.a + later[live]
+            with np.errstate(over="ignore"):
+                true = 1 / (1 + np.exp(ln_noise - self.bias - r @ self.q.T))
+            g = n - (n + weight[:, None] * expected) * true
+            gr = g @ self.q
+            gq += g.T @ r
+            gb += g.sum(0, dtype=np.float64)
+            by_first[a] = gr.sum(0)
+            by_second[live] += gr
+            total += weight.sum(dtype=np.float64)
+        gx = by_first @ self.a.T + by_second @ self.b.T
+        return np.concatenate([g.ravel() for g in (gx, self.x.T @ by_first, self.x.T @ by_second, gq, gb)]) / total
+
+    @classmethod
+    def train(cls, counts: dict[int, np.ndarray], frequency: np.ndarray, noise: float = 96.0, rate: float = 0.05) -> np.ndarray:
+        """Parameters after PASSES Adam steps, each over all counts, with a rate that falls to none."""
+        flat = cls.start(frequency)
+        mean, square = np.zeros_like(flat), np.zeros_like(flat)
+        for t in range(PASSES):
+            g = cls(flat).gradient(counts, frequency, noise)
+            mean = 0.9 * mean + 0.1 * g
+            square = 0.98 * square + 0.02 * g * g
+            step = (mean / (1 - 0.9 ** (t + 1))) / (np.sqrt(square / (1 - 0.98 ** (t + 1))) + 1e-9)
+            flat = flat + rate * (0.5 + 0.5 * np.cos(np.pi * t / PASSES)) * step
+        return flat
 
     def table(self) -> np.ndarray:
         """log10 P(class | the two classes before), for all contexts: (CLASSES**2, CLASSES)."""
@@ -187,29 +194,29 @@ class LogBilinear:
         return out / np.float32(np.log(10))
 
 
-def train_classes(trigrams: DataFrame, frequency: np.ndarray, rounds: int = 4) -> LogBilinear:
-    """Trains on all trigram counts: tasks take their shares, the parameters are averaged by counts each round."""
-    spark = trigrams.sparkSession
-    flat = LogBilinear.start(frequency)
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast((flat, frequency))
-
-        def run(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            got = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-            if not got:
-                return
-            start, freq = shared.value
-            model = LogBilinear(start)
-            code, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            model.train(code, n, freq, seed=1000 * r + TaskContext.get().partitionId())
-            yield pa.RecordBatch.from_arrays([pa.array([model.flat()], pa.list_(pa.float64())), pa.array([float(n.sum())])], ["p", "w"])
-
-        parts = trigrams.mapInArrow(run, "p array<double>, w double").select("w", F.posexplode("p").alias("i", "p"))
-        mean = parts.groupBy("i").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p")).toPandas()
-        if mean.empty:
-            break
-        flat = mean.sort_values("i")["p"].to_numpy()
-    return LogBilinear(flat)
+def train_classes(trigrams: DataFrame, frequency: np.ndarray) -> LogBilinear:
+    """Trains on all of (code, n): a table of counts for each first class, then all passes in one task."""
+
+    def dense(table):
+        code = table["code"].to_numpy()
+        n = np.zeros(CLASSES * CLASSES, np.float32)
+        n[code % (CLASSES * CLASSES)] = table["n"].to_numpy()
+        return pa.table([pa.array(code[:1] // (CLASSES * CLASSES), pa.int32()), pa.array([n.tobytes()], pa.binary())], ["a", "counts"])
+
+    first = F.floor(F.col("code") / (CLASSES * CLASSES)).alias("a")
+    tables = saved(trigrams.select(first, "code", "n").groupBy("a").applyInArrow(dense, "a int, counts binary"), "class-counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {}
+        for batch in batches:
+            for a, n in zip(batch.column("a").to_pylist(), batch.column("counts"), strict=True):
+                counts[a] = np.frombuffer(n.as_buffer(), np.float32).reshape(CLASSES, CLASSES)
+        if counts:
+            flat = LogBilinear.train(dict(sorted(counts.items())), frequency)
+            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], ["p"])
+
+    trained = tables.coalesce(1).mapInArrow(run, "p array<double>").collect()
+    return LogBilinear(np.array(trained[0]["p"]) if trained else LogBilinear.start(frequency))
 
 
 def score_texts(docs: DataFrame, folds: int = 10, counted: DataFrame | None = None) -> DataFrame:
