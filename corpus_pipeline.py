@@ -17,6 +17,8 @@ from strandline.llm.queries import tokenizer_path
 
 #: Documents whose quality score is below it go.
 LEAST_QUALITY = 0.3
+#: Lines of fewer words are compared for equality only.
+LEAST_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; n_chars follows the text."""
-    out = drop_repeated_lines(docs)
+    out = drop_repeated_lines(docs, min_words=LEAST_WORDS, characters=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

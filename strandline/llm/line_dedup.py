@@ -15,7 +15,9 @@ line emit their variants, and only for the other half's words.
 A line goes when a line within the bound occurs earlier, in order of document
 id and line number; all is judged on the input. Exact copies are within the
 bound. Lines of fewer than ``min_chars`` characters always stay; lines of fewer
-than ``min_words`` words are compared for equality only.
+than ``min_words`` words are compared for equality only. With ``characters``, a
+line without spaces in a script that uses none is a sequence of characters
+instead of one word, so its edits are of one character.
 
 Defined cases: a null text stays null. A null id sorts last. Rows that repeat
 both id and text are one document: their lines are equally early and all stay
@@ -34,6 +36,8 @@ BROADCAST_ROWS = 300_000
 LAST = (1 << 63) - 1
 #: Words whose sums are kept together, so that a variant of a long line needs few steps.
 SUM_BLOCK = 64
+#: Scripts written without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -53,6 +57,15 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def _units(characters: bool) -> Column:
+    """What edits of a line change: its words, or marked characters, which equal no word."""
+    words = F.split("line", " ")
+    if not characters:
+        return words
+    marked = F.transform(F.filter(F.split("line", ""), lambda c: c != ""), lambda c: F.concat(F.lit("\n"), c))
+    return F.when(~F.contains("line", F.lit(" ")) & F.col("line").rlike(UNSPACED), marked).otherwise(words)
+
+
 def _slice(words: Column, start: Column | int, length: Column) -> Column:
     return F.slice(words, start, F.greatest(length, F.lit(0)))
 
@@ -76,14 +89,13 @@ def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
 
 
-def _with_sums(lines: DataFrame) -> DataFrame:
+def _with_sums(lines: DataFrame, words: Column) -> DataFrame:
     """Adds sums (by xor) from which each variant's key follows without reading the words again.
 
     _here: hash of each word and its place; _all: their sum. _shift: what a word
     adds when it moves one place down; _blocks: sums of these by SUM_BLOCK words.
     The caller saves the result, so that each array is computed once a line.
     """
-    words = F.split("line", " ")
 
     def moved(w: Column, j: Column) -> Column:
         return F.xxhash64(w, j).bitwiseXOR(F.xxhash64(w, j - 1))
@@ -123,9 +135,10 @@ def _variants(chosen: DataFrame) -> DataFrame:
     return chosen.select("_h", "_g", "pos", F.inline(F.concat(replaced, shorter, whole)))
 
 
-def _near_cuts(lines: DataFrame, min_words: int) -> DataFrame:
+def _near_cuts(lines: DataFrame, min_words: int, characters: bool) -> DataFrame:
     """(_h, _g, cut): for lines within one edit of another line, the earliest place of such a line."""
-    worded = lines.select("pos", "_h", "_g", "line", F.split("line", " ").alias("_w")).where(F.size("_w") >= min_words)
+    units = _units(characters)
+    worded = lines.select("pos", "_h", "_g", "line", units.alias("_w")).where(F.size("_w") >= min_words)
     halves = worded.select("_h", F.explode(_halves(F.col("_w"))).alias("s")).select("_h", "s.key")
     shared = halves.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo != hi").select("key")
     shared = _small(saved(shared, "line-halves"))
@@ -136,7 +149,7 @@ def _near_cuts(lines: DataFrame, min_words: int) -> DataFrame:
         .groupBy("_h", "_g")
         .agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.max("head").alias("by_head"), F.min("head").alias("by_both"))
     )
-    chosen = saved(_with_sums(chosen), "line-candidates").withColumn("_w", F.split("line", " "))
+    chosen = saved(_with_sums(chosen, units), "line-candidates").withColumn("_w", units)
     variants = _variants(chosen)
     shared = variants.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo != hi").select("key")
     variants = saved(variants.join(_small(saved(shared, "line-shared")), "key"), "line-variants")
@@ -164,19 +177,19 @@ def _near_cuts(lines: DataFrame, min_words: int) -> DataFrame:
     return both.where(within).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
 
 
-def mark_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10) -> DataFrame:
+def mark_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10, characters: bool = False) -> DataFrame:
     """(_id, _rk, removed): the sorted line numbers that go, for the documents that lose any."""
     lines = _lines(docs.select("doc_id", "text"), min_chars)
     exact = lines.groupBy("_h", "_g").agg(F.min("pos").alias("cut"), F.count("*").alias("n")).where("n > 1").drop("n")
-    cuts = exact.unionByName(_near_cuts(lines, min_words)).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
+    cuts = exact.unionByName(_near_cuts(lines, min_words, characters)).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
     cuts = _small(saved(cuts, "line-cuts"))
     gone = lines.select("_id", "_rk", "_no", "pos", "_h", "_g").join(cuts, ["_h", "_g"]).where("pos > cut")
     return gone.groupBy("_id", "_rk").agg(F.array_sort(F.collect_set("_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10, characters: bool = False) -> DataFrame:
     """docs with the text's later copies of lines taken out, and ``_removed``, the numbers of these lines (or null)."""
-    removed = mark_lines(docs, min_chars, min_words)
+    removed = mark_lines(docs, min_chars, min_words, characters)
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn("_rk", F.xxhash64("doc_id", "text"))
     joined = keyed.join(removed, ["_id", "_rk"], "left")
     parts = F.split("text", "\n")
@@ -187,7 +200,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10) -> Da
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("removed").alias("_removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10, characters: bool = False) -> DataFrame:
     """docs without repeated lines; a document left with nothing but white space goes."""
-    out = dedup_lines(docs, min_chars, min_words)
+    out = dedup_lines(docs, min_chars, min_words, characters)
     return out.where(F.col("_removed").isNull() | F.col("text").rlike(r"\S")).drop("_removed")
