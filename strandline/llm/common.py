@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,21 +21,44 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where none is set (local tests)."""
+    """The folder of spark.checkpoint.dir. Where none is set: a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
+#: Paths of saved tables by the DataFrame that reads them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a saved table whose last reader is done; other DataFrames stay as they are."""
+    path = _paths.pop(df, None)
+    if path is not None:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever its case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +94,11 @@ def annotate(
 
 
 def at_most(df: DataFrame, count: str, limit: int) -> int | None:
-    """The smallest value of ``count`` that at most ``limit`` rows of df reach; None if even the largest has more."""
-    levels = df.groupBy(count).agg(F.count("*").alias("n")).orderBy(F.desc(count)).toPandas()
+    """A value of ``count`` that at most ``limit`` rows of df reach, near the smallest such; None if even the largest has more.
+
+    Large values are taken together in steps of a hundredth, so the driver sees a few thousand rows at any size.
+    """
+    step = F.when(F.col(count) < 1000, F.col(count)).otherwise(F.floor(F.log(F.col(count)) * 100) + 1000)
+    levels = df.groupBy(step.alias("level")).agg(F.count("*").alias("n"), F.min(count).alias("least")).orderBy(F.desc("level")).toPandas()
     fits = levels[levels["n"].cumsum() <= limit]
-    return None if fits.empty else int(fits[count].min())
+    return None if fits.empty else int(fits["least"].min())

@@ -1,22 +1,30 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of word shingles. Under one global order of shingles, rare
-first, two sets with Jaccard similarity t share at least m of the first
-``n - ceil(t n) + m`` shingles of each. Each document picks its own m: the one
-with the least estimated cost, the postings its prefix scans plus the candidates
-they make, which falls with m as m common shingles are asked for. A pair is
-verified when it shares the smaller of both m.
+first, two sets of sizes x and y with Jaccard similarity t share at least
+o = ceil(t (x + y) / (1 + t)) shingles, and for every m the first m shared ones
+are among the first x - o + m and y - o + m. Each document picks its own m: the
+one with the least estimated cost, the postings its prefix scans plus the
+candidates they make, which falls with m as m common shingles are asked for. Its
+prefix is long enough for the smallest partner allowed. A pair is verified when
+it shares the smaller of both m at places that its two sizes allow.
 
 The order needs no exact counts: shingles that are frequent inside a run of
 documents are counted, summed over all runs, and the most frequent of them (at
 most ``FREQUENT``, the bound of the broadcast) sort behind all others by their
 count. Equal sets are one document for the join. Groups of near copies cost
-their size and not its square: a posting list first links its documents with
-leaders; pairs are only sought further between different components.
+their size and not its square: a posting list first links its documents with its
+most central one, which has the fewest rarer shingles, then with a random one.
+Only then are pairs sought, between documents of different components, and by
+lists of one shingle and one band of sizes: a posting goes to the bands in which
+its place is early enough, so documents that merely share a template do not meet.
 
 Defined cases: a null or empty text has no shingles and links with nothing. A
 text of fewer words than a shingle is one shingle. Rows without id are returned
-with a null component. Rows that repeat an id are one node.
+with a null component. Rows that repeat an id are one node: it links by each of
+its texts. Texts of any length are taken whole. Only doc_id and text are read, so
+other columns may have any name; ``keep_one_of_each`` returns them as they are.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, saved
+from .common import at_most, dropped, free_name, saved
 from .components import connected_components
 from .textkit import runs, shingle_sets
 
@@ -40,10 +48,10 @@ BROADCAST_ROWS = 500_000
 #: Shingles counted together before those seen once are left out.
 COUNTED = 1 << 22
 MOST_MATCHES = 8
-#: Rounds that link documents by the leaders of their lists before pairs between components are sought.
-LEADER_ROUNDS = 2
 #: Comparisons of sizes to the cost of one posting.
 VERIFY_COST = 20.0
+#: Ratio of the largest to the smallest size in a band.
+BAND = 1.02
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -98,9 +106,10 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The set's prefix and the number of matches it asks for."""
+    """The set's prefix, in the global order, and the number of matches it asks for."""
     n = len(s)
-    slack = n - -(-percent * n // 100)
+    slack = n - -(-percent * n // 100)  # shingles that the smallest partner may lack
+    tight = n - -(-2 * percent * n // (100 + percent))  # those that a partner of the same size may lack
     most = min(MOST_MATCHES, n - slack)
     seen = np.ones(n, np.int64)
     if len(tokens):
@@ -109,13 +118,14 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
         seen[known] = counts[at[known]]
         order = np.concatenate([np.flatnonzero(~known), (w := np.flatnonzero(known))[np.argsort(seen[w], kind="stable")]])
         s, seen = s[order], seen[order]
-    scanned = np.cumsum(seen)[slack : slack + most]
-    met = np.cumsum(seen - 1)[slack : slack + most]
+    scanned = np.cumsum(seen)[tight : tight + most]
+    met = np.cumsum(seen - 1)[tight : tight + most]
     m = int(np.argmin(scanned + VERIFY_COST * met / np.arange(1, most + 1))) + 1
     return s[: slack + m], m
 
 
 def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+    """(token, doc, n, need, p): prefixes of all documents; p is the shingle's place in the document's order."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,24 +134,25 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int,
             for part in runs(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 ids = part.column("doc_id").cast(pa.int64())
-                made = [(i, s, *prefix(s, tokens, counts, percent)) for i, s in zip(ids.to_pylist(), sets, strict=True) if len(s) and i is not None]
+                made = [(i, len(s), *prefix(s, tokens, counts, percent)) for i, s in zip(ids.to_pylist(), sets, strict=True) if len(s) and i is not None]
                 if made:
                     sizes = [len(p) for _, _, p, _ in made]
                     yield pa.RecordBatch.from_arrays(
                         [
                             _long(np.concatenate([p for _, _, p, _ in made])),
                             pa.array(np.repeat(np.array([i for i, *_ in made], np.int64), sizes)),
-                            pa.array(np.repeat(np.array([len(s) for _, s, _, _ in made], np.int32), sizes)),
+                            pa.array(np.repeat(np.array([n for _, n, _, _ in made], np.int32), sizes)),
                             pa.array(np.repeat(np.array([m for *_, m in made], np.int32), sizes)),
+                            pa.array(np.concatenate([np.arange(z, dtype=np.int32) for z in sizes])),
                         ],
-                        ["token", "doc", "n", "need"],
+                        ["token", "doc", "n", "need", "p"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc long, n int, need int")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc long, n int, need int, p int")
 
 
-def _sets(rows: DataFrame, ids: list[str], k: int) -> DataFrame:
-    """The id columns of rows and s, the shingles of their text."""
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, s): the shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,40 +160,44 @@ def _sets(rows: DataFrame, ids: list[str], k: int) -> DataFrame:
                 sets = shingle_sets(part.column("text"), k)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ids), pa.ListArray.from_arrays(pa.array(ends), _long(values))], [*ids, "s"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), _long(values))], ["doc", "s"])
 
-    return rows.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc long, s array<long>")
 
 
 def _fits(na: Column, nb: Column, percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _overlap(na: Column, nb: Column, percent: int) -> Column:
+    """The fewest shingles that similar sets of these sizes share."""
+    return F.ceil((na + nb) * percent / (100 + percent) - 1e-9).cast("int")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, checked on whole sets.
 
     A pair takes b's set to the place of a, so the few leaders' sets move once.
     """
-    pairs = saved(pairs.select("a", "b"), "candidates")
-    leaders = saved(pairs.select(F.col("a").alias("doc_id")).distinct(), "candidate-leaders")
-    texts = docs.select("doc_id", "text")
-    members = _sets(texts.join(_bounded(pairs), F.col("doc_id") == F.col("b")), ["a", "b"], k)
-    heads = _sets(texts.join(_bounded(leaders), "doc_id", "left_semi"), ["doc_id"], k).toDF("a", "head")
+    members = sets.join(_bounded(pairs), F.col("doc") == F.col("b")).select("a", "b", "s")
+    heads = sets.join(_bounded(pairs.select(F.col("a").alias("doc")).distinct()), "doc", "left_semi").toDF("a", "head")
     common = F.size(F.array_intersect("s", "head"))
     return members.join(heads, "a").where(common * 100 >= (F.size("s") + F.size("head") - common) * percent).select("a", "b")
 
 
-def _led(placed: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Candidates (a, b): each document b with the two leaders of other components that most of its lists share.
+def _led(placed: DataFrame, rank: Column, percent: int) -> DataFrame:
+    """Candidates (a, b): each document b with the leader of another component that most of its lists share.
 
-    A list's leader is its document of smallest salted hash, so lists with the same documents mostly have the same one.
+    A list's leader is its document of smallest rank.
     """
-    leader = F.min(F.struct(F.xxhash64(F.lit(salt), "doc").alias("h"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")))
-    mixed = placed.groupBy("token").agg(leader.alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token", "l.*")
-    met = placed.join(_bounded(saved(mixed, "leaders")), "token").where((F.col("c") != F.col("ca")) & _fits(F.col("na"), F.col("n"), percent))
+    leader = F.min(F.struct(rank.alias("r"), F.xxhash64("doc").alias("h"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")))
+    mixed = placed.groupBy("token").agg(leader.alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+    leaders = saved(mixed.select("token", "l.a", "l.na", "l.ca"), "leaders")
+    met = placed.join(_bounded(leaders), "token").where((F.col("c") != F.col("ca")) & _fits(F.col("na"), F.col("n"), percent))
     counted = met.groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("m"))
-    best = Window.partitionBy("b").orderBy(F.desc("m"), "a")
-    return counted.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
+    best = saved(counted.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b"), "led")
+    dropped(leaders)
+    return best
 
 
 def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,11 +207,48 @@ def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
     return saved(placed, "placed-postings")
 
 
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components that share as many early shingles as they must.
+
+    The smaller document of a pair waits in the band of its size, the larger one
+    visits every band that may hold a partner. A pair of different components holds a
+    document outside the component that is most frequent in the list, so only those
+    meet the whole list.
+    """
+    parts = placed.groupBy("token", "c").agg(F.count("*").alias("k"))
+    major = parts.groupBy("token").agg(F.max_by("c", "k").alias("major"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
+    lists = saved(placed.join(_bounded(saved(major, "mixed-lists")), "token"), "open-postings")
+    step, n = float(np.log(BAND)), F.col("n")
+    width = F.col("n") + F.col("need") - 1 - F.col("p")  # the overlap up to which this place is early enough
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size) / step).cast("int")
+
+    least = F.ceil(n * percent / 100 - 1e-9).cast("int")
+    small = lists.where(_overlap(n, n, percent) <= width).withColumn("band", band(n))
+    large = lists.select("*", F.explode(F.sequence(band(least), band(n))).alias("band"))
+    large = large.where(_overlap(n, F.greatest(least, F.floor(F.exp(F.col("band") * step) - 1e-6).cast("int")), percent) <= width)
+    columns, key = ("doc", "n", "need", "p", "c"), ["token", "band"]
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.select(*key, *[F.col(c).alias(c + mark) for c in columns])
+
+    na, nb, m = F.col("na"), F.col("nb"), F.least("needa", "needb")
+    o = _overlap(na, nb, percent)
+    fits = (F.col("ca") != F.col("cb")) & ((na < nb) | (na == nb) & (F.col("doca") < F.col("docb"))) & (na * 100 >= nb * percent)
+    fits &= (F.col("pa") < na - o + m) & (F.col("pb") < nb - o + m)
+    minor = F.col("c") != F.col("major")
+    met = side(small.where(minor), "a").join(side(large, "b"), key).where(fits)
+    met = met.unionByName(side(small.where(~minor), "a").join(side(large.where(minor), "b"), key).where(fits))
+    pairs = met.groupBy(F.col("doca").alias("a"), F.col("docb").alias("b")).agg(F.count("*").alias("m"), F.min(m).alias("need"))
+    return saved(pairs.where("m >= need").select("a", "b"), "candidates")
+
+
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(profile of each row, links between representatives of different texts that connect all similar ones).
+    """(doc_id, n and rep of each row, links between representatives of different texts that connect all similar ones).
 
-    The profile has doc_id, n and rep: the smallest id with an equal set. Links (a, b)
-    join representatives; their components are those of the full similarity graph.
+    rep is the smallest id with an equal set. Links (a, b) join representatives; their
+    components are those of the full similarity graph.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     profile = saved(_profile(docs, k), "shingles")
@@ -206,25 +258,27 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[D
     frequent = _frequent(profile)
     chosen = _bounded(reps.select(F.col("rep").alias("doc")))
     postings = saved(_postings(docs, frequent, k, percent).join(chosen, "doc", "left_semi"), "postings")
-    # half of a token's bits tell most lists of one document from the others, at a fraction of the bytes
-    half = F.call_function("shiftright", F.col("token"), F.lit(32)).cast("int")
-    several = saved(postings.groupBy(half.alias("half")).count().where("count > 1").select("half"), "several")
+    several = saved(postings.groupBy("token").count().where("count > 1").select("token"), "several")
     several = F.broadcast(several) if several.count() <= 4 * BROADCAST_ROWS else several
-    shared = saved(postings.withColumn("half", half).join(several, "half", "left_semi").drop("half"), "shared-postings")
+    shared = saved(postings.join(several, "token", "left_semi"), "shared-postings")
+    dropped(postings)
+    active = _bounded(saved(shared.select(F.col("doc").alias("doc_id")).distinct(), "active"))
+    sets = saved(_sets(docs.join(active, "doc_id", "left_semi"), k), "sets")
 
     placed, links = shared.withColumn("c", F.col("doc")), None
-    for salt in range(LEADER_ROUNDS):
-        more = saved(_verified(docs, _led(placed, salt, percent), k, percent), "links")
+    for rank in (F.col("p"), F.xxhash64(F.lit(1), "doc")):  # the most central document leads, then a random one
+        more = saved(_verified(sets, _led(placed, rank, percent), percent), "links")
         links = more if links is None else links.unionByName(more)
-        placed = _placed(shared, links)
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    open_lists = saved(placed.join(_bounded(saved(mixed, "mixed-lists")), "token", "left_semi"), "open-postings")
-    left, right = (open_lists.select("token", *[F.col(c).alias(c + s) for c in ("doc", "n", "need", "c")]) for s in "ab")
-    more = left.join(right, "token").where((F.col("doca") < F.col("docb")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent))
-    more = more.groupBy(F.col("doca").alias("a"), F.col("docb").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("needa", "needb")).alias("need"))
-    links = links.unionByName(saved(_verified(docs, more.where("m >= need"), k, percent), "more-links"))
+        before, placed = placed, _placed(shared, links)
+        dropped(before)
+    more = saved(_verified(sets, _across(placed, percent), percent), "more-links")
+    for done in (shared, placed, sets):
+        dropped(done)
     full = members.join(reps, "fp", "left").select("doc_id", "n", "rep")
-    return full, links
+    # rows that repeat an id with different texts tie the representatives of these texts
+    several = full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a != hi").drop("hi")
+    same = saved(full.join(several, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")), "same-id")
+    return full, links.unionByName(more).unionByName(same)
 
 
 def cluster_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -238,5 +292,6 @@ def cluster_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest id of their component; rows without id stay, repeated rows of it too."""
-    found = cluster_documents(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(saved(found, "near-copies"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    found = cluster_documents(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(_bounded(saved(found, "near-copies")), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
