@@ -11,8 +11,13 @@ windows are then closed by cutting up the emptiest windows, and what is left
 over moves on to the next group. The last rest of a task becomes windows of
 powers of two, so nothing is padded.
 
-Defined cases: a null or empty text is its end token alone. Repeated rows are
-packed one by one. Sequence ids are unique: the partition's number and a counter.
+The near-equal windows leave the same small gap in each, which one cut-up window
+in some dozens fills.
+
+Defined cases: a null or empty text is its end token alone. Repeated rows and rows
+without id are packed one by one. Texts of any length are taken whole. Only doc_id
+and text are read, so other columns may have any name. An empty table gives no
+row. Sequence ids are unique: the partition's number and a counter.
 """
 
 from __future__ import annotations
@@ -28,43 +33,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import text_buffer
+from .textkit import LOWER, SPACE_WORDS, runs, spans, text_buffer
 
 GROUP_WINDOWS = 64
+#: Bytes of texts encoded together.
+TOGETHER = 4 << 20
 #: Most words remembered by a task, about 100 MB.
 REMEMBERED = 400_000
 #: New words encoded in one call.
 CHUNK = 8192
-#: A plain letter before plain punctuation: the tokenizer parts them, so white space between them changes nothing.
-_MARKS = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+#: Words that the tokenizer neither changes nor parts: small Latin letters, each of one code point.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[33:127] = True
+for _first, _last in ((48, 58), (65, 91), (97, 123)):  # digits and letters are no marks
+    _MARK[_first:_last] = False
+#: The word that stands for the end of a document.
+_END = 0
 
 
 class WordTokenizer:
     """Encodes with a lower-casing tokenizer that drops white space, remembering white-space separated words.
 
-    New words are encoded together in one text, a special token of the tokenizer between
-    them: it ends normalisation and merges just as white space does, and its id tells the words apart.
+    The words of many texts are told apart, made distinct by Arrow and looked up once.
+    New plain words go through the tokenizer's merges alone, in one text: the
+    vocabulary marks the tokens that end a word. Other new words are also encoded
+    together, a special token between them: it ends normalisation and merges just as
+    white space does, and its id tells the words apart.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {i: t for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)}
+    def __init__(self, path: str, end_id: int = 2):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = {i: t for i, t in added.items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)}
         self.cut_id = min(special)
-        self.cut = special[self.cut_id].content
-        self.cut_bytes = self.cut.encode()
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, int] = {}
+        self.cut = special[self.cut_id].content.encode()
+        self.special = [t.content.encode().lower() for t in added.values()]
+        self.end_id = end_id
         self._clear()
 
     def _clear(self) -> None:
-        self.words.clear()
+        self.words: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._remember([b""], np.array([self.end_id]), np.zeros(1, np.int64), np.ones(1, np.int64))  # no word is empty
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _ids(self, tokenizer, text: bytes) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
 
     def _remember(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         k = len(self.words)
@@ -79,34 +104,55 @@ class WordTokenizer:
         self.words.update(zip(words, range(k, k + len(words)), strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
-        together = [w for w in new if self.cut_bytes not in w]
+        plain, together, alone = [], [], []
+        for w in new:
+            (plain if _PLAIN.fullmatch(w.decode()) else alone if self.cut in w else together).append(w)
+        if not self.ends_word.any():
+            plain, together = [], plain + together
+        for i in range(0, len(plain), CHUNK):
+            words = plain[i : i + CHUNK]
+            ids = self._ids(self.merges, b" ".join(words))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            self._remember(words, ids, np.append(0, ends[:-1]), ends)
         for i in range(0, len(together), CHUNK):
             words = together[i : i + CHUNK]
-            ids = self._ids(b"".join(w + self.cut_bytes for w in words).decode())
+            ids = self._ids(self.tokenizer, b"".join(w + self.cut for w in words))
             ends = np.flatnonzero(ids == self.cut_id)
             self._remember(words, ids, np.append(0, ends[:-1] + 1), ends)
-        if len(together) < len(new):
-            for w in new:
-                if self.cut_bytes in w:
-                    ids = self._ids(w.decode())
-                    self._remember([w], ids, np.zeros(1, np.int64), np.array([len(ids)]))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        lower = text.lower()
-        if not any(t in lower for t in self.special):
-            text = _MARKS.sub(rb"\1 \2", lower)  # fewer different words to encode
-        words = text.split()
+        for w in alone:
+            ids = self._ids(self.tokenizer, w)
+            self._remember([w], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, an end after each, and the row's offsets in them."""
+        data, offsets = text_buffer(column)
+        lower = LOWER[data]
+        raw = lower.tobytes()
+        if not any(t in raw for t in self.special):
+            # white space between a plain letter and a mark, which the tokenizer parts: fewer different words
+            part = _LETTER[lower[:-1]] & _MARK[lower[1:]]
+            part[offsets[(offsets > 0) & (offsets < len(lower))] - 1] = False
+            at = np.flatnonzero(part) + 1
+            data, offsets = np.insert(lower, at, 32), offsets + np.searchsorted(at, offsets)
+        starts, ends, first = spans(data, offsets, SPACE_WORDS)
+        places = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        kept = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(kept)]).dictionary_encode()
         if len(self.words) > REMEMBERED:
             self._clear()
-        known = self.words
-        new = [w for w in words if w not in known]
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.words]
         if new:
-            self._learn(list(dict.fromkeys(new)))
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self._learn(new)
+        known = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        at = np.insert(known[words.indices.to_numpy()], first[1:], _END)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        ends = np.append(0, np.cumsum(sizes))
+        flat = self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[at] - ends[:-1], sizes)]
+        return flat, ends[np.append(0, first[1:] + np.arange(1, len(first)))]
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -238,15 +284,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = WordTokenizer(tokenizer, end_id)
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
-        end = np.array([end_id], np.uint32)
         made: list[tuple] = []
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                ids = words.encode(data[offsets[i] : offsets[i + 1]].tobytes())
-                made += packer.add(doc, np.concatenate([ids, end]))
+        for part in (p for batch in batches for p in runs(batch, "text", TOGETHER)):
+            ids, ends = words.encode(part.column("text"))
+            for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                made += packer.add(doc, ids[ends[i] : ends[i + 1]])
                 if len(made) >= rows:
                     yield batch_of(made)
                     made = []
