@@ -50,8 +50,8 @@ SEGMENT = 8 << 20
 FILTER_BITS = 1 << 27
 FILTER_ROWS = FILTER_BITS >> 3
 BROADCAST_ROWS = 300_000
-#: Bytes of distinct contents of one key that a block takes; beyond it the key's windows are spread.
-KEY_BYTES = 1 << 20
+#: Bytes of stretches for each block, and of distinct contents of one key beyond which its windows are spread.
+BLOCK_BYTES = KEY_BYTES = 1 << 20
 #: A row: its id and the hash of its text, as rows may repeat an id.
 ROW = ["doc_id", "th"]
 _PLACE = np.uint64((1 << 24) - 1)
@@ -262,10 +262,10 @@ def smallest_documents(contents: list[bytes], low: np.ndarray, length: int) -> t
 
 
 def _verdicts(contents: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(ck, lo, hi, least): windows lo..hi of a content that start in document ``least`` and in a later one."""
+    """(key, ck, lo, hi, least): windows lo..hi of a content that start in document ``least`` and in a later one."""
 
     def judge(table):
-        contents, ck = table["content"].to_pylist(), table["ck"].to_numpy()
+        contents, key, ck = table["content"].to_pylist(), table["key"].to_numpy(), table["ck"].to_numpy()
         low, high = table["low"].to_numpy(), table["high"].to_numpy()
         owner, offset, least = smallest_documents(contents, low, length)
         useful = least < high[owner]
@@ -276,10 +276,11 @@ def _verdicts(contents: DataFrame, length: int, buckets: int) -> DataFrame:
         fresh[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])
         begin = np.flatnonzero(fresh)
         end = np.append(begin[1:], len(owner)) - 1 if len(begin) else begin
-        return pa.table([pa.array(ck[owner[begin]]), pa.array(offset[begin]), pa.array(offset[end]), pa.array(least[begin])], ["ck", "lo", "hi", "least"])
+        columns = [key[owner[begin]], ck[owner[begin]], offset[begin], offset[end], least[begin]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["key", "ck", "lo", "hi", "least"])
 
     bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
-    return contents.select(bucket, "ck", "content", "low", "high").groupBy("bucket").applyInArrow(judge, "ck long, lo long, hi long, least long")
+    return contents.select(bucket, "key", "ck", "content", "low", "high").groupBy("bucket").applyInArrow(judge, "key long, ck long, lo long, hi long, least long")
 
 
 def _large_keys(met: DataFrame) -> DataFrame:
@@ -293,12 +294,12 @@ def _large_keys(met: DataFrame) -> DataFrame:
 def _spread_verdicts(contents: DataFrame, length: int) -> DataFrame:
     """_verdicts without blocks: windows of equal bytes meet by an aggregate."""
     places = F.explode(F.sequence(F.lit(0), F.octet_length("content") - length)).alias("at")
-    windows = contents.select("ck", "low", "high", "content", places).withColumn("window", F.substring("content", F.col("at") + 1, F.lit(length)))
+    windows = contents.select("key", "ck", "low", "high", "content", places).withColumn("window", F.substring("content", F.col("at") + 1, F.lit(length)))
     least = windows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").drop("most")
-    useful = windows.select("ck", "high", "at", "window").join(least, "window").where("least < high")
-    place = F.row_number().over(Window.partitionBy("ck", "least").orderBy("at"))
-    runs_of = useful.select("ck", "least", F.col("at").cast("long").alias("at")).withColumn("run", F.col("at") - place)
-    return runs_of.groupBy("ck", "least", "run").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("ck", "lo", "hi", "least")
+    useful = windows.select("key", "ck", "high", "at", "window").join(least, "window").where("least < high")
+    place = F.row_number().over(Window.partitionBy("key", "ck", "least").orderBy("at"))
+    runs_of = useful.select("key", "ck", "least", F.col("at").cast("long").alias("at")).withColumn("run", F.col("at") - place)
+    return runs_of.groupBy("key", "ck", "least", "run").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("key", "ck", "lo", "hi", "least")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -347,14 +348,16 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     searched = long_enough.join(few, ROW, "left_anti")
     anchors = saved(_common_anchors(searched, length, buckets), "anchors")
     met = saved(_occurrences(searched, anchors, length).withColumn("ck", F.xxhash64("content")), "stretches")
+    blocks_bytes = met.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b")).first()["b"]
+    blocks_of = max(48, int(blocks_bytes // BLOCK_BYTES))
     contents = met.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("ck").alias("ck"))
     large = _large_keys(met)
     if large.isEmpty():
-        verdicts = saved(_verdicts(contents, length, buckets), "verdicts")
+        verdicts = saved(_verdicts(contents, length, blocks_of), "verdicts")
     else:
-        blocks = saved(_verdicts(contents.join(F.broadcast(large), "key", "left_anti"), length, buckets), "verdicts")
+        blocks = saved(_verdicts(contents.join(F.broadcast(large), "key", "left_anti"), length, blocks_of), "verdicts")
         verdicts = blocks.unionByName(saved(_spread_verdicts(contents.join(F.broadcast(large), "key", "left_semi"), length), "spread-verdicts"))
-    hits = met.select("ck", *ROW, "start").join(verdicts, "ck").where("least < doc_id")
+    hits = met.select("key", "ck", *ROW, "start").join(verdicts, ["key", "ck"]).where("least < doc_id")
     span = F.struct((F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi") + length).alias("to"))
     found = hits.groupBy(*ROW).agg(F.collect_list(span).alias("found"))
     return _cut(docs.join(few, ROW, "left").join(found, ROW, "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found"))
