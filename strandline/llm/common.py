@@ -61,6 +61,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,9 +85,9 @@ def annotate(
     """Adds a struct column that ``make()`` computes from record batches of df.
 
     ``make`` runs once a task and returns the function for its batches. ``keep``
-    names the input columns to return (all by default). No row moves.
+    names the input columns to return (all by default); one called ``name`` is replaced. No row moves.
     """
-    kept = df.columns if keep is None else keep
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

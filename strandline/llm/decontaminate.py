@@ -15,7 +15,10 @@ Defined cases: words are maximal runs of digits, letters and non-ASCII
 characters after lower-casing A-Z. A null or empty text has no words and is
 clean. Null or wordless items give no pattern. Repeated items with one id count
 once; an item without id marks words but is not counted. A window never spans
-two documents. Repeated document rows each give a row.
+two documents. Repeated document rows each give a row. Texts of any length are
+searched whole. Other columns are returned as they are; one that has the name of
+the result is replaced. An empty table gives an empty result, an empty benchmark
+no hit.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, free_name
 from .textkit import ALNUM_WORDS, LOWER, mix, runs, span_hashes, spans, text_buffer
 
 #: Windows in one broadcast block: about 40 MB at 10 words.
@@ -195,5 +198,6 @@ def find_benchmark_hits(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a benchmark window, columns as they came."""
-    found = find_benchmark_hits(docs, benchmark, window, name="_sl")
-    return found.where(F.col("_sl.n_hit") == 0).drop("_sl")
+    hits = free_name(docs, "hits")
+    found = find_benchmark_hits(docs, benchmark, window, name=hits)
+    return found.where(F.col(hits)["n_hit"] == 0).drop(hits)

@@ -1,7 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, DataFrame operations only.
 
 Two lines are near when their word sequences are within one edit (a word
-replaced, inserted or deleted). Every line emits its deletion neighbourhood: the
+replaced, inserted or deleted) and that edit is at most a fifth of the longer
+line, a similarity of 0.8: so lines of ``LEAST_WORDS`` words or more may have one
+edit, shorter ones none. Every line emits its deletion neighbourhood: the
 sequence without its i-th word, as hashed keys. A replacement makes equal
 variants at one place, an insertion makes a variant equal to the other's full
 line. Lines that share a key all lie within the bound, so the group passes on
@@ -14,14 +16,16 @@ line emit their variants, and only for the other half's words.
 
 A line goes when a line within the bound occurs earlier, in order of document
 id and line number; all is judged on the input. Exact copies are within the
-bound. Lines of fewer than ``min_chars`` characters always stay; lines of fewer
-than ``min_words`` words are compared for equality only. With ``characters``, a
-line without spaces in a script that uses none is a sequence of characters
-instead of one word, so its edits are of one character.
+bound, whatever their length. With ``characters``, a line without spaces in a
+script that uses none is a sequence of characters instead of one word, so its
+edits are of one character.
 
 Defined cases: a null text stays null. A null id sorts last. Rows that repeat
 both id and text are one document: their lines are equally early and all stay
-or go together. Blank lines stay.
+or go together. Rows without id are ordered by line number alone, and lines of
+one number are equally early there. Blank lines (ASCII white space only) stay. Lines and texts of any length are taken
+whole. Other columns are returned as they are, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import column, free_name, saved
 
 #: Rows of a side that is broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 300_000
 LAST = (1 << 63) - 1
+#: Words of which one edit is a fifth.
+LEAST_WORDS = 5
 #: Words whose sums are kept together, so that a variant of a long line needs few steps.
 SUM_BLOCK = 64
 #: Scripts written without spaces between words.
@@ -45,42 +51,55 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Eligible lines: pos (id, line number), the row's key _rk, _no, line and its hashes _h, _g."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """Lines that are not blank: pos (id, line number), row key _rk, _no, line and its hashes _h, _g."""
     every = docs.select(
         F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_id"),
         F.xxhash64("doc_id", "text").alias("_rk"),
         F.posexplode(F.split("text", "\n")).alias("_no", "line"),
     )
-    return every.where((F.length("line") >= min_chars) & (F.trim("line") != "")).select(
+    return every.where(F.col("line").rlike(r"[^ \t\x0B\f\r]")).select(
         F.struct("_id", "_no").alias("pos"), "_id", "_rk", "_no", "line", F.xxhash64("line").alias("_h"), F.hash("line").alias("_g")
     )
 
 
+def _unspaced(characters: bool) -> Column:
+    return ~F.contains("line", F.lit(" ")) & F.col("line").rlike(UNSPACED) if characters else F.lit(False)
+
+
 def _units(characters: bool) -> Column:
     """What edits of a line change: its words, or marked characters, which equal no word."""
     words = F.split("line", " ")
     if not characters:
         return words
     marked = F.transform(F.filter(F.split("line", ""), lambda c: c != ""), lambda c: F.concat(F.lit("\n"), c))
-    return F.when(~F.contains("line", F.lit(" ")) & F.col("line").rlike(UNSPACED), marked).otherwise(words)
+    return F.when(_unspaced(characters), marked).otherwise(words)
+
+
+def _size(characters: bool) -> Column:
+    """The number of a line's units, without making them."""
+    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return F.when(_unspaced(characters), F.length("line")).otherwise(words).cast("int")
 
 
 def _slice(words: Column, start: Column | int, length: Column) -> Column:
     return F.slice(words, start, F.greatest(length, F.lit(0)))
 
 
-def _halves(words: Column) -> Column:
-    """Keys of which two lines within one edit share at least one: (kind, key)."""
-    n = F.size(words)
-    k = F.floor(n / 2).cast("int")
+def _halves(n: str, characters: bool) -> Column:
+    """Keys of which two lines within one edit share at least one: (head, key), from the line's own bytes."""
+    n, k = F.col(n), F.floor(F.col(n) / 2).cast("int")
     even = n % 2 == 0
 
     def head(size: Column) -> Column:
-        return F.struct(F.lit(True).alias("head"), F.xxhash64(F.lit("head"), _slice(words, 1, size)).alias("key"))
+        part = F.when(F.col("_un"), F.substring("line", F.lit(1), size)) if characters else F.when(F.lit(False), "")
+        part = part.otherwise(F.call_function("substring_index", "line", F.lit(" "), size))
+        return F.struct(F.lit(True).alias("head"), F.xxhash64(F.lit("head"), part).alias("key"))
 
     def tail(size: Column) -> Column:
-        return F.struct(F.lit(False).alias("head"), F.xxhash64(F.lit("tail"), _slice(words, n - size + 1, size)).alias("key"))
+        part = F.when(F.col("_un"), F.right("line", size)) if characters else F.when(F.lit(False), "")
+        part = part.otherwise(F.call_function("substring_index", "line", F.lit(" "), -size))
+        return F.struct(F.lit(False).alias("head"), F.xxhash64(F.lit("tail"), part).alias("key"))
 
     return F.array(head(k), tail(k), F.when(even, tail(k - 1)).otherwise(head(k + 1)))
 
@@ -129,21 +148,23 @@ def _variants(chosen: DataFrame) -> DataFrame:
         later = F.slice("_blocks", block + 2, F.size("_blocks"))
         return _xor(rest).bitwiseXOR(_xor(later))
 
+    places = F.when(F.col("n") >= LEAST_WORDS, places).otherwise(F.array().cast("array<int>"))  # only whole, for a longer line
     replaced = F.transform(places, lambda i: item("r", i, F.xxhash64(F.lit("r"), "n", i, without(i))))
     shorter = F.transform(places, lambda i: item("d", i, F.xxhash64(F.lit("d"), F.col("n") - 1, without(i).bitwiseXOR(shifted(i)))))
     whole = F.array(item("w", F.lit(0), F.xxhash64(F.lit("d"), "n", "_all")))
     return chosen.select("_h", "_g", "pos", F.inline(F.concat(replaced, shorter, whole)))
 
 
-def _near_cuts(lines: DataFrame, min_words: int, characters: bool) -> DataFrame:
+def _near_cuts(lines: DataFrame, characters: bool) -> DataFrame:
     """(_h, _g, cut): for lines within one edit of another line, the earliest place of such a line."""
     units = _units(characters)
-    worded = lines.select("pos", "_h", "_g", "line", units.alias("_w")).where(F.size("_w") >= min_words)
-    halves = worded.select("_h", F.explode(_halves(F.col("_w"))).alias("s")).select("_h", "s.key")
+    sized = lines.select("pos", "_h", "_g", "line", _unspaced(characters).alias("_un"), _size(characters).alias("_n"))
+    worded = sized.where(F.col("_n") >= LEAST_WORDS - 1)
+    halves = worded.select("_h", F.explode(_halves("_n", characters)).alias("s")).select("_h", "s.key")
     shared = halves.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo != hi").select("key")
     shared = _small(saved(shared, "line-halves"))
     chosen = (
-        worded.select("pos", "_h", "_g", "line", F.explode(_halves(F.col("_w"))).alias("s"))
+        worded.select("pos", "_h", "_g", "line", F.explode(_halves("_n", characters)).alias("s"))
         .select("pos", "_h", "_g", "line", "s.head", "s.key")
         .join(shared, "key")
         .groupBy("_h", "_g")
@@ -177,30 +198,34 @@ def _near_cuts(lines: DataFrame, min_words: int, characters: bool) -> DataFrame:
     return both.where(within).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
 
 
-def mark_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10, characters: bool = False) -> DataFrame:
+def mark_lines(docs: DataFrame, characters: bool = False) -> DataFrame:
     """(_id, _rk, removed): the sorted line numbers that go, for the documents that lose any."""
-    lines = _lines(docs.select("doc_id", "text"), min_chars)
+    lines = _lines(docs.select("doc_id", "text"))
     exact = lines.groupBy("_h", "_g").agg(F.min("pos").alias("cut"), F.count("*").alias("n")).where("n > 1").drop("n")
-    cuts = exact.unionByName(_near_cuts(lines, min_words, characters)).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
+    cuts = exact.unionByName(_near_cuts(lines, characters)).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
     cuts = _small(saved(cuts, "line-cuts"))
     gone = lines.select("_id", "_rk", "_no", "pos", "_h", "_g").join(cuts, ["_h", "_g"]).where("pos > cut")
     return gone.groupBy("_id", "_rk").agg(F.array_sort(F.collect_set("_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10, characters: bool = False) -> DataFrame:
-    """docs with the text's later copies of lines taken out, and ``_removed``, the numbers of these lines (or null)."""
-    removed = mark_lines(docs, min_chars, min_words, characters)
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn("_rk", F.xxhash64("doc_id", "text"))
+def dedup_lines(docs: DataFrame, characters: bool = False, name: str = "_removed") -> DataFrame:
+    """docs with the text's later copies of lines taken out, and ``name``, the numbers of these lines (or null)."""
+    removed = mark_lines(docs, characters)
+    others = F.struct(*[column(c) for c in docs.columns if c != "text"])  # they travel as one column, so that no name clashes
+    keyed = docs.select(
+        others.alias("_row"), F.col("text").alias("_text"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_id"), F.xxhash64("doc_id", "text").alias("_rk")
+    )
     joined = keyed.join(removed, ["_id", "_rk"], "left")
-    parts = F.split("text", "\n")
+    parts = F.split("_text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.element_at(parts, i + 1)), "\n")
     )
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("removed").alias("_removed"))
+    return joined.select(*[(text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns], F.col("removed").alias(name))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 16, min_words: int = 10, characters: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, characters: bool = False) -> DataFrame:
     """docs without repeated lines; a document left with nothing but white space goes."""
-    out = dedup_lines(docs, min_chars, min_words, characters)
-    return out.where(F.col("_removed").isNull() | F.col("text").rlike(r"\S")).drop("_removed")
+    removed = free_name(docs, "removed")
+    out = dedup_lines(docs, characters, removed)
+    return out.where(F.col(removed).isNull() | F.col("text").rlike(r"\S")).drop(removed)

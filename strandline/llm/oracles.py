@@ -95,10 +95,10 @@ from d left join n using (doc_id) left join r on r.a = d.doc_id
 ORACLES["op10_line_dedup"] = r"""
 with l as (select doc_id, string_split(text, chr(10)) ls from documents),
 u as (select doc_id, no, ls[no] line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) no from l)),
-e as (select doc_id, no, line from u where length(line) >= 16 and trim(line, ' ') <> ''),
+e as (select doc_id, no, line from u where regexp_matches(line, '[^\x20\x09-\x0D]')),
 f as (select line, min((doc_id, no)) pos from e group by line),
-w as (select line, pos, string_split(line, ' ') w from f where len(string_split(line, ' ')) >= 10),
-v as (select line, pos, len(w) n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') s from (select line, pos, w, unnest(range(1, len(w) + 1)) i from w)),
+w as (select line, pos, string_split(line, ' ') w from f where len(string_split(line, ' ')) >= 4),
+v as (select line, pos, len(w) n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') s from (select line, pos, w, unnest(range(1, len(w) + 1)) i from w where len(w) >= 5)),
 near as (select a.line, b.pos from v a join v b on a.s = b.s and a.n = b.n and a.i = b.i and a.line <> b.line
          union all select a.line, b.pos from v a join w b on a.s = array_to_string(b.w, ' ')
          union all select b.line, a.pos from v a join w b on a.s = array_to_string(b.w, ' ')),

@@ -11,7 +11,9 @@ hashes of their ids), so the driver holds a bounded matrix at any corpus size.
 Defined cases: a null or empty text has all statistics 0 and gets a score like
 any other. Labels that are null or not 0 or 1 are ignored, repeated labels of an
 id count once (the largest). Without both label values in the sample the score
-is the smoothed share of good labels.
+is the smoothed share of good labels. Repeated rows and rows without id are scored
+row by row, texts of any length are read whole, other columns are returned as they
+are, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, column, free_name
 from .textkit import LOWER, SPACE_WORDS, runs, span_hashes, spans, text_buffer
 
 SAMPLE_ROWS = 20_000
@@ -243,6 +245,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = No
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The kept columns of docs and their score."""
-    kept = docs.columns if keep is None else keep
-    return with_statistics(docs, keep=kept).withColumn("_sl", model.column("_sl")).withColumnRenamed("_sl", name)
+    """The kept columns of docs and their score, which replaces a column of that name."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != name.lower()]
+    statistics = free_name(docs, "statistics")
+    scored = with_statistics(docs, keep=kept, name=statistics)
+    return scored.select(*map(column, kept), model.column(statistics).alias(name))

@@ -88,11 +88,11 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("_before"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("_before"))
     out = dedup_lines(docs)
     return out.select(
         "doc_id",
-        F.coalesce(F.size(F.split("_before", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce("_before", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )

@@ -14,7 +14,9 @@ Defined cases: a null text has no bytes, a null id hashes as the empty string.
 A row larger than the limit is a shard of its own. Rows with one key cannot be
 told apart by bits: where they exceed the limit together, they are dealt into
 pages of that bucket, each within the limit unless a single row exceeds it.
-An empty table gives no shard.
+An empty table gives no shard. Repeated rows are placed alike. Only octets of the
+text are counted, so its length does not matter. Other columns are returned as
+they are; those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import column, saved
 
 HASH_BITS = 48
+RESULTS = ("n_bytes", "shard", "page", "local_depth", "shard_bytes")
 
 
 def key_hash(key: str) -> Column:
@@ -80,11 +83,11 @@ def build_directory(rows: DataFrame, limit_bytes: int, fan_bits: int = 6) -> Dat
 def assign_shards(rows: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """rows with shard (the prefix's bits as text), page, local_depth, shard_bytes and n_bytes.
 
-    ``keep`` names the input columns to return (all by default).
+    ``keep`` names the input columns to return (all by default); one with the name of a result is replaced.
     """
-    kept = rows.columns if keep is None else keep
+    kept = [c for c in (rows.columns if keep is None else keep) if c.lower() not in RESULTS]
     measured = rows.select(
-        F.struct(*kept).alias("_row"), key_hash(key).alias("_h"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("_b")
+        F.struct(*map(column, kept)).alias("_row"), key_hash(key).alias("_h"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("_b")
     )
     directory = build_directory(measured.select("_h", "_b"), limit_bytes)
     depths = [r["cell_bits"] for r in directory.select("cell_bits").distinct().orderBy("cell_bits").collect()]
@@ -103,7 +106,7 @@ def assign_shards(rows: DataFrame, limit_bytes: int, key: str = "doc_id", text:
     if directory.where(over).isEmpty():
         placed = placed.withColumn("page", F.lit(0).cast("long"))
     else:
-        placed = placed.where(~over).withColumn("page", F.lit(0).cast("long")).unionByName(_paged(placed.where(over), limit_bytes))
+        placed = placed.where(~over).withColumn("page", F.lit(0).cast("long")).unionByName(_paged(saved(placed.where(over), "one-key-rows"), limit_bytes))
     bits_text = F.when(F.col("local_depth") == 0, F.lit("")).otherwise(
         F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("local_depth"), F.lit("0"))
     )
@@ -118,7 +121,7 @@ def assign_shards(rows: DataFrame, limit_bytes: int, key: str = "doc_id", text:
 
 
 def _paged(rows: DataFrame, limit_bytes: int) -> DataFrame:
-    """Deals the rows of one-key buckets into pages; each input partition numbers its own pages."""
+    """Deals the rows of one-key buckets into pages; each partition of the saved table numbers its own pages, anew in the same way if it is lost."""
     rows = rows.withColumn("_i", F.monotonically_increasing_id()).withColumn("_part", F.call_function("shiftright", F.col("_i"), F.lit(33)))
     large = F.col("_b") * 2 > limit_bytes
     before = Window.partitionBy("prefix", "local_depth", "_part", "_large").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
