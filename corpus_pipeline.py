@@ -1,4 +1,11 @@
-"""The corpus pipeline: five operators in a row, each on what the one before kept."""
+"""The corpus pipeline: five operators in a row, each on what the one before kept.
+
+Defined cases, beside those of the operators: every stage takes null and empty
+texts, texts of any length, rows without id, repeated rows, an empty table and
+further columns of any name, which all stages but the last return as they are.
+A null or empty text is scored as it is and goes where the classifier rejects it;
+else it stays, as a null or empty text, until packing makes its end token.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import held_out, read_table, saved
+from strandline.llm.common import free_name, held_out, read_table, saved
 from strandline.llm.decontaminate import drop_contaminated
 from strandline.llm.jaccard_join import keep_one_of_each
 from strandline.llm.line_dedup import drop_repeated_lines
@@ -17,19 +24,18 @@ from strandline.llm.queries import tokenizer_path
 
 #: Documents whose quality score is below it go.
 LEAST_QUALITY = 0.3
-#: Lines of fewer words are compared for equality only.
-LEAST_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rule ensemble rejects."""
     model = learn_quality(docs, read_table(spark, sf_dir, "labels"), usable=~held_out("doc_id", 5))
-    return score_quality(docs, model, name="_sl_score").where(F.col("_sl_score") >= LEAST_QUALITY).drop("_sl_score")
+    score = free_name(docs, "score")
+    return score_quality(docs, model, name=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; n_chars follows the text."""
-    out = drop_repeated_lines(docs, min_words=LEAST_WORDS, characters=True)
+    out = drop_repeated_lines(docs, characters=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
