@@ -11,7 +11,7 @@ from strandline.operators import joins as J
 from strandline.operators import metrics as M
 from strandline.operators import resample as R
 from strandline.operators import windows as W
-from strandline.plans import catalog
+from strandline.plans import every as catalog
 from strandline.sources import sites as S
 
 DIR = "/root/testdata/sf0.001"
