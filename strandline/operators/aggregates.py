@@ -97,18 +97,42 @@ def eigen_alignment(df: DataFrame, group: list[str], columns: list[str], schema_
     return table.mapInPandas(solve, f"{schema_keys}, alignment double, dominance double")
 
 
-def mahalanobis(df: DataFrame, group: list[str], columns: list[str], schema_keys: str, shrink: float = 0.1) -> DataFrame:
-    """Median and 95 % quantile of d squared / k of a group's rows under its shrunk correlation matrix."""
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        x = f[columns].to_numpy(float)
-        sd = x.std(0)
-        x = (x[:, sd > 0] - x[:, sd > 0].mean(0)) / sd[sd > 0]
-        k = x.shape[1]
-        q50 = q95 = 0.0
-        if len(x) >= 5 and k:
-            c = (1 - shrink) * (x.T @ x / len(x)) + shrink * np.eye(k)
-            q50, q95 = np.quantile((x * np.linalg.solve(c, x.T).T).sum(1) / k, [0.5, 0.95])
-        return pd.DataFrame({**{g: [f[g].iloc[0]] for g in group}, "d_q50": [q50], "d_q95": [q95]})
-
-    return df.groupBy(*group).applyInPandas(solve, f"{schema_keys}, d_q50 double, d_q95 double")
+def mahalanobis(df: DataFrame, group: list[str], columns: list[str], shrink: float = 0.1) -> DataFrame:
+    """Median and 95 % quantile of d squared / k of a group's rows under its shrunk correlation matrix; 0 for under 5 rows.
+
+    Covariances are aggregated by Spark, one small matrix a group is inverted in Python, distances are columns of the rows.
+    """
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    stats = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(c) for c in columns]).alias("_m"), F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).alias("_c")
+    )
+
+    def invert(frames):
+        for f in frames:
+            cov = np.zeros((len(f), k, k))
+            flat = np.array(f["_c"].tolist(), float).reshape(len(f), len(pairs))
+            for at, (i, j) in enumerate(pairs):
+                cov[:, i, j] = cov[:, j, i] = flat[:, at]
+            sd = np.sqrt(np.maximum(cov[:, range(k), range(k)], 0))
+            varies = sd > 0
+            scale = np.where(varies, sd, 1)
+            r = cov / (scale[:, :, None] * scale[:, None, :]) * (1 - shrink) * varies[:, :, None] * varies[:, None, :]
+            r[:, range(k), range(k)] = 1  # a constant column stands alone, its distance is 0
+            f["_s"] = list(scale)
+            f["_i"] = list(np.linalg.inv(r).reshape(len(f), k * k))
+            f["_k"] = varies.sum(1)
+            yield f.drop(columns=["_c"])
+
+    keys = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+    known = stats.mapInPandas(invert, f"{keys}, _n long, _m array<double>, _s array<double>, _i array<double>, _k long")
+    row = df.select(*group, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")).join(known, group)
+    z = F.zip_with(F.zip_with("_x", "_m", lambda a, b: a - b), "_s", lambda a, b: a / b)
+    row = row.withColumn("_z", z)
+    d = F.aggregate(
+        F.transform("_z", lambda v, i: v * F.aggregate(F.zip_with("_z", F.slice("_i", i * k + 1, k), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)),
+        F.lit(0.0), lambda a, b: a + b,
+    )
+    d = F.when(F.col("_n") < 5, F.lit(0.0)).otherwise(d / F.greatest("_k", F.lit(1)))
+    q = row.select(*group, d.alias("_d")).groupBy(*group).agg(F.percentile("_d", F.array(F.lit(0.5), F.lit(0.95))).alias("_q"))
+    return q.select(*group, F.col("_q")[0].alias("d_q50"), F.col("_q")[1].alias("d_q95"))

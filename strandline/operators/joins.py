@@ -1,4 +1,4 @@
-"""Range, interval and nearest joins inside groups; all keep an equality key, so none is a nested loop."""
+"""Range, interval and nearest joins inside groups: cells of the radius or one ordered stream, never a nested loop."""
 
 from __future__ import annotations
 
@@ -21,13 +21,20 @@ def band_pairs(df: DataFrame, group: list[str], pos: str, radius: int, columns:
 
 
 def place_in_intervals(points: DataFrame, intervals: DataFrame, group: list[str], pos: str, how: str = "left") -> DataFrame:
-    """Points with the interval [t_start, t_end) of their group that holds them."""
-    inside = (F.col(pos) >= F.col("t_start")) & (F.col(pos) < F.col("t_end"))
-    cond = inside
-    right = intervals.select(*[F.col(g).alias(f"_{g}") for g in group], *[c for c in intervals.columns if c not in group])
-    for g in group:
-        cond = cond & (F.col(g) == F.col(f"_{g}"))
-    return points.join(right, cond, how).drop(*[f"_{g}" for g in group])
+    """Points with the interval [t_start, t_end) of their group that holds them; a group's intervals do not overlap.
+
+    Points and starts are one ordered stream: the last start before a point is the only interval that can hold it.
+    """
+    others = [c for c in intervals.columns if c not in group]
+    at = points.select(*group, F.col(pos).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
+    starts = intervals.select(*group, F.col("t_start").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.struct(*others).alias("_interval"))
+    both = at.unionByName(starts, allowMissingColumns=True)
+    before = Window.partitionBy(*group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_last", F.last("_interval", True).over(before)).where("_kind = 1")
+    placed = placed.withColumn("_last", F.when(F.col("_at") < F.col("_last.t_end"), F.col("_last")))
+    if how == "inner":
+        placed = placed.where("_last is not null")
+    return placed.select("_point.*", *[F.col("_last")[c].alias(c) for c in others])
 
 
 def nearest_event(points: DataFrame, events: DataFrame, group: list[str], pos: str) -> DataFrame:

@@ -7,14 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import running_sums
 
 
 def by_threshold(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
     """One row per distinct score: positives tp and rows n at it, and both summed from the top (ctp, cn)."""
     t = df.groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group).orderBy(F.desc(score))
-    return t.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w))
+    return running_sums(t, group, score, {"tp": "ctp", "n": "cn"}, descending=True)
 
 
 def average_precision(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
@@ -25,9 +24,46 @@ def average_precision(df: DataFrame, group: list[str], score: str, label: str) -
 
 def roc_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
     """Mann-Whitney AUC with half credit for ties; null with a single class."""
-    r = df.select(*group, F.col(label).cast("int").alias("_y"), average_rank(group, score).alias("_r"))
-    p, n = F.sum("_y"), F.sum(1 - F.col("_y"))
-    return r.groupBy(*group).agg(((F.sum(F.col("_r") * F.col("_y")) - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0))).alias("auc"))
+    t = by_threshold(df, group, score, label)
+    negatives = F.col("n") - F.col("tp")
+    won = F.sum(negatives * (F.col("ctp") - F.col("tp") / 2.0))  # positives above a negative, those at it half
+    return t.groupBy(*group).agg((won / F.nullif(F.sum("tp") * F.sum(negatives), F.lit(0))).alias("auc"))
+
+
+def exact_levels(df: DataFrame, column: str, levels: list[float]) -> DataFrame:
+    """One row with ``levels``, the linear-interpolation quantiles of a column, from counts of its distinct values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sums(counts, [], "_v", {"_n": "_le"})
+    n = counts.agg(F.sum("_n").alias("_all"))
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)])
+
+    def holds(at: Column) -> Column:
+        return (at >= F.col("_le") - F.col("_n")) & (at < F.col("_le"))
+
+    rows = placed.join(F.broadcast(n), how="cross").select("_v", "_n", "_le", "_all", F.explode(asked).alias("a"))
+    place = F.col("a.q") * (F.col("_all") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    ends = rows.where(holds(low) | holds(high)).groupBy("a").agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("lo"), F.max(F.when(holds(high), F.col("_v"))).alias("hi"), F.max(place - low).alias("f")
+    )
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
+    found = ends.agg(F.array_sort(F.collect_list(F.struct(F.col("a.i").alias("i"), value.alias("v")))).alias("_l"))  # a row per level
+    return found.select(F.transform("_l", lambda x: x["v"]).alias("levels"))
+
+
+def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
+    """The rows of the highest scores, max(1, round(share * n)) of them; ties are broken by key. Halves round to even.
+
+    Only rows of the one score at the cut are ranked.
+    """
+    t = running_sums(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [], score, {"_n": "_cn"}, descending=True)
+    k = df.agg(F.greatest(F.lit(1), F.bround(F.lit(share) * F.count(F.lit(1)), 0).cast("long")).alias("_k"))
+    cut = t.join(F.broadcast(k), how="cross").where("_cn - _n < _k")
+    inside = df.join(cut, score).drop("_n")
+    whole, split = inside.where("_cn <= _k"), inside.where("_cn > _k")
+    n_before = F.col("_cn") - F.count(F.lit(1)).over(Window.partitionBy(score))
+    split = split.withColumn("_r", n_before + F.row_number().over(Window.partitionBy(score).orderBy(key))).where("_r <= _k")
+    return whole.unionByName(split.drop("_r")).drop("_cn", "_k")
 
 
 def threshold_table(df: DataFrame, score: str, label: str, points: int = 201) -> DataFrame:
@@ -51,8 +87,7 @@ def threshold_table(df: DataFrame, score: str, label: str, points: int = 201) ->
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Mean score and rate of right-closed score quantile bins; equal edges are one."""
-    levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = df.agg(F.array_distinct(F.percentile(score, levels)).alias("_e"))
+    edges = exact_levels(df, score, [i / bins for i in range(1, bins)]).select(F.array_distinct("levels").alias("_e"))
     at = F.size(F.filter("_e", lambda e: e < F.col(score)))
     return (
         df.join(F.broadcast(edges), how="cross")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import band_pairs
+
 #: Stands for "no neighbour on this side" in distances.
 NO_NEIGHBOUR = 100_000.0
 
@@ -51,13 +53,61 @@ def relative_position(df: DataFrame, group: list[str], pos: str) -> DataFrame:
     )
 
 
-def average_rank(group: list[str], by: str) -> Column:
-    """Rank from 1 with ties at their mean."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(by)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, by)) - 1) / 2.0
+#: Ranges that a group's distinct values are cut into, so that no task orders a whole group.
+CELLS = 256
+
 
+def in_cells(values: DataFrame, group: list[str], by: str, cells: int = CELLS) -> DataFrame:
+    """values (distinct in group and ``by``) with _cell, the number of the range of ``by`` that holds it.
+
+    The edges are approximate quantiles: they shape the load of tasks, never a result.
+    """
+    levels = F.array(*[F.lit((i + 1) / cells) for i in range(cells - 1)])
+    keys = group or ["_whole"]
+    values = values if group else values.withColumn("_whole", F.lit(0))
+    edges = values.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, levels, 10_000)).alias("_edges"))
+    return values.join(edges, keys).withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col(by)))).drop("_edges")
 
-def percentile_rank(group: list[str], by: str) -> Column:
-    return average_rank(group, by) / F.count(F.lit(1)).over(Window.partitionBy(*group))
+
+def running_sums(values: DataFrame, group: list[str], by: str, columns: dict[str, str], descending: bool = False) -> DataFrame:
+    """values (distinct in group and ``by``) with sums up to each row in order of ``by``, named by ``columns``.
+
+    Two levels: sums by range first, then running sums inside each range.
+    """
+    keys = group or ["_whole"]
+    placed = in_cells(values, group, by)
+    order = F.desc if descending else F.asc
+    sums = placed.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for c, n in columns.items()])
+    before = Window.partitionBy(*keys).orderBy(order("_cell")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sums = sums.select(*keys, "_cell", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in columns.values()])
+    inside = Window.partitionBy(*keys, "_cell").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(sums, [*keys, "_cell"])
+    return joined.select(*[c for c in values.columns], *[(F.col(f"_b_{n}") + F.sum(c).over(inside)).alias(n) for c, n in columns.items()])
+
+
+def average_rank(df: DataFrame, group: list[str], by: str, name: str, share: bool = False) -> DataFrame:
+    """Adds the rank of ``by`` from 1 with ties at their mean, as a share of the group's rows if asked. Null values rank first.
+
+    Ranks are made of distinct values and joined back, so no task orders all rows of a group.
+    """
+    counts = df.groupBy(*group, by).agg(F.count(F.lit(1)).alias("_n"))
+    known = running_sums(counts.where(F.col(by).isNotNull()), group, by, {"_n": "_le"})
+    nulls = counts.where(F.col(by).isNull()).select(*group, F.col("_n").alias("_nulls"))
+    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_all"))
+    rest = totals.join(nulls, group, "left") if group else totals.join(F.broadcast(nulls), how="left")
+    rest = rest.withColumn("_nulls", F.coalesce("_nulls", F.lit(0)))
+    ranks = known.join(rest, group) if group else known.join(F.broadcast(rest), how="cross")
+    rank = F.col("_nulls") + F.col("_le") - (F.col("_n") - 1) / 2.0
+    ranks = ranks.select(*[F.col(g).alias(f"_r_{g}") for g in group], F.col(by).alias("_r_by"), rank.alias("_rank"))
+    ranks = ranks.unionByName(rest.where("_nulls > 0").select(*[F.col(g).alias(f"_r_{g}") for g in group], F.lit(None).cast(df.schema[by].dataType).alias("_r_by"), ((F.col("_nulls") + 1) / 2.0).alias("_rank")))
+    on = df[by].eqNullSafe(F.col("_r_by"))
+    for g in group:
+        on = on & df[g].eqNullSafe(F.col(f"_r_{g}"))
+    out = df.join(ranks, on).select(*[df[c] for c in df.columns], "_rank")
+    if share:
+        out = out.join(totals, group) if group else out.join(F.broadcast(totals), how="cross")
+        return out.select(*df.columns, (F.col("_rank") / F.col("_all")).alias(name))
+    return out.withColumnRenamed("_rank", name)
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -86,9 +136,12 @@ def interval_union(df: DataFrame, group: list[str], start: str, end: str) -> Dat
 
 
 def kernel_mean(df: DataFrame, group: list[str], pos: str, value: str, radius: int, scale: float) -> DataFrame:
-    """Adds kernel_mean: the mean of other rows within ``radius``, weighted by exp(-distance / scale); 0 without any."""
-    me, you = df.select(*group, F.col(pos).alias("_p"), F.col(value).alias("_v")), df.select(*group, F.col(pos).alias("_q"), F.col(value).alias("_u"))
-    distance = F.abs(F.col("_p") - F.col("_q"))
-    near = me.join(you, group).where((distance <= radius) & (F.col("_p") != F.col("_q"))).withColumn("_w", F.exp(-distance / scale))
-    means = near.groupBy(*group, F.col("_p").alias(pos)).agg((F.sum(F.col("_w") * F.col("_u")) / F.sum("_w")).alias("kernel_mean"))
-    return df.join(means, [*group, pos], "left").withColumn("kernel_mean", F.coalesce(F.round("kernel_mean", 6), F.lit(0.0)))
+    """Adds kernel_mean: the mean of other rows within ``radius``, weighted by exp(-distance / scale); 0 without any.
+
+    Pairs meet in cells of the radius, each once, and count for both of their rows.
+    """
+    near = band_pairs(df, group, pos, radius, [value]).withColumn("_w", F.exp(-F.col("distance") / scale))
+    both = F.array(*[F.struct(F.col(f"{pos}_{me}").alias("_p"), F.col(f"{value}_{you}").alias("_u")) for me, you in ("ab", "ba")])
+    means = near.select(*group, "_w", F.inline(both)).groupBy(*group, "_p").agg((F.sum(F.col("_w") * F.col("_u")) / F.sum("_w")).alias("kernel_mean"))
+    joined = df.join(means.withColumnRenamed("_p", pos), [*group, pos], "left")
+    return joined.withColumn("kernel_mean", F.coalesce(F.round("kernel_mean", 6), F.lit(0.0)))

@@ -101,14 +101,15 @@ def relative_position(spark, d):
 @query("""select event_id, round((rank() over (partition by event_type order by value) + (count(*) over (partition by event_type, value) - 1) / 2.0)
 / count(*) over (partition by event_type), 6) pct from events""")
 def average_rank_pct(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(W.percentile_rank(["event_type"], "value"), 6).alias("pct"))
+    ranked = W.average_rank(table(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], "value", "pct", share=True)
+    return rounded(ranked.select("event_id", "pct"), "pct")
 
 
 @query("""with r as (select l_orderkey, l_linenumber, l_quantity q, (rank() over (partition by l_quantity order by l_extendedprice)
 + (count(*) over (partition by l_quantity, l_extendedprice) - 1) / 2.0) / count(*) over (partition by l_quantity) pct from lineitem)
 select q, count(*) n, sum(case when pct > 0.95 then 1 else 0 end) top from r group by q""")
 def band_top5pct(spark, d):
-    r = table(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), W.percentile_rank(["l_quantity"], "l_extendedprice").alias("pct"))
+    r = W.average_rank(table(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), "l_extendedprice"), ["q"], "l_extendedprice", "pct", share=True)
     return r.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("pct") > 0.95, 1).otherwise(0)).alias("top"))
 
 
@@ -330,7 +331,7 @@ def eigen_alignment(spark, d):
 
 @query()
 def mahalanobis(spark, d):
-    return rounded(A.mahalanobis(table(spark, d, "lineitem"), ["l_partkey"], READINGS, "l_partkey long"), "d_q50", "d_q95")
+    return rounded(A.mahalanobis(table(spark, d, "lineitem"), ["l_partkey"], READINGS), "d_q50", "d_q95")
 
 
 @query("""with q as (select l_partkey, quantile_cont(l_quantity, 0.9) a, quantile_cont(l_extendedprice, 0.9) b from lineitem group by 1)
@@ -377,7 +378,9 @@ def out_of_fold_rate(spark, d):
 
 @query("select event_id, round(value - avg(value) over (partition by event_type), 6) excess from events")
 def group_centred(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(F.col("value") - F.avg("value").over(Window.partitionBy("event_type")), 6).alias("excess"))
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    means = e.groupBy("event_type").agg(F.avg("value").alias("m"))  # joined back: Spark broadcasts it while it is small
+    return e.join(means, "event_type").select("event_id", F.round(F.col("value") - F.col("m"), 6).alias("excess"))
 
 
 @query(f"""with {SITES}, g as (select u, count(*) n, sum(case when v > 50 then 1 else 0 end) k from s group by u),
@@ -405,7 +408,9 @@ def weighted_loglinear_fit(spark, d):
 rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2.0 b from lineitem)
 select l_returnflag, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) rho from r group by 1""")
 def spearman_matrix(spark, d):
-    r = table(spark, d, "lineitem").select("l_returnflag", *[W.average_rank(["l_returnflag"], c).alias(n) for n, c in (("a", "l_quantity"), ("b", "l_extendedprice"))])
+    r = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    for c, n in (("l_quantity", "a"), ("l_extendedprice", "b")):
+        r = W.average_rank(r, ["l_returnflag"], c, n)
     return r.groupBy("l_returnflag").agg(F.round(A.safe_corr("a", "b"), 6).alias("rho"))
 
 
@@ -572,8 +577,10 @@ def hit_rate_at_k(spark, d):
 @query("""with r as (select event_id, (rank() over (partition by event_type order by value) + (count(*) over (partition by event_type, value) - 1) / 2.0) / count(*) over (partition by event_type) a,
 (rank() over (partition by event_type order by user_id) + (count(*) over (partition by event_type, user_id) - 1) / 2.0) / count(*) over (partition by event_type) b from events) select event_id, round((a + b) / 2, 6) mean_rank from r""")
 def rank_average_ensemble(spark, d):
-    a, b = (W.percentile_rank(["event_type"], c) for c in ("value", "user_id"))
-    return table(spark, d, "events").select("event_id", F.round((a + b) / 2, 6).alias("mean_rank"))
+    r = table(spark, d, "events").select("event_id", "event_type", "value", "user_id")
+    for c, n in (("value", "a"), ("user_id", "b")):
+        r = W.average_rank(r, ["event_type"], c, n, share=True)
+    return r.select("event_id", F.round((F.col("a") + F.col("b")) / 2, 6).alias("mean_rank"))
 
 
 @query("""with r as (select p_brand, l_linestatus, avg(l_discount) v from lineitem join part on l_partkey = p_partkey group by 1, 2)
@@ -591,8 +598,7 @@ def trust_min_of_two(spark, d):
 select count(*) k, round(avg(cast(y as double)), 6) "precision" from (select y, row_number() over (order by s desc, doc_id) r from d), k where r <= k""")
 def top_fraction_precision(spark, d):
     s = scored(spark, d)
-    k = max(1, int(round(0.01 * s.count())))
-    return s.orderBy(F.desc("s"), "doc_id").limit(k).agg(F.count(F.lit(1)).alias("k"), F.round(F.avg(F.col("y").cast("double")), 6).alias("precision"))
+    return M.top_share(s, "s", "doc_id", 0.01).agg(F.count(F.lit(1)).alias("k"), F.round(F.avg(F.col("y").cast("double")), 6).alias("precision"))
 
 
 @query("select l_partkey, l_suppkey, max(l_quantity) l_quantity from lineitem group by 1, 2")

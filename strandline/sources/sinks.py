@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import running_sums
+
 
 def offset_index(lines: DataFrame, order: str, line: str) -> DataFrame:
     """Adds start and end: byte offsets of each line (with its newline) in the file that holds them in order.
 
-    Two levels, so that no task holds all lines: sums over range partitions, then running sums inside each.
+    ``order`` is unique. Two levels, so that no task holds all lines: sums over ranges of it, then running sums inside each.
     """
-    parts = lines.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_size", F.octet_length(line) + 1)
-    sums = parts.groupBy("_part").agg(F.sum("_size").alias("_total"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    sums = sums.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_before") + F.sum("_size").over(inside)
-    out = parts.join(F.broadcast(sums), "_part").withColumn("end", end).withColumn("start", F.col("end") - F.col("_size"))
-    return out.drop("_part", "_size", "_before")
+    sized = lines.select(order, (F.octet_length(line) + 1).cast("long").alias("_size"))
+    ends = running_sums(sized, [], order, {"_size": "end"}).withColumn("start", F.col("end") - F.col("_size")).drop("_size")
+    return lines.join(ends, order)
 
 
 def write_scores(df: DataFrame, path: str) -> None:
