@@ -42,7 +42,7 @@ from .textkit import _power_tables, mix, runs, text_buffer
 
 GRAM = 20
 #: Bytes of text whose anchors are counted together.
-FLUSH = 32 << 20
+FLUSH = 8 << 20
 #: Longest stretch of one text handled at once; also keeps places within 24 bits.
 SEGMENT = 8 << 20
 #: Bits of the broadcast anchor filter (16 MB), each for one remainder of a key. It lets some unique
