@@ -14,8 +14,7 @@ documents are counted, summed over all runs, and the most frequent of them (at
 most ``FREQUENT``, the bound of the broadcast) sort behind all others by their
 count. Equal sets are one document for the join. Groups of near copies cost
 their size and not its square: a posting list first links its documents with its
-most central one, which has the fewest rarer shingles, then with a random one.
-Only then are pairs sought, between documents of different components, and by
+most central one, which has the fewest rarer shingles. Only then are pairs sought, between documents of different components, and by
 lists of one shingle and one band of sizes: a posting goes to the bands in which
 its place is early enough, so documents that merely share a template do not meet.
 
@@ -50,6 +49,8 @@ COUNTED = 1 << 22
 MOST_MATCHES = 8
 #: Comparisons of sizes to the cost of one posting.
 VERIFY_COST = 20.0
+#: Places of the parities that bound from below how much two sets differ.
+BITS = 2048
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.02
 
@@ -152,17 +153,22 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int,
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, s): the shingles of each text."""
+    """(doc, n, bits, s): the shingles of each text, and the parities of how many fall on each of BITS places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                sizes = np.array([len(s) for s in sets], np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), _long(values))], ["doc", "s"])
+                place = np.repeat(np.arange(len(sets)), sizes) * BITS + (values % np.uint64(BITS)).astype(np.int64)
+                parity = (np.bincount(place, minlength=len(sets) * BITS) & 1).astype(np.uint8)
+                bits = np.packbits(parity, bitorder="little").view(np.int64)
+                ends, words = np.append(0, np.cumsum(sizes)).astype(np.int32), np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
+                lists = [pa.ListArray.from_arrays(pa.array(words), pa.array(bits)), pa.ListArray.from_arrays(pa.array(ends), _long(values))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), *lists], ["doc", "n", "bits", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc long, n int, bits array<long>, s array<long>")
 
 
 def _fits(na: Column, nb: Column, percent: int) -> Column:
@@ -177,23 +183,28 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, checked on whole sets.
 
-    A pair takes b's set to the place of a, so the few leaders' sets move once.
+    Sets differ in at least as many shingles as their parities differ in places, so pairs that
+    differ in too many places go first. A pair then takes b's set to the place of a, so the few
+    leaders' sets move once.
     """
+    bits = [sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = apart <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), percent)
+    pairs = saved(pairs.join(bits[0], "a").join(bits[1], "b").where(near).select("a", "b").distinct(), "near-pairs")
     members = sets.join(_bounded(pairs), F.col("doc") == F.col("b")).select("a", "b", "s")
-    heads = sets.join(_bounded(pairs.select(F.col("a").alias("doc")).distinct()), "doc", "left_semi").toDF("a", "head")
+    heads = sets.join(_bounded(pairs.select(F.col("a").alias("doc")).distinct()), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("s").alias("head"))
     common = F.size(F.array_intersect("s", "head"))
     return members.join(heads, "a").where(common * 100 >= (F.size("s") + F.size("head") - common) * percent).select("a", "b")
 
 
-def _led(placed: DataFrame, rank: Column, percent: int) -> DataFrame:
-    """Candidates (a, b): each document b with the leader of another component that most of its lists share.
+def _led(shared: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): each document b with the leader that most of its lists share.
 
-    A list's leader is its document of smallest rank.
+    A list's leader is the document in which its shingle comes first, so the one with the fewest rarer shingles.
     """
-    leader = F.min(F.struct(rank.alias("r"), F.xxhash64("doc").alias("h"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")))
-    mixed = placed.groupBy("token").agg(leader.alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-    leaders = saved(mixed.select("token", "l.a", "l.na", "l.ca"), "leaders")
-    met = placed.join(_bounded(leaders), "token").where((F.col("c") != F.col("ca")) & _fits(F.col("na"), F.col("n"), percent))
+    leader = F.min(F.struct(F.col("p"), F.xxhash64("doc").alias("h"), F.col("doc").alias("a"), F.col("n").alias("na"))).alias("l")
+    leaders = saved(shared.groupBy("token").agg(leader).select("token", "l.a", "l.na"), "leaders")
+    met = shared.join(_bounded(leaders), "token").where((F.col("doc") != F.col("a")) & _fits(F.col("na"), F.col("n"), percent))
     counted = met.groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("m"))
     best = saved(counted.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b"), "led")
     dropped(leaders)
@@ -210,7 +221,7 @@ def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
 def _across(placed: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different components that share as many early shingles as they must.
 
-    The smaller document of a pair waits in the band of its size, the larger one
+    The larger document of a pair waits in the band of its size, the smaller one
     visits every band that may hold a partner. A pair of different components holds a
     document outside the component that is most frequent in the list, so only those
     meet the whole list.
@@ -224,10 +235,11 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     def band(size: Column) -> Column:
         return F.floor(F.log(size) / step).cast("int")
 
-    least = F.ceil(n * percent / 100 - 1e-9).cast("int")
-    small = lists.where(_overlap(n, n, percent) <= width).withColumn("band", band(n))
-    large = lists.select("*", F.explode(F.sequence(band(least), band(n))).alias("band"))
-    large = large.where(_overlap(n, F.greatest(least, F.floor(F.exp(F.col("band") * step) - 1e-6).cast("int")), percent) <= width)
+    # the smaller document goes to the bands of its larger partners, farther ones need ever earlier places
+    most = F.floor(n * 100 / percent + 1e-9).cast("int")
+    small = lists.where(_overlap(n, n, percent) <= width).select("*", F.explode(F.sequence(band(n), band(most))).alias("band"))
+    small = small.where(_overlap(n, F.greatest(n, F.floor(F.exp(F.col("band") * step) - 1e-6).cast("int")), percent) <= width)
+    large = lists.withColumn("band", band(n))
     columns, key = ("doc", "n", "need", "p", "c"), ["token", "band"]
 
     def side(rows: DataFrame, mark: str) -> DataFrame:
@@ -265,12 +277,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[D
     active = _bounded(saved(shared.select(F.col("doc").alias("doc_id")).distinct(), "active"))
     sets = saved(_sets(docs.join(active, "doc_id", "left_semi"), k), "sets")
 
-    placed, links = shared.withColumn("c", F.col("doc")), None
-    for rank in (F.col("p"), F.xxhash64(F.lit(1), "doc")):  # the most central document leads, then a random one
-        more = saved(_verified(sets, _led(placed, rank, percent), percent), "links")
-        links = more if links is None else links.unionByName(more)
-        before, placed = placed, _placed(shared, links)
-        dropped(before)
+    links = saved(_verified(sets, _led(shared, percent), percent), "links")
+    placed = _placed(shared, links)
     more = saved(_verified(sets, _across(placed, percent), percent), "more-links")
     for done in (shared, placed, sets):
         dropped(done)
