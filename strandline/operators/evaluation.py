@@ -212,3 +212,83 @@ def fold_distribution(scored: DataFrame, group: list[str]) -> DataFrame:
     m = M.average_precision(scored, [*group, "fold"], "s", "y").join(M.roc_auc(scored, [*group, "fold"], "s", "y"), [*group, "fold"])
     cols = [f(c).alias(f"{c}_{n}") for c in ("ap", "auc") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]
     return m.groupBy(*group).agg(F.count(F.lit(1)).alias("folds"), *cols)
+
+
+def density_view(sites: DataFrame, group: list[str], pos: str, width: int, share: float, seed: str) -> DataFrame:
+    """Adds n_seen: neighbours within ``width`` of which each is seen with chance ``share``, drawn once a site."""
+    seen = sites.withColumn("_seen", below(keyed(seed, *group, pos), share).cast("int"))
+    w = Window.partitionBy(*group).orderBy(pos).rangeBetween(-width, width)
+    return seen.withColumn("n_seen", F.sum("_seen").over(w) - F.col("_seen")).drop("_seen")
+
+
+def homophily(sites: DataFrame, group: list[str], pos: str, label: str, width: int, seeds: list[str]) -> DataFrame:
+    """Lift of positives next to a positive over those next to none, as they are (draw 0) and with labels shuffled in each group.
+
+    A shuffle deals a group's labels, in order of position, to its places in order of a keyed draw.
+    """
+    base = sites.select(*group, pos, F.col(label).alias("_y"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(pos))
+    worlds = base.withColumn("draw", F.lit(0))
+    for i, seed in enumerate(seeds):
+        at = base.drop("_y").withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(keyed(seed, *group, pos), pos)))
+        dealt = at.join(base.withColumn("_k", place).drop(pos), [*group, "_k"]).drop("_k")
+        worlds = worlds.unionByName(dealt.withColumn("draw", F.lit(i + 1)))
+    w = Window.partitionBy("draw", *group).orderBy(pos).rangeBetween(-width, width)
+    near = (F.sum("_y").over(w) - F.col("_y")) > 0
+    alone = (F.count(F.lit(1)).over(w)) == 1
+    r = worlds.select("draw", F.col("_y").cast("double").alias("_y"), near.alias("_near"), alone.alias("_alone")).where("not _alone")
+    with_, without = F.avg(F.when(F.col("_near"), F.col("_y"))), F.avg(F.when(~F.col("_near"), F.col("_y")))
+    return r.groupBy("draw").agg(with_.alias("rate_near"), without.alias("rate_apart"), (with_ / F.nullif(without, F.lit(0.0))).alias("lift"))
+
+
+def donors(rows: DataFrame, key: list[str], group: str, item: str, seed: str) -> DataFrame:
+    """Adds donor: another row of the same key, the next in order of a keyed draw that is of another group (null: none in eight)."""
+    w = Window.partitionBy(*key).orderBy(keyed(seed, *key, item), item)
+    ahead = F.array(*[F.struct(F.lead(group, i).over(w).alias("g"), F.lead(item, i).over(w).alias("i")) for i in range(1, 9)])
+    return rows.withColumn("donor", F.get(F.filter(ahead, lambda x: x["g"] != F.col(group)), F.lit(0))["i"])
+
+
+def standardised(reads: DataFrame, columns: list[str], logged: list[str]) -> DataFrame:
+    """Columns less their mean over their deviation (1 where it is 0), the logged ones on a log scale with a floor."""
+    x = reads.withColumns({c: F.ln(F.greatest(F.col(c).cast("double"), F.lit(1e-6))) for c in logged})
+    stats = x.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
+    z = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in columns}
+    return x.join(F.broadcast(stats), how="cross").withColumns(z).select(*reads.columns)
+
+
+def linear_cka(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """Linear kernel alignment of two sets of columns and each side's participation ratio, from covariances alone: one row."""
+
+    def square(a: list[str], b: list[str]) -> Column:
+        return sum((F.pow(F.covar_pop(x, y), 2) for x in a for y in b), F.lit(0.0))
+
+    def spread(a: list[str]) -> Column:
+        return F.pow(sum((F.var_pop(x) for x in a), F.lit(0.0)), 2) / F.nullif(square(a, a), F.lit(0.0))
+
+    cka = square(left, right) / F.nullif(F.sqrt(square(left, left) * square(right, right)), F.lit(0.0))
+    return df.agg(cka.alias("cka"), spread(left).alias("spread_left"), spread(right).alias("spread_right"))
+
+
+def column_audit(df: DataFrame, columns: list[str], level: str) -> DataFrame:
+    """For each column: the shift of every level's mean from that of level 0, in deviations of level 0 (null where 0)."""
+    long = df.select(level, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns])))
+    means = long.groupBy("column", level).agg(F.avg("_v").alias("_m"), F.stddev_samp("_v").alias("_s"))
+    zero = means.where(F.col(level) == 0).select("column", F.col("_m").alias("_m0"), F.col("_s").alias("_s0"))
+    return means.join(F.broadcast(zero), "column").select("column", level, ((F.col("_m") - F.col("_m0")) / F.nullif(F.col("_s0"), F.lit(0.0))).alias("shift"))
+
+
+def region_of(pos: Column, start: Column, end: Column, rule: str) -> Column:
+    """utr5, cds or utr3 of a position by three rules: a stop codon belongs to the coding part, to what follows, or the span decides."""
+    last = {"through_stop": end + 2, "before_stop": end - 1, "span": end}[rule]
+    return F.when(pos < start, "utr5").when(pos <= last, "cds").otherwise("utr3")
+
+
+def window_links(points: DataFrame, sites: DataFrame, group: list[str], flank: int) -> DataFrame:
+    """Site pairs (a < b) and the largest value of the point pairs (x, y, v) whose ends lie within ``flank`` of each.
+
+    Positions go to the 2 * flank + 1 places that own them, so both joins are on equal places.
+    """
+    owned = sites.select(*group, F.col("p").alias("site"), F.explode(F.sequence(F.col("p") - flank, F.col("p") + flank)).alias("at"))
+    one = points.join(owned.withColumnRenamed("site", "a").withColumnRenamed("at", "x"), [*group, "x"])
+    both = one.join(owned.withColumnRenamed("site", "b").withColumnRenamed("at", "y"), [*group, "y"]).where(F.col("a") != F.col("b"))
+    return both.groupBy(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("v").alias("v"))

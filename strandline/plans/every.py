@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, features
+from . import catalog, evaluation, features
 
-MODULES = (catalog, features)
+MODULES = (catalog, features, evaluation)
 queries, oracle_sql = catalog.queries, catalog.oracle_sql
