@@ -72,3 +72,18 @@ def band_of(distance: Column, edges: list[int]) -> Column:
     for lo, hi in zip(edges, edges[1:], strict=False):
         out = F.when((distance >= lo) & (distance < hi), f"{lo}-{hi}").otherwise(out)
     return out
+
+
+def lift_over(points: DataFrame, exons: DataFrame, group: str, pos: str) -> DataFrame:
+    """Points with chrom, strand and gpos: the genome's place of a transcript's place, null beyond its last exon.
+
+    ``exons`` are closed intervals (group, chrom, strand, start, end); on the minus strand both order and places run down.
+    """
+    order = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
+    along = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    length = F.col("end") - F.col("start") + 1
+    placed = exons.select("*", (F.sum(length).over(along) - length).alias("t_start"), F.sum(length).over(along).alias("t_end"))
+    held = place_in_intervals(points, placed.select(group, "chrom", "strand", "start", "end", "t_start", "t_end"), [group], pos)
+    into = F.col(pos) - F.col("t_start")
+    gpos = F.when(F.col("strand") == "-", F.col("end") - into).otherwise(F.col("start") + into)
+    return held.select(*points.columns, "chrom", "strand", gpos.cast("long").alias("gpos"))

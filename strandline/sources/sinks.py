@@ -38,3 +38,52 @@ def submission_problems(scores: DataFrame, expected: DataFrame, keys: list[str],
     missing = expected.select(*keys).distinct().join(rows, keys, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("missing").alias("kind"), "n")
     extra = rows.select(*keys).distinct().join(expected, keys, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("extra").alias("kind"), "n")
     return kinds.unionByName(copies).unionByName(missing).unionByName(extra)
+
+
+def write_indexed(lines: DataFrame, path: str, order: str, line: str, keys: list[str]) -> None:
+    """``path``/data as text in order and ``path``/info as csv of the keys and each line's byte offsets in the joined files."""
+    indexed = offset_index(lines, order, line)
+    indexed.repartitionByRange(order).sortWithinPartitions(order).select(line).write.mode("overwrite").text(f"{path}/data")
+    indexed.select(*keys, "start", "end").write.mode("overwrite").csv(f"{path}/info", header=True)
+
+
+def write_folds(rows: DataFrame, folds: DataFrame, path: str, group: str, seed: str = "validation") -> None:
+    """Rows by fold and part: a fold's groups are its test part, a tenth of the others its validation part, chosen by group."""
+    numbers = folds.select(F.col("fold").alias("fold")).distinct()  # a handful of folds
+    parts = rows.join(folds.select(group, F.col("fold").alias("_own")), group).join(F.broadcast(numbers), how="cross")
+    tenth = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "fold", F.col(group).cast("string"))), 1, 8) < f"{int(0.1 * (1 << 32)):08x}"
+    part = F.when(F.col("_own") == F.col("fold"), "test").when(tenth, "validation").otherwise("train")
+    parts.withColumn("part", part).drop("_own").write.mode("overwrite").partitionBy("fold", "part").csv(path, header=True)
+
+
+def write_by_name(rows: DataFrame, path: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """One JSON record a key under a file name made of its hash; returns (keys, name), the index that names them."""
+    name = F.substring(F.sha2(F.concat_ws(":", *keys), 256), 1, 24)
+    records = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("sites")).withColumn("name", name)
+    records.repartition("name").write.mode("overwrite").partitionBy("name").json(path)
+    return records.select(*keys, "name")
+
+
+def write_scored_sample(scores: DataFrame, reads: DataFrame, path: str, keys: list[str], shown: DataFrame) -> bool:
+    """Scores with five digits and the readings of the shown keys; False, with nothing written, where the target exists."""
+    try:
+        if not scores.sparkSession.read.text(f"{path}/scores").isEmpty():
+            return False
+    except Exception as e:  # only a missing target is written
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    digits = F.format_string("%.5g", F.col("score").cast("double"))
+    scores.withColumn("score", digits).write.csv(f"{path}/scores", header=True)
+    reads.join(shown.select(*keys).distinct(), keys, "left_semi").write.parquet(f"{path}/reads")
+    return True
+
+
+def write_sample(lines: DataFrame, path: str, n: int, key: str, line: str, seed: str = "sample") -> None:
+    """Exactly n lines (all if there are fewer), those of the smallest keyed hashes, as one gzip text."""
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    lines.orderBy(draw, key).limit(n).orderBy(key).coalesce(1).select(line).write.mode("overwrite").text(path, compression="gzip")
+
+
+def write_ranked(rows: DataFrame, path: str, kmer: str = "kmer") -> None:
+    """Ranked rows as quoted csv, bases of RNA."""
+    rows.withColumn(kmer, F.translate(kmer, "T", "U")).coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True)
