@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,30 +95,43 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their counts; at most FREQUENT of them."""
+@dataclass
+class Frequencies:
+    """The most frequent shingles, sorted, their counts, and how often another one is expected elsewhere."""
+
+    tokens: np.ndarray
+    counts: np.ndarray
+    elsewhere: float = 0.0
+
+
+def _frequencies(profile: DataFrame) -> Frequencies:
+    """At most FREQUENT shingles; what the runs show of the others is carried on to the number of runs."""
     counts = saved(profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "shingle-counts")
     least = at_most(counts, "seen", FREQUENT)
+    total = profile.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rest = counts if least is None else counts.where(F.col("seen") < least)
+    rare = rest.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n")).first()["n"]
+    elsewhere = min(1.0, rare / total * max(1.0, total / COUNTED)) if total else 0.0
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), elsewhere)
     got = counts.where(F.col("seen") >= least).toPandas()
     token = got["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], got["seen"].to_numpy(np.int64)[order]
+    return Frequencies(token[order], got["seen"].to_numpy(np.int64)[order], elsewhere)
 
 
-def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def prefix(s: np.ndarray, known: Frequencies, percent: int) -> tuple[np.ndarray, int]:
     """The set's prefix, in the global order, and the number of matches it asks for."""
     n = len(s)
     slack = n - -(-percent * n // 100)  # shingles that the smallest partner may lack
     tight = n - -(-2 * percent * n // (100 + percent))  # those that a partner of the same size may lack
     most = min(MOST_MATCHES, n - slack)
-    seen = np.ones(n, np.int64)
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-        known = tokens[at] == s
-        seen[known] = counts[at[known]]
-        order = np.concatenate([np.flatnonzero(~known), (w := np.flatnonzero(known))[np.argsort(seen[w], kind="stable")]])
+    seen = np.full(n, 1 + known.elsewhere)
+    if len(known.tokens):
+        at = np.minimum(np.searchsorted(known.tokens, s), len(known.tokens) - 1)
+        held = known.tokens[at] == s
+        seen[held] = known.counts[at[held]]
+        order = np.concatenate([np.flatnonzero(~held), (w := np.flatnonzero(held))[np.argsort(seen[w], kind="stable")]])
         s, seen = s[order], seen[order]
     scanned = np.cumsum(seen)[tight : tight + most]
     met = np.cumsum(seen - 1)[tight : tight + most]
@@ -125,17 +139,17 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
     return s[: slack + m], m
 
 
-def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, frequent: Frequencies, k: int, percent: int) -> DataFrame:
     """(token, doc, n, need, p): prefixes of all documents; p is the shingle's place in the document's order."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = table.value
+        known = table.value
         for batch in batches:
             for part in runs(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 ids = part.column("doc_id").cast(pa.int64())
-                made = [(i, len(s), *prefix(s, tokens, counts, percent)) for i, s in zip(ids.to_pylist(), sets, strict=True) if len(s) and i is not None]
+                made = [(i, len(s), *prefix(s, known, percent)) for i, s in zip(ids.to_pylist(), sets, strict=True) if len(s) and i is not None]
                 if made:
                     sizes = [len(p) for _, _, p, _ in made]
                     yield pa.RecordBatch.from_arrays(
@@ -180,13 +194,15 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * percent / (100 + percent) - 1e-9).cast("int")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, checked on whole sets.
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The saved pairs (a, b) whose sets are similar enough, checked on whole sets of their documents.
 
     Sets differ in at least as many shingles as their parities differ in places, so pairs that
     differ in too many places go first. A pair then takes b's set to the place of a, so the few
     leaders' sets move once.
     """
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-documents")
+    sets = saved(_sets(docs.join(_bounded(ids), "doc_id", "left_semi"), k), "sets")
     bits = [sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
     apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     near = apart <= F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"), percent)
@@ -194,19 +210,34 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     members = sets.join(_bounded(pairs), F.col("doc") == F.col("b")).select("a", "b", "s")
     heads = sets.join(_bounded(pairs.select(F.col("a").alias("doc")).distinct()), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("s").alias("head"))
     common = F.size(F.array_intersect("s", "head"))
-    return members.join(heads, "a").where(common * 100 >= (F.size("s") + F.size("head") - common) * percent).select("a", "b")
+    links = saved(members.join(heads, "a").where(common * 100 >= (F.size("s") + F.size("head") - common) * percent).select("a", "b"), "links")
+    dropped(sets)
+    return links
+
+
+def _early(a: str, b: str, percent: int) -> Column:
+    """Whether a shared shingle's places in both documents are early enough for the matches that they ask for."""
+    na, nb, m = F.col(f"n{a}"), F.col(f"n{b}"), F.least(f"need{a}", f"need{b}")
+    o = _overlap(na, nb, percent)
+    return _fits(na, nb, percent) & (F.col(f"p{a}") < na - o + m) & (F.col(f"p{b}") < nb - o + m)
+
+
+def _suffixed(rows: DataFrame, mark: str, columns: tuple[str, ...], key: list[str]) -> DataFrame:
+    return rows.select(*key, *[F.col(c).alias(c + mark) for c in columns])
 
 
 def _led(shared: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b): each document b with the leader that most of its lists share.
+    """Candidates (a, b): each document b with the leader that most of its lists share, if they share as many shingles as asked for.
 
     A list's leader is the document in which its shingle comes first, so the one with the fewest rarer shingles.
     """
-    leader = F.min(F.struct(F.col("p"), F.xxhash64("doc").alias("h"), F.col("doc").alias("a"), F.col("n").alias("na"))).alias("l")
-    leaders = saved(shared.groupBy("token").agg(leader).select("token", "l.a", "l.na"), "leaders")
-    met = shared.join(_bounded(leaders), "token").where((F.col("doc") != F.col("a")) & _fits(F.col("na"), F.col("n"), percent))
-    counted = met.groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("m"))
-    best = saved(counted.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b"), "led")
+    columns = ("doc", "n", "need", "p")
+    first = F.min(F.struct(F.col("p"), F.xxhash64("doc").alias("h"), "doc", "n", "need")).alias("l")
+    leaders = saved(shared.groupBy("token").agg(first).select("token", "l.doc", "l.n", "l.need", "l.p"), "leaders")
+    met = _suffixed(shared, "b", columns, ["token"]).join(_bounded(_suffixed(leaders, "a", columns, ["token"])), "token")
+    met = met.where((F.col("doca") != F.col("docb")) & _early("a", "b", percent))
+    counted = met.groupBy("doca", "docb").agg(F.count("*").alias("m"), F.min(F.least("needa", "needb")).alias("need")).where("m >= need")
+    best = saved(counted.groupBy(F.col("docb").alias("b")).agg(F.max(F.struct("m", F.col("doca").alias("a"))).alias("x")).select("x.a", "b"), "led")
     dropped(leaders)
     return best
 
@@ -241,18 +272,11 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
     small = small.where(_overlap(n, F.greatest(n, F.floor(F.exp(F.col("band") * step) - 1e-6).cast("int")), percent) <= width)
     large = lists.withColumn("band", band(n))
     columns, key = ("doc", "n", "need", "p", "c"), ["token", "band"]
-
-    def side(rows: DataFrame, mark: str) -> DataFrame:
-        return rows.select(*key, *[F.col(c).alias(c + mark) for c in columns])
-
-    na, nb, m = F.col("na"), F.col("nb"), F.least("needa", "needb")
-    o = _overlap(na, nb, percent)
-    fits = (F.col("ca") != F.col("cb")) & ((na < nb) | (na == nb) & (F.col("doca") < F.col("docb"))) & (na * 100 >= nb * percent)
-    fits &= (F.col("pa") < na - o + m) & (F.col("pb") < nb - o + m)
+    fits = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("doca") < F.col("docb"))) & _early("a", "b", percent)
     minor = F.col("c") != F.col("major")
-    met = side(small.where(minor), "a").join(side(large, "b"), key).where(fits)
-    met = met.unionByName(side(small.where(~minor), "a").join(side(large.where(minor), "b"), key).where(fits))
-    pairs = met.groupBy(F.col("doca").alias("a"), F.col("docb").alias("b")).agg(F.count("*").alias("m"), F.min(m).alias("need"))
+    met = _suffixed(small.where(minor), "a", columns, key).join(_suffixed(large, "b", columns, key), key).where(fits)
+    met = met.unionByName(_suffixed(small.where(~minor), "a", columns, key).join(_suffixed(large.where(minor), "b", columns, key), key).where(fits))
+    pairs = met.groupBy(F.col("doca").alias("a"), F.col("docb").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("needa", "needb")).alias("need"))
     return saved(pairs.where("m >= need").select("a", "b"), "candidates")
 
 
@@ -267,21 +291,18 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[D
     members = profile.where("token is null").select("doc_id", "n", "fp")
     reps = members.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = saved(reps, "representatives")
-    frequent = _frequent(profile)
+    frequent = _frequencies(profile)
     chosen = _bounded(reps.select(F.col("rep").alias("doc")))
     postings = saved(_postings(docs, frequent, k, percent).join(chosen, "doc", "left_semi"), "postings")
     several = saved(postings.groupBy("token").count().where("count > 1").select("token"), "several")
     several = F.broadcast(several) if several.count() <= 4 * BROADCAST_ROWS else several
     shared = saved(postings.join(several, "token", "left_semi"), "shared-postings")
     dropped(postings)
-    active = _bounded(saved(shared.select(F.col("doc").alias("doc_id")).distinct(), "active"))
-    sets = saved(_sets(docs.join(active, "doc_id", "left_semi"), k), "sets")
-
-    links = saved(_verified(sets, _led(shared, percent), percent), "links")
+    links = _verified(docs, _led(shared, percent), k, percent)
     placed = _placed(shared, links)
-    more = saved(_verified(sets, _across(placed, percent), percent), "more-links")
-    for done in (shared, placed, sets):
-        dropped(done)
+    more = _verified(docs, _across(placed, percent), k, percent)
+    dropped(shared)
+    dropped(placed)
     full = members.join(reps, "fp", "left").select("doc_id", "n", "rep")
     # rows that repeat an id with different texts tie the representatives of these texts
     several = full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a != hi").drop("hi")
