@@ -88,14 +88,16 @@ def annotate(
     names the input columns to return (all by default); one called ``name`` is replaced. No row moves.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, result)])
+    # Python functions over a table take no names with dots, so these are plain while it runs
+    plain = {c: free_name(df, f"_column{i}") if "." in c or "`" in c else c for i, c in enumerate(df.columns)}
+    schema = T.StructType([T.StructField(plain[c], df.schema[c].dataType) for c in kept] + [T.StructField(name, result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), compute(batch)], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(plain[c]) for c in kept), compute(batch)], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*plain.values()).mapInArrow(run, schema).toDF(*kept, name)
 
 
 def at_most(df: DataFrame, count: str, limit: int) -> int | None:

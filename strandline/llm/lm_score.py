@@ -19,8 +19,10 @@ table, the parameters, and the ``KNOWN_WORDS`` most frequent words (the bound of
 the broadcast that scores most tokens in place; the other words are joined).
 
 Defined cases: a null text is empty and is one end token. A null id is in the
-training part. Repeated rows give a row each and count each. Without training
-texts every probability is uniform and the base score is 0.
+training part. Repeated rows give a row each and count each. Texts of any length
+are taken whole. Only doc_id and text are read, so other columns may have any
+name. An empty table gives an empty result. Without training texts every
+probability is uniform and the base score is 0.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import at_most, held_out, saved
-from .textkit import text_buffer
+from .textkit import runs, text_buffer
 
 SINGLE, SHARED = 192, 64
 CLASSES = SINGLE + SHARED
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 #: Steps of the training, each a pass over all counts.
 PASSES = 80
 ALPHA = 0.1
@@ -49,12 +51,13 @@ END = b""
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    data, offsets = text_buffer(batch.column("text"))
-    raw = data.tobytes()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        words = raw[a:b].lower().split()
-        words.append(END)
-        yield words
+    for part in runs(batch, "text"):
+        data, offsets = text_buffer(part.column("text"))
+        raw = data.tobytes()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            words = raw[a:b].lower().split()
+            words.append(END)
+            yield words
 
 
 def count_words(docs: DataFrame, flush: int = 200_000) -> DataFrame:
@@ -191,7 +194,8 @@ class LogBilinear:
             s -= s.max(1, keepdims=True)
             s -= np.log(np.exp(s).sum(1, keepdims=True))
             out[a * CLASSES : (a + 1) * CLASSES] = s
-        return out / np.float32(np.log(10))
+        out /= np.float32(np.log(10))
+        return out
 
 
 def train_classes(trigrams: DataFrame, frequency: np.ndarray) -> LogBilinear:
@@ -264,9 +268,9 @@ def score_texts(docs: DataFrame, folds: int = 10, counted: DataFrame | None = No
         classes, model, known, inside = held.value
         table, look, end = model.table(), _Lookup(classes), classes.of(END)
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for part in (p for batch in batches for p in runs(batch, "text")):
             rows, rare = [], []
-            for doc, words in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
+            for doc, words in zip(part.column("doc_id").to_pylist(), _texts(part), strict=True):
                 n = len(words)
                 ids = np.full(n + 2, end, np.int64)
                 ids[2:] = np.fromiter(map(look.__getitem__, words), np.int64, n)
