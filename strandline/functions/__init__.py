@@ -1 +1 @@
-"""Part of the strandline engine."""
+"""Column functions without a table of their own."""

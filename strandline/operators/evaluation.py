@@ -9,32 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import below, keyed, poisson_weight, region_of, verdict
 from . import metrics as M
 from .windows import average_rank, running_sums
 
-HEX = "0123456789abcdef"
-
-
-def keyed(seed: str, *columns: str) -> Column:
-    """The first eight hexadecimal digits of the md5 of ``seed:column:...``: an even draw for each key."""
-    return F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns])), 1, 8)
-
-
-def below(draw: Column, share: float) -> Column:
-    """Whether a keyed draw falls in the first ``share`` of its range."""
-    return F.lit(True) if share >= 1 else draw < f"{int(share * (1 << 32)):08x}"
-
-
-def poisson_weight(draw: Column) -> Column:
-    """How often a keyed draw takes its key in a Poisson(1) resample."""
-    weight, p, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        weight = weight + (draw >= f"{int(min(total, 1 - 2**-33) * (1 << 32)):08x}").cast("int")
-        p /= k + 1
-    return weight
-
-
 def thin_readings(reads: DataFrame, site: list[str], item: list[str], depths: list[int], seed: str) -> DataFrame:
     """Readings kept at each depth: those of the smallest keyed draws, all where there are fewer; one ranking a depth."""
     at = reads.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
@@ -83,11 +61,6 @@ def paired(obs: DataFrame, group: list[str], a: str, b: str, folds: int, least:
     return g.withColumns({"t_naive": t(1 / F.col("n")), "t_corrected": t(1 / F.col("n") + 1 / (folds - 1))}).drop("_v")
 
 
-def verdict(p: Column, wins: Column) -> Column:
-    """better or worse where p < 0.05 and nine of ten pairs agree, else no difference."""
-    return F.when((p < 0.05) & (wins >= 0.9), "better").when((p < 0.05) & (wins <= 0.1), "worse").otherwise("no difference")
-
-
 def weighted_ap_auc(df: DataFrame, group: list[str], order: list[Column], label: str, weight: str) -> DataFrame:
     """Average precision and AUC of rows in their given order, each row a step of its own, whatever scores tie.
 
@@ -277,12 +250,6 @@ def column_audit(df: DataFrame, columns: list[str], level: str) -> DataFrame:
     return means.join(F.broadcast(zero), "column").select("column", level, ((F.col("_m") - F.col("_m0")) / F.nullif(F.col("_s0"), F.lit(0.0))).alias("shift"))
 
 
-def region_of(pos: Column, start: Column, end: Column, rule: str) -> Column:
-    """utr5, cds or utr3 of a position by three rules: a stop codon belongs to the coding part, to what follows, or the span decides."""
-    last = {"through_stop": end + 2, "before_stop": end - 1, "span": end}[rule]
-    return F.when(pos < start, "utr5").when(pos <= last, "cds").otherwise("utr3")
-
-
 def window_links(points: DataFrame, sites: DataFrame, group: list[str], flank: int) -> DataFrame:
     """Site pairs (a < b) and the largest value of the point pairs (x, y, v) whose ends lie within ``flank`` of each.
 
