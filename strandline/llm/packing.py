@@ -37,9 +37,9 @@ from .textkit import LOWER, SPACE_WORDS, runs, spans, text_buffer
 
 GROUP_WINDOWS = 64
 #: Bytes of texts encoded together.
-TOGETHER = 4 << 20
-#: Most words remembered by a task, about 100 MB.
-REMEMBERED = 400_000
+TOGETHER = 2 << 20
+#: Most words remembered by a task, about 75 MB.
+REMEMBERED = 300_000
 #: New words encoded in one call.
 CHUNK = 8192
 #: Words that the tokenizer neither changes nor parts: small Latin letters, each of one code point.
