@@ -81,8 +81,9 @@ def annotate(
     result: T.StructType,
     name: str = "_sl",
     keep: list[str] | None = None,
+    parts: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
-    """Adds a struct column that ``make()`` computes from record batches of df.
+    """Adds a struct column that ``make()`` computes from record batches of df, or from the ``parts`` of each.
 
     ``make`` runs once a task and returns the function for its batches. ``keep``
     names the input columns to return (all by default); one called ``name`` is replaced. No row moves.
@@ -94,8 +95,9 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(plain[c]) for c in kept), compute(batch)], schema.names)
+        for whole in batches:
+            for batch in [whole] if parts is None else parts(whole):
+                yield pa.RecordBatch.from_arrays([*(batch.column(plain[c]) for c in kept), compute(batch)], schema.names)
 
     return df.toDF(*plain.values()).mapInArrow(run, schema).toDF(*kept, name)
 
