@@ -109,3 +109,40 @@ select doc_id, cast(coalesce(len(ls), 0) as bigint) n_lines, cast(len(gone) as b
        sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: not list_contains(gone, i)), chr(10)), '')) kept_sha256
 from k
 """
+
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0..a{n} to codebooks c0..c{n}: each of n rounds assigns all parts, then moves the entries."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} as (select vec_id, j, any_value(x) x, arg_min(e, (d, e)) e, min(d) d from (
+    select p.vec_id, p.j, p.x, c.e, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x) d from p join c{i} c using (j)) group by vec_id, j)""")
+        if i < n:
+            out.append(f"""c{i + 1} as (select c.j, c.e, coalesce(m.x, c.x) x from c{i} c left join (
+    select j, e, list(floor(s / n) order by i) x from (select j, e, i, sum(x[i]) s, count(*) n from (select j, e, x, unnest(range(1, len(x) + 1)) i from a{i}) group by j, e, i) group by j, e) m using (j, e))""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_vector_codes"] = f"""
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * cast(x as double))) v from embeddings where {_WHOLE}),
+p as (select vec_id, j, v[j * (len(v) // 8) + 1:(j + 1) * (len(v) // 8)] x from (select vec_id, v, unnest(range(0, 8)) j from k)),
+f as (select vec_id, row_number() over (order by vec_id) - 1 e from k order by vec_id limit 16),
+c0 as (select j, e, x from p join f using (vec_id)),
+{_rounds(6)},
+b as (select sha256(string_agg(cast(cast(v as bigint) as varchar), ',' order by j, e, i)) codebooks_sha256 from (select j, e, unnest(x) v, unnest(range(0, len(x))) i from c6)),
+r as (select vec_id, string_agg(printf('%02x', e), '' order by j) code, cast(sum(d) as bigint) error from a6 group by vec_id),
+l as (select vec_id, code, error, label from r join k using (vec_id))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from l, b
+"""
+
+ORACLES["op13_hard_negatives"] = f"""
+with k as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end y, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+    from embeddings where label is not null and {_WHOLE}),
+s as (select a.vec_id anchor_id, k.vec_id id, a.y = k.y same, cast(list_inner_product(a.v, k.v) as bigint) s from k a join k on a.vec_id <> k.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, id, s from s where same qualify row_number() over (partition by anchor_id order by s desc, id) <= 5),
+n as (select anchor_id, p.id positive_id, s.id negative_id, p.s positive_score, s.s negative_score from p join s using (anchor_id) where not same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+select anchor_id, positive_id, cast(row_number() over w as integer) rank, negative_id, positive_score, negative_score from n
+window w as (partition by anchor_id, positive_id order by negative_score desc, negative_id) qualify rank <= 3
+"""

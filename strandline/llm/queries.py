@@ -98,6 +98,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode_pieces
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_pieces(docs, str(public_tokenizers.path("piece_bpe_32k.model")), keep=["doc_id"])
+    digests = [F.sha2(F.col(f"pieces.{c}").cast("binary"), 256).alias(f"{n}_sha256") for c, n in (("ids", "ids"), ("decoded", "decoded"))]
+    return out.select("doc_id", "pieces.n_tokens", *digests)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives
+
+    return mine_hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
