@@ -190,7 +190,8 @@ def _search(blocks: DataFrame, shards: DataFrame, k: int, same: bool) -> DataFra
         for block in left.to_pylist():
             best = Best(block, k, same, _longs(block["limits"]) if block.get("limits") is not None else None)
             for bucket in sorted(right.to_pylist(), key=lambda b: (-b["top"], b["part"])):
-                best.meet(bucket)
+                if bucket["d"] == block["d"]:  # a shard may hold the last bucket of one length and the first of another
+                    best.meet(bucket)
             query, score, ids = best.found
             rows = best.row[query]
             n = len(query)
