@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import below, keyed, poisson_weight, region_of, verdict
 from . import metrics as M
-from .windows import average_rank, running_sums
+from .tables import saved
+from .windows import average_rank, numbered, running_sums, same
 
 def thin_readings(reads: DataFrame, site: list[str], item: list[str], depths: list[int], seed: str) -> DataFrame:
     """Readings kept at each depth: those of the smallest keyed draws, all where there are fewer; one ranking a depth."""
@@ -20,9 +21,20 @@ def thin_readings(reads: DataFrame, site: list[str], item: list[str], depths: li
     return at.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("depth")).drop("_r")
 
 
+def thinning_envelope(reads: DataFrame, site: list[str], item: list[str], value: str, depths: list[int], draws: int, seed: str) -> DataFrame:
+    """(site, depth, median, p10, p90) of a site's mean over ``draws`` keyed draws of ``depth`` readings each, for every site."""
+    at = F.array(*[F.struct(F.lit(i + 1).alias("draw"), F.lit(n).alias("depth")) for i in range(draws) for n in depths])
+    each = reads.select(*site, *item, value, F.inline(at))
+    w = Window.partitionBy(*site, "draw", "depth").orderBy(keyed(seed, "draw", "depth", *site, *item), *item, value)
+    kept = each.withColumn("_r", F.row_number().over(w)).where("_r <= depth")
+    means = kept.groupBy(*site, "depth", "draw").agg(F.avg(value).alias("_s"))
+    q = means.groupBy(*site, "depth").agg(F.percentile("_s", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("_q"))
+    return q.select(*site, "depth", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "p10", "p90"))])
+
+
 def depth_sweep(scored: DataFrame, full: int) -> DataFrame:
     """Metrics of each depth of (depth, s, y), and the share of the deepest average precision that is retained."""
-    m = M.average_precision(scored, ["depth"], "s", "y").join(M.roc_auc(scored, ["depth"], "s", "y"), "depth")
+    m = saved(M.ap_and_auc(scored, ["depth"], "s", "y").select("depth", "ap", "auc"), "depths")  # a row a depth
     top = m.where(F.col("depth") == full).select(F.col("ap").alias("_full"))  # one row
     return m.join(F.broadcast(top), how="cross").select("depth", "ap", "auc", (F.col("ap") / F.nullif(F.col("_full"), F.lit(0.0))).alias("retained"))
 
@@ -64,11 +76,10 @@ def paired(obs: DataFrame, group: list[str], a: str, b: str, folds: int, least:
 def weighted_ap_auc(df: DataFrame, group: list[str], order: list[Column], label: str, weight: str) -> DataFrame:
     """Average precision and AUC of rows in their given order, each row a step of its own, whatever scores tie.
 
-    The window holds the rows of one group: bounded groups such as a resample's draws of one stratum.
+    ``order`` tells all rows of a group apart; running sums are made of ranges of it.
     """
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     y, x = F.col(label).cast("double"), F.col(weight).cast("double")
-    r = df.select(*group, (x * y).alias("_p"), (x * (1 - y)).alias("_n"), F.sum(x * y).over(w).alias("_tp"), F.sum(x).over(w).alias("_all"))
+    r = running_sums(df.withColumns({"_p": x * y, "_n": x * (1 - y), "_x": x}), group, order, {"_p": "_tp", "_x": "_all"})
     positives, negatives = F.sum("_p"), F.sum("_n")
     ap = F.sum(F.col("_p") * F.col("_tp") / F.nullif(F.col("_all"), F.lit(0.0))) / F.nullif(positives, F.lit(0.0))
     auc = F.sum(F.col("_n") * F.col("_tp")) / F.nullif(positives * negatives, F.lit(0.0))
@@ -91,8 +102,7 @@ def bootstrap_ap(df: DataFrame, cluster: list[str], arms: list[str], label: str,
     drawn = cells.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     drawn = drawn.withColumn("_w", poisson_weight(keyed(seed, "resample", *cluster))).where("_w > 0")
     t = drawn.groupBy("resample", "arm", "s").agg(F.sum(F.col("_w") * F.col("_k")).alias("tp"), F.sum(F.col("_w") * F.col("_n")).alias("n"))
-    w = Window.partitionBy("resample", "arm").orderBy(F.desc("s"))
-    t = t.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w))
+    t = running_sums(t, ["resample", "arm"], "s", {"tp": "ctp", "n": "cn"}, descending=True)
     return t.groupBy("resample", "arm").agg(F.sum("tp").alias("_p"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("_x")).where("_p > 0").select("resample", "arm", (F.col("_x") / F.col("_p")).alias("ap"))
 
 
@@ -168,8 +178,8 @@ def rank_in_sample(new: DataFrame, sample: DataFrame, score: str) -> DataFrame:
     """Adds place: the average rank share of each score within a stored sample, (below + at or below + 1) / 2 / n."""
     zero = new.groupBy(F.col(score).alias("_s")).agg(F.lit(0).cast("long").alias("_n"))
     counts = zero.unionByName(sample.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))).groupBy("_s").agg(F.sum("_n").alias("_n"))
-    total = sample.agg(F.count(F.lit(1)).alias("_all"))
-    place = running_sums(counts, [], "_s", {"_n": "_le"}).join(F.broadcast(total), how="cross")
+    place = running_sums(counts, [], "_s", {"_n": "_le"})
+    place = place.join(F.broadcast(place.agg(F.max("_le").alias("_all"))), how="cross")  # one row
     place = place.select(F.col("_s").alias(score), ((F.col("_le") - F.col("_n") + F.col("_le") + 1) / 2.0 / F.col("_all")).alias("place"))
     return new.join(place, score)
 
@@ -182,7 +192,7 @@ def out_of_fold(parts: DataFrame, keys: list[str], expected: int | None = None)
 
 def fold_distribution(scored: DataFrame, group: list[str]) -> DataFrame:
     """Average precision and AUC of every fold, as mean, deviation, least and most by group (fold is a column)."""
-    m = M.average_precision(scored, [*group, "fold"], "s", "y").join(M.roc_auc(scored, [*group, "fold"], "s", "y"), [*group, "fold"])
+    m = M.ap_and_auc(scored, [*group, "fold"], "s", "y")
     cols = [f(c).alias(f"{c}_{n}") for c in ("ap", "auc") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]
     return m.groupBy(*group).agg(F.count(F.lit(1)).alias("folds"), *cols)
 
@@ -214,11 +224,59 @@ def homophily(sites: DataFrame, group: list[str], pos: str, label: str, width: i
     return r.groupBy("draw").agg(with_.alias("rate_near"), without.alias("rate_apart"), (with_ / F.nullif(without, F.lit(0.0))).alias("lift"))
 
 
+def drawn_number(seed: str, *columns: str) -> Column:
+    """An even draw of 0 to 2**32 - 1 for each key."""
+    return F.conv(keyed(seed, *columns), 16, 10).cast("long")
+
+
 def donors(rows: DataFrame, key: list[str], group: str, item: str, seed: str) -> DataFrame:
-    """Adds donor: another row of the same key, the next in order of a keyed draw that is of another group (null: none in eight)."""
-    w = Window.partitionBy(*key).orderBy(keyed(seed, *key, item), item)
-    ahead = F.array(*[F.struct(F.lead(group, i).over(w).alias("g"), F.lead(item, i).over(w).alias("i")) for i in range(1, 9)])
-    return rows.withColumn("donor", F.get(F.filter(ahead, lambda x: x["g"] != F.col(group)), F.lit(0))["i"])
+    """Adds donor: another row of the same key and of another group, each with the same chance; null only where there is none.
+
+    A key's rows are numbered by group, so a row's own group is one block of numbers. A keyed draw picks one of the
+    other numbers, and the row of that number is joined.
+    """
+    r = saved(numbered(rows.select(*key, group, item), key, [F.asc(group), F.asc(item)], "_at"), "numbered")
+    blocks = r.groupBy(*key, group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_m"))
+    sizes = r.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(F.count(F.lit(1)).alias("_all"))
+    blocks = blocks.join(sizes, same(blocks, sizes, {k: f"_k_{k}" for k in key})).select(*[F.col(k).alias(f"_b_{k}") for k in [*key, group]], "_first", "_m", "_all")
+    asked = rows.join(blocks, same(rows, blocks, {k: f"_b_{k}" for k in [*key, group]})).select(*[rows[c] for c in rows.columns], "_first", "_m", "_all")
+    number = drawn_number(seed, *key, item) % F.nullif(F.col("_all") - F.col("_m"), F.lit(0))
+    asked = asked.withColumn("_want", number + F.when(number >= F.col("_first"), F.col("_m")).otherwise(0))
+    held = r.select(*[F.col(k).alias(f"_d_{k}") for k in key], F.col("_at"), F.col(item).alias("donor"))
+    out = asked.join(held, same(asked, held, {k: f"_d_{k}" for k in key} | {"_want": "_at"}), "left")
+    return out.select(*[asked[c] for c in rows.columns], "donor")
+
+
+def replacement_worlds(rows: DataFrame, item: str, group: str, kind: str, value: str, seed: str) -> DataFrame:
+    """(world, item, group, kind, value): four worlds in which neighbours are replaced.
+
+    ``value``: the value of a row of the same kind in another group (its own where there is none). ``kind``: the kind of
+    any row. ``both``: kind and value of any row. ``baseline``: the value less its group's mean, plus the mean of all.
+    """
+    own = saved(rows.select(item, group, kind, value), "world")
+    columns = [item, group, kind, value]
+    given = own.select(F.col(item).alias("_i"), F.col(value).alias("_v"), F.col(kind).alias("_k"))
+    same_kind = donors(own, [kind], group, item, f"{seed}-value")
+    same_kind = same_kind.join(given, F.col("donor") == F.col("_i"), "left").select(item, group, kind, F.coalesce("_v", value).alias(value))
+    all_rows = saved(numbered(own, [], [F.asc(item)], "_at"), "numbered")
+    total = all_rows.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    held = all_rows.select("_at", F.col(kind).alias("_k"), F.col(value).alias("_v"))
+
+    def any_row(name: str) -> DataFrame:
+        asked = own.join(F.broadcast(total), how="cross").withColumn("_want", drawn_number(f"{seed}-{name}", item) % F.col("_all"))
+        return asked.join(held, F.col("_want") == F.col("_at"))
+
+    means = own.groupBy(F.col(group).alias("_g")).agg(F.avg(value).alias("_m"))
+    overall = own.agg(F.avg(value).alias("_o"))
+    level = own.join(means, F.col(group).eqNullSafe(F.col("_g"))).join(F.broadcast(overall), how="cross")
+    worlds = {
+        "value": same_kind,
+        "kind": any_row("kind").select(item, group, F.col("_k").alias(kind), value),
+        "both": any_row("both").select(item, group, F.col("_k").alias(kind), F.col("_v").alias(value)),
+        "baseline": level.select(item, group, kind, (F.col(value) - F.col("_m") + F.col("_o")).alias(value)),
+    }
+    parts = [w.select(F.lit(name).alias("world"), *columns) for name, w in worlds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def standardised(reads: DataFrame, columns: list[str], logged: list[str]) -> DataFrame:

@@ -30,11 +30,20 @@ def roc_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFram
     return t.groupBy(*group).agg((won / F.nullif(F.sum("tp") * F.sum(negatives), F.lit(0))).alias("auc"))
 
 
+def ap_and_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
+    """ap and auc of each group, and its rows n and positives, from one count of its distinct scores."""
+    t = by_threshold(df, group, score, label)
+    tp, n = F.sum("tp"), F.sum("n")
+    ap = F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(tp, F.lit(0))
+    won = F.sum((F.col("n") - F.col("tp")) * (F.col("ctp") - F.col("tp") / 2.0))
+    return t.groupBy(*group).agg(ap.alias("ap"), (won / F.nullif(tp * (n - tp), F.lit(0))).alias("auc"), n.alias("n"), tp.alias("positives"))
+
+
 def exact_levels(df: DataFrame, column: str, levels: list[float]) -> DataFrame:
     """One row with ``levels``, the linear-interpolation quantiles of a column, from counts of its distinct values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_sums(counts, [], "_v", {"_n": "_le"})
-    n = counts.agg(F.sum("_n").alias("_all"))
+    n = placed.agg(F.max("_le").alias("_all"))
     asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)])
 
     def holds(at: Column) -> Column:
@@ -57,9 +66,9 @@ def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
     Only rows of the one score at the cut are ranked.
     """
     t = running_sums(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [], score, {"_n": "_cn"}, descending=True)
-    k = df.agg(F.greatest(F.lit(1), F.bround(F.lit(share) * F.count(F.lit(1)), 0).cast("long")).alias("_k"))
+    k = t.agg(F.greatest(F.lit(1), F.bround(F.lit(share) * F.max("_cn"), 0).cast("long")).alias("_k"))
     cut = t.join(F.broadcast(k), how="cross").where("_cn - _n < _k")
-    inside = df.join(cut, score).drop("_n")
+    inside = df.join(cut.withColumnRenamed(score, "_s"), F.col(score).eqNullSafe(F.col("_s"))).drop("_n", "_s")
     whole, split = inside.where("_cn <= _k"), inside.where("_cn > _k")
     n_before = F.col("_cn") - F.count(F.lit(1)).over(Window.partitionBy(score))
     split = split.withColumn("_r", n_before + F.row_number().over(Window.partitionBy(score).orderBy(key))).where("_r <= _k")
@@ -100,6 +109,7 @@ def expected_calibration_error(cal: DataFrame) -> DataFrame:
     return cal.agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
+#: The edges of the depth bands.
 DEPTH_EDGES = (1, 2, 3, 5, 10, 20, 32, 47, 84, 304, 600)
 
 

@@ -33,7 +33,7 @@ def balanced_weight(df: DataFrame, label: str) -> Column:
     return F.when(F.col(label) == 1, F.lit(total / (2 * n.get(1, 1)))).otherwise(F.lit(total / (2 * n.get(0, 1))))
 
 
-def fit(df: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 4262) -> PipelineModel:
+def fit(df: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 2317) -> PipelineModel:
     """Fits ``logistic``, ``boosted`` (trees) or ``mlp``; the first two weigh classes equally."""
     estimators = {
         "logistic": lambda: LogisticRegression(labelCol="_sl_y", featuresCol="_sl_x", weightCol="_sl_w", maxIter=100),
@@ -63,12 +63,12 @@ def score(df: DataFrame, model: PipelineModel, features: list[str], name: str =
     return out.select(*back, F.when(_complete([f"_sl_f_{c}" for c in features]), F.col("_sl_s")).alias(name))
 
 
-def fold_of(group: str, folds: int, seed: int = 4262) -> Column:
+def fold_of(group: str, folds: int, seed: int = 2317) -> Column:
     """Fold by the hash of the group, so that a group lies in one fold and no row moves."""
     return F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def cross_fit(df: DataFrame, features: list[str], label: str, group: str, folds: int = 2, kind: str = "logistic", seed: int = 4262, name: str = "score") -> DataFrame:
+def cross_fit(df: DataFrame, features: list[str], label: str, group: str, folds: int = 2, kind: str = "logistic", seed: int = 2317, name: str = "score") -> DataFrame:
     """df with ``_fold`` and a score of each row from a model that saw none of its group."""
     dealt = df.withColumn("_fold", fold_of(group, folds, seed))
     parts = []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import band_pairs
+from .tables import saved
 
 #: Stands for "no neighbour on this side" in distances.
 NO_NEIGHBOUR = 100_000.0
@@ -53,61 +54,63 @@ def relative_position(df: DataFrame, group: list[str], pos: str) -> DataFrame:
     )
 
 
-#: Ranges that a group's distinct values are cut into, so that no task orders a whole group.
-CELLS = 256
+def in_cells(values: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """values with _cell, the number of the range of (group, order) that holds a row: a saved table.
 
+    Spark's range partitions are the cells, so their number and size follow the data and no task orders a whole
+    group. What ``values`` is made of is read once. Null groups and values are values like others.
+    """
+    return saved(values.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_cell", F.spark_partition_id()), "cells")
 
-def in_cells(values: DataFrame, group: list[str], by: str, cells: int = CELLS) -> DataFrame:
-    """values (distinct in group and ``by``) with _cell, the number of the range of ``by`` that holds it.
 
-    The edges are approximate quantiles: they shape the load of tasks, never a result.
-    """
-    levels = F.array(*[F.lit((i + 1) / cells) for i in range(cells - 1)])
-    keys = group or ["_whole"]
-    values = values if group else values.withColumn("_whole", F.lit(0))
-    edges = values.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, levels, 10_000)).alias("_edges"))
-    return values.join(edges, keys).withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col(by)))).drop("_edges")
+def same(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> Column:
+    """Null-safe equality of a's columns with b's."""
+    on = F.lit(True)
+    for x, y in keys.items():
+        on = on & a[x].eqNullSafe(b[y])
+    return on
 
 
-def running_sums(values: DataFrame, group: list[str], by: str, columns: dict[str, str], descending: bool = False) -> DataFrame:
-    """values (distinct in group and ``by``) with sums up to each row in order of ``by``, named by ``columns``.
+def running_sums(values: DataFrame, group: list[str], by: str | list[Column], columns: dict[str, str], descending: bool = False) -> DataFrame:
+    """values with sums up to each row in the order of ``by``, named by ``columns``.
 
-    Two levels: sums by range first, then running sums inside each range.
+    ``by`` is a column (values distinct in it and the group) or an order of several. Two levels: sums of cells first, then
+    running sums inside each cell. Nulls come first, or last if descending.
     """
-    keys = group or ["_whole"]
-    placed = in_cells(values, group, by)
-    order = F.desc if descending else F.asc
-    sums = placed.groupBy(*keys, "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for c, n in columns.items()])
-    before = Window.partitionBy(*keys).orderBy(order("_cell")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sums = sums.select(*keys, "_cell", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in columns.values()])
-    inside = Window.partitionBy(*keys, "_cell").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(sums, [*keys, "_cell"])
-    return joined.select(*[c for c in values.columns], *[(F.col(f"_b_{n}") + F.sum(c).over(inside)).alias(n) for c, n in columns.items()])
+    order = by if isinstance(by, list) else [F.desc(by) if descending else F.asc(by)]
+    placed = in_cells(values, group, order)
+    sums = placed.groupBy(*group, "_cell").agg(*[F.sum(c).alias(f"_t_{n}") for c, n in columns.items()])
+    before = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    sums = sums.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cell").alias("_c"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in columns.values()])
+    inside = Window.partitionBy(*group, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(sums, same(placed, sums, {g: f"_g_{g}" for g in group} | {"_cell": "_c"}))
+    return joined.select(*values.columns, *[(F.col(f"_b_{n}") + F.sum(c).over(inside)).alias(n) for c, n in columns.items()])
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 0 in an order of each group, without ordering a whole group in one task."""
+    counted = running_sums(rows.withColumn("_one", F.lit(1).cast("long")), group, order, {"_one": name})
+    return counted.withColumn(name, F.col(name) - 1).drop("_one")
 
 
 def average_rank(df: DataFrame, group: list[str], by: str, name: str, share: bool = False) -> DataFrame:
     """Adds the rank of ``by`` from 1 with ties at their mean, as a share of the group's rows if asked. Null values rank first.
 
-    Ranks are made of distinct values and joined back, so no task orders all rows of a group.
+    Ranks are made of distinct values and joined back, so no task orders all rows of a group; null groups are groups.
     """
     counts = df.groupBy(*group, by).agg(F.count(F.lit(1)).alias("_n"))
-    known = running_sums(counts.where(F.col(by).isNotNull()), group, by, {"_n": "_le"})
-    nulls = counts.where(F.col(by).isNull()).select(*group, F.col("_n").alias("_nulls"))
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_all"))
-    rest = totals.join(nulls, group, "left") if group else totals.join(F.broadcast(nulls), how="left")
-    rest = rest.withColumn("_nulls", F.coalesce("_nulls", F.lit(0)))
-    ranks = known.join(rest, group) if group else known.join(F.broadcast(rest), how="cross")
-    rank = F.col("_nulls") + F.col("_le") - (F.col("_n") - 1) / 2.0
-    ranks = ranks.select(*[F.col(g).alias(f"_r_{g}") for g in group], F.col(by).alias("_r_by"), rank.alias("_rank"))
-    ranks = ranks.unionByName(rest.where("_nulls > 0").select(*[F.col(g).alias(f"_r_{g}") for g in group], F.lit(None).cast(df.schema[by].dataType).alias("_r_by"), ((F.col("_nulls") + 1) / 2.0).alias("_rank")))
-    on = df[by].eqNullSafe(F.col("_r_by"))
-    for g in group:
-        on = on & df[g].eqNullSafe(F.col(f"_r_{g}"))
-    out = df.join(ranks, on).select(*[df[c] for c in df.columns], "_rank")
+    ranks = running_sums(counts, group, by, {"_n": "_le"})
+    rank = F.col("_le") - (F.col("_n") - 1) / 2.0
     if share:
-        out = out.join(totals, group) if group else out.join(F.broadcast(totals), how="cross")
-        return out.select(*df.columns, (F.col("_rank") / F.col("_all")).alias(name))
-    return out.withColumnRenamed("_rank", name)
+        if not group:
+            ranks = ranks.join(F.broadcast(ranks.agg(F.max("_le").alias("_all"))), how="cross")  # one row
+        else:
+            totals = ranks.groupBy(*[F.col(g).alias(f"_t_{g}") for g in group]).agg(F.max("_le").alias("_all"))
+            ranks = ranks.join(totals, same(ranks, totals, {g: f"_t_{g}" for g in group}))
+        rank = rank / F.col("_all")
+    ranks = ranks.select(*[F.col(g).alias(f"_r_{g}") for g in group], F.col(by).alias("_r_by"), rank.alias("_rank"))
+    out = df.join(ranks, same(df, ranks, {by: "_r_by"} | {g: f"_r_{g}" for g in group}))
+    return out.select(*[df[c] for c in df.columns], F.col("_rank").alias(name))
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

@@ -149,11 +149,12 @@ def cross_source_gains(spark, d):
     return rounded(E.cross_source_summary(cells[0].unionByName(cells[1]), "b"), "mean_gain", "worst_gain")
 
 
-@query(f"with {ARMS} select x.doc_id, round(x.a, 6) a, round(y.b, 6) b from ab x join ab y on x.doc_id = y.doc_id where y.doc_id % 3 > 0")
+@query("select o_orderkey, round(o_totalprice, 6) a, round(o_custkey / 7.0::double, 6) b from orders where o_orderkey % 1500 <> 7")
 def commonly_scored(spark, d):
-    t = two_arms(spark, d)
-    arms = {"a": t.select("doc_id", F.col("a").alias("s")), "b": t.where("doc_id % 3 > 0").select("doc_id", F.col("b").alias("s"))}
-    return rounded(E.keep_scored(arms, ["doc_id"], 0.3), "a", "b")
+    o = table(spark, d, "orders")
+    a = o.select("o_orderkey", F.col("o_totalprice").alias("s"))
+    b = o.where("o_orderkey % 1500 <> 7").select("o_orderkey", (F.col("o_custkey") / 7.0).alias("s"))  # one in 1500 rows has no score
+    return rounded(E.keep_scored({"a": a, "b": b}, ["o_orderkey"]), "a", "b")
 
 
 @query("""select a.doc_id, round(coalesce((a.quality + b.toxic) / 2.0, a.quality), 6) y from labels a left join (select doc_id, toxic from labels where doc_id % 2 = 0) b using (doc_id)""")
@@ -182,10 +183,13 @@ def rank_in_sample(spark, d):
     return E.rank_in_sample(new, sample, "s").select("c_custkey", F.round("place", 6).alias("place"))
 
 
-@query(f"with {SCORED} select doc_id, round(s, 6) s, cast(1 as bigint) n_scores from d")
+@query(f"with {SCORED} select doc_id, round(case doc_id % 3 when 0 then s when 1 then (n_chars % 97) / 97.0::double end, 6) s, cast(case when doc_id % 3 = 2 then case when doc_id % 2 = 0 then 2 else 0 end else 1 end as bigint) n_scores from d")
 def out_of_fold_scores(spark, d):
-    s = scored(spark, d)
-    parts = s.select("doc_id", F.explode(F.array(*[F.when(F.col("doc_id") % 3 == i, F.col("s")) for i in range(3)])).alias("s"))
+    # one fold's model scores each row but those of the last fold, which none or two of them score
+    s, fold = scored(spark, d), F.col("doc_id") % 3
+    twice = (fold == 2) & (F.col("doc_id") % 2 == 0)
+    runs = [s.where((fold == 0) | twice).select("doc_id", "s"), s.where((fold == 1) | twice).select("doc_id", ((F.col("n_chars") % 97) / 97.0).alias("s"))]
+    parts = s.select("doc_id", F.lit(None).cast("double").alias("s")).unionByName(runs[0]).unionByName(runs[1])
     return rounded(E.out_of_fold(parts, ["doc_id"]), "s")
 
 
@@ -249,14 +253,39 @@ def gene_set_effects(spark, d):
     return x.groupBy("k", "line").agg(F.count_if(inside).alias("n"), F.round(effect, 6).alias("effect"))
 
 
-@query(f"""with o as (select *, {", ".join(f"lead(o_custkey, {i}) over w g{i}, lead(o_orderkey, {i}) over w i{i}" for i in range(1, 9))} from orders
-window w as (partition by o_orderpriority, o_orderstatus order by {_h("donor", "o_orderpriority", "o_orderstatus", "o_orderkey")}, o_orderkey))
-select o_orderkey, case {" ".join(f"when g{i} <> o_custkey then i{i}" for i in range(1, 9))} end donor from o""")
+def _number(seed: str, *columns: str) -> str:
+    return f"cast('0x' || {_h(seed, *columns)} as bigint)"
+
+
+_KIND = "partition by o_orderpriority, o_orderstatus"
+
+
+@query(f"""with r as (select o_orderkey, o_custkey, o_orderpriority, o_orderstatus, row_number() over ({_KIND} order by o_custkey, o_orderkey) - 1 place, count(*) over ({_KIND}) n from orders),
+b as (select *, min(place) over ({_KIND}, o_custkey) f, count(*) over ({_KIND}, o_custkey) m from r),
+w as (select *, {_number("donor", "o_orderpriority", "o_orderstatus", "o_orderkey")} % nullif(n - m, 0) k from b)
+select w.o_orderkey, r.o_orderkey donor from w left join r on r.o_orderpriority = w.o_orderpriority and r.o_orderstatus = w.o_orderstatus and r.place = k + case when k >= f then m else 0 end""")
 def replacement_donors(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     return E.donors(o, ["o_orderpriority", "o_orderstatus"], "o_custkey", "o_orderkey", "donor").select("o_orderkey", "donor")
 
 
+_ANY = """(select o.o_orderkey, o.o_custkey, o.o_orderpriority k, o.o_totalprice v, {0} % n want from orders o, (select count(*) n from orders))"""
+
+
+@query(f"""with r as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice, row_number() over (order by o_orderkey) - 1 place from orders),
+q as (select o_orderkey, o_custkey, o_orderpriority, o_totalprice, row_number() over (partition by o_orderpriority order by o_custkey, o_orderkey) - 1 place, count(*) over (partition by o_orderpriority) n from orders),
+b as (select *, min(place) over (partition by o_orderpriority, o_custkey) f, count(*) over (partition by o_orderpriority, o_custkey) m from q),
+w as (select *, {_number("world-value", "o_orderpriority", "o_orderkey")} % nullif(n - m, 0) k from b),
+x as (select 'value' world, w.o_orderkey, w.o_orderpriority, coalesce(q.o_totalprice, w.o_totalprice) v from w left join q on q.o_orderpriority = w.o_orderpriority and q.place = k + case when k >= f then m else 0 end
+union all select 'kind', a.o_orderkey, r.o_orderpriority, a.v from {_ANY.format(_number("world-kind", "o_orderkey"))} a join r on r.place = a.want
+union all select 'both', a.o_orderkey, r.o_orderpriority, r.o_totalprice from {_ANY.format(_number("world-both", "o_orderkey"))} a join r on r.place = a.want
+union all select 'baseline', o_orderkey, o_orderpriority, o_totalprice - avg(o_totalprice) over (partition by o_custkey) + avg(o_totalprice) over () from orders)
+select world, o_orderkey, o_orderpriority, round(v, 4) v from x""")
+def replacement_worlds(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_totalprice").alias("v"))
+    return rounded(E.replacement_worlds(o, "o_orderkey", "o_custkey", "o_orderpriority", "v", "world").drop("o_custkey"), "v", places=4)
+
+
 _W = "(partition by {} order by p range between 86400 preceding and 86400 following)"
 
 
@@ -300,22 +329,22 @@ def column_audit(spark, d):
     return rounded(E.column_audit(li, ["l_quantity", "l_tax"], "lev"), "shift")
 
 
-@query("""with m as (select l_suppkey g, l_partkey p, avg(l_discount) s, count(*) n from lineitem group by 1, 2)
+@query("""with m as (select l_suppkey g, l_partkey p, round(avg(l_discount), 9) s, count(*) n from lineitem group by 1, 2)
 select g, count(*) n_sites, round(avg(case when s > 0.05 then 1.0 else 0.0 end), 6) share_high, max(s) best, arg_max(p, (s, -p)) best_site from m group by g having count(*) >= 5""".replace("max(s) best,", "round(max(s), 6) best,"))
 def group_shares(spark, d):
-    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("p")).agg(F.avg("l_discount").alias("s"))
+    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("p")).agg(F.round(F.avg("l_discount"), 9).alias("s"))  # rounded: a threshold must not hang on the order of a sum
     share, best = F.avg(F.when(F.col("s") > 0.05, 1.0).otherwise(0.0)), F.max_by("p", F.struct("s", -F.col("p")))
     return m.groupBy("g").agg(F.count(F.lit(1)).alias("n_sites"), F.round(share, 6).alias("share_high"), F.round(F.max("s"), 6).alias("best"), best.alias("best_site")).where("n_sites >= 5")
 
 
 @query("""with c as (select o_custkey % 10 fold, row_number() over (partition by o_custkey % 10 order by o_orderdate, o_orderkey) it, o_totalprice v from orders), n as (select min(k) k from (select fold, count(*) k from c group by 1))
-select it, round(avg(v), 4) mean, round(stddev_samp(v), 4) sd from c, n where it <= least(k, 200) group by it""")
+select it, round(avg(v), 4) mean, round(stddev_samp(v), 4) sd from c, n where it <= k group by it""")
 def learning_curve(spark, d):
     o = table(spark, d, "orders").withColumn("fold", F.col("o_custkey") % 10)
-    c = W.top_k(o, ["fold"], [F.col("o_orderdate"), F.col("o_orderkey")], 200)
-    shortest = o.groupBy("fold").count().agg(F.min("count").alias("k"))  # curves end with the shortest
-    c = c.join(F.broadcast(shortest), how="cross").where("rk <= k")
-    return rounded(c.groupBy(F.col("rk").alias("it")).agg(F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("sd")), "mean", "sd", places=4)
+    c = W.numbered(o, ["fold"], [F.asc("o_orderdate"), F.asc("o_orderkey")], "at")
+    shortest = c.groupBy("fold").agg(F.max("at").alias("k")).agg(F.min("k").alias("k"))  # one row: curves end with the shortest
+    c = c.join(F.broadcast(shortest), how="cross").where("at <= k")
+    return rounded(c.groupBy((F.col("at") + 1).alias("it")).agg(F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("sd")), "mean", "sd", places=4)
 
 
 @query("""with g as (select p_brand, l_linestatus, sum(l_quantity * l_discount) / sum(l_quantity) s, count(*) n from lineitem join part on p_partkey = l_partkey group by 1, 2)
@@ -350,16 +379,13 @@ def gain_by_strata(spark, d):
     return n.join(a, keys).join(b, keys).select(*keys, "n", gain.alias("gain"))
 
 
-@query(f"""with x as (select draw, depth, l_quantity q, row_number() over (partition by draw, depth order by {_h("env", "draw", "depth", "l_orderkey", "l_linenumber")}, l_orderkey, l_linenumber) r
-from (select * from lineitem where l_partkey = 1), (values (1), (2), (3), (4), (5)) a(draw), (values (1), (3), (10)) b(depth)), m as (select depth, draw, avg(q) s from x where r <= depth group by 1, 2)
-select depth, round(quantile_cont(s, 0.5), 6) median, round(quantile_cont(s, 0.1), 6) p10, round(quantile_cont(s, 0.9), 6) p90 from m group by 1""")
+@query(f"""with x as (select l_partkey, draw, depth, l_quantity q, row_number() over (partition by l_partkey, draw, depth order by {_h("env", "draw", "depth", "l_partkey", "l_orderkey", "l_linenumber")}, l_orderkey, l_linenumber, l_quantity) r
+from lineitem, (values (1), (2), (3), (4), (5)) a(draw), (values (1), (3), (10)) b(depth)), m as (select l_partkey, depth, draw, avg(q) s from x where r <= depth group by 1, 2, 3)
+select l_partkey, depth, round(quantile_cont(s, 0.5), 6) median, round(quantile_cont(s, 0.1), 6) p10, round(quantile_cont(s, 0.9), 6) p90 from m group by 1, 2""")
 def thinning_envelope(spark, d):
-    one = table(spark, d, "lineitem").where("l_partkey = 1").select("l_orderkey", "l_linenumber", "l_quantity").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    kept = one.withColumn("depth", F.explode(F.array(F.lit(1), F.lit(3), F.lit(10))))
-    kept = W.top_k(kept, ["draw", "depth"], [E.keyed("env", "draw", "depth", "l_orderkey", "l_linenumber"), F.col("l_orderkey"), F.col("l_linenumber")], 10).where("rk <= depth")
-    m = kept.groupBy("depth", "draw").agg(F.avg("l_quantity").alias("s"))
-    q = m.groupBy("depth").agg(F.percentile("s", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"))
-    return q.select("depth", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p10", "p90"))])
+    li = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    m = E.thinning_envelope(li, ["l_partkey"], ["l_orderkey", "l_linenumber"], "l_quantity", [1, 3, 10], 5, "env")
+    return rounded(m, "median", "p10", "p90")
 
 
 @query(f"""with {SCORED}, b as (select *, source in (select source from documents where doc_id % 10 = 0) seen, lang = 'en' known from d)
@@ -367,15 +393,16 @@ select seen, known, not seen and source <> '' new_source, count(*) n from b grou
 def slice_masks(spark, d):
     docs = table(spark, d, "documents")
     seen = docs.where("doc_id % 10 = 0").select("source", F.lit(True).alias("_seen")).distinct()
-    b = scored(spark, d).join(F.broadcast(seen), "source", "left").withColumn("seen", F.coalesce("_seen", F.lit(False)))
+    b = scored(spark, d).join(seen, "source", "left").withColumn("seen", F.coalesce("_seen", F.lit(False)))
     return b.groupBy("seen", (F.col("lang") == "en").alias("known"), (~F.col("seen") & (F.col("source") != "")).alias("new_source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select o_custkey, list_distinct(list(o_orderpriority order by o_orderdate, o_orderkey)) is not null ok, len(list_distinct(list(o_orderpriority))) n from orders group by 1")
+@query("""with f as (select o_custkey, o_orderpriority, min((o_orderdate, o_orderkey)) place from orders group by 1, 2)
+select o_custkey, string_agg(o_orderpriority, ',' order by place) priorities, count(*) n from f group by 1""")
 def ordered_distinct(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority"))).alias("l"))
-    once = F.array_distinct(F.transform("l", lambda x: x["o_orderpriority"]))
-    return o.select("o_custkey", once.isNotNull().alias("ok"), F.size(once).cast("long").alias("n"))
+    f = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("at"))
+    once = F.transform(F.array_sort(F.collect_list(F.struct("at", "o_orderpriority"))), lambda x: x["o_orderpriority"])  # as many as there are priorities
+    return f.groupBy("o_custkey").agg(F.array_join(once, ",").alias("priorities"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {SCORED}, f as (select case when n_chars < 1000 then 0 when n_chars < 3000 then 50 else 100 end fraction, s from d), x as (select 0 g, s, case when fraction = 100 then 1 else 0 end y from f where fraction <> 50), m as ({_ranked("x", "g")})
