@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, evaluation, features
+from . import catalog, evaluation, features, studies
 
-MODULES = (catalog, features, evaluation)
+MODULES = (catalog, features, evaluation, studies)
 queries, oracle_sql = catalog.queries, catalog.oracle_sql
