@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import below, keyed, poisson_weight, region_of, verdict
 from . import metrics as M
-from .tables import saved
-from .windows import average_rank, numbered, running_sums, same
+from .tables import same, saved
+from .windows import average_rank, numbered, running_sums
 
 def thin_readings(reads: DataFrame, site: list[str], item: list[str], depths: list[int], seed: str) -> DataFrame:
     """Readings kept at each depth: those of the smallest keyed draws, all where there are fewer; one ranking a depth."""
@@ -204,6 +204,33 @@ def density_view(sites: DataFrame, group: list[str], pos: str, width: int, share
     return seen.withColumn("n_seen", F.sum("_seen").over(w) - F.col("_seen")).drop("_seen")
 
 
+def circular_views(sites: DataFrame, group: list[str], pos: str, share: float, seed: str) -> DataFrame:
+    """(view, home, *sites): every site in the views that hold it; each other site shares a site's home view with chance ``share``.
+
+    A keyed draw places each site on a circle; view j holds the arc of length ``share`` from j * share on, and a site's
+    home is the arc that its place begins in. Neighbour features are computed on a view and kept where ``home`` is true.
+    Places are whole numbers below 2**32 and arcs are rounded to them, so any engine cuts them alike.
+    """
+    whole = 1 << 32
+    arc, views = round(share * whole), -(-whole // round(share * whole))
+    at = sites.withColumn("_u", F.conv(keyed(seed, *group, pos), 16, 10).cast("long"))
+    each = at.withColumn("view", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(views - 1).cast("long"))))
+    inside = each.where(F.pmod(F.col("_u") - F.col("view") * F.lit(arc), F.lit(whole)) < arc)
+    return inside.withColumn("home", F.floor(F.col("_u") / arc) == F.col("view")).drop("_u")
+
+
+def covered(sites: DataFrame, depth: str, share: float, least: int) -> DataFrame:
+    """The sites that a run at this share of the depth would still hold."""
+    return sites.where(F.col(depth) * share >= least)
+
+
+def without_neighbours(sites: DataFrame, group: list[str], seed: str) -> DataFrame:
+    """One site of each group, that of the smallest keyed draw: every site a single one. Ties go to the smaller columns."""
+    rest = [c for c in sites.columns if c not in group]
+    first = F.min(F.struct(keyed(seed, *sites.columns).alias("_h"), F.struct(*rest).alias("_row"))).alias("_b")
+    return sites.groupBy(*group).agg(first).select(*group, "_b._row.*")
+
+
 def homophily(sites: DataFrame, group: list[str], pos: str, label: str, width: int, seeds: list[str]) -> DataFrame:
     """Lift of positives next to a positive over those next to none, as they are (draw 0) and with labels shuffled in each group.
 

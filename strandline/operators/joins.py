@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import in_cells, same
+
 
 def band_pairs(df: DataFrame, group: list[str], pos: str, radius: int, columns: list[str] | None = None) -> DataFrame:
     """Unordered pairs of a group's rows at most ``radius`` apart: columns suffixed _a and _b, and distance.
@@ -14,12 +16,31 @@ def band_pairs(df: DataFrame, group: list[str], pos: str, radius: int, columns:
     cols = [pos, *(columns or [])]
     cell = F.floor(F.col(pos) / radius)
     a = df.select(*group, *[F.col(c).alias(f"{c}_a") for c in cols], cell.alias("_cell"))
-    b = df.select(*group, *[F.col(c).alias(f"{c}_b") for c in cols], F.explode(F.array(cell, cell - 1)).alias("_cell"))
+    b = df.select(*[F.col(g).alias(f"_b_{g}") for g in group], *[F.col(c).alias(f"{c}_b") for c in cols], F.explode(F.array(cell, cell - 1)).alias("_cell_b"))
     # the later row visits its own cell and the one before it
-    met = a.join(b, [*group, "_cell"]).where((F.col(f"{pos}_a") < F.col(f"{pos}_b")) & (F.col(f"{pos}_b") - F.col(f"{pos}_a") <= radius))
+    met = a.join(b, same(a, b, {g: f"_b_{g}" for g in group} | {"_cell": "_cell_b"})).drop("_cell_b", *[f"_b_{g}" for g in group]).where((F.col(f"{pos}_a") < F.col(f"{pos}_b")) & (F.col(f"{pos}_b") - F.col(f"{pos}_a") <= radius))
     return met.drop("_cell").withColumn("distance", F.col(f"{pos}_b") - F.col(f"{pos}_a"))
 
 
+def _carried(stream: DataFrame, group: list[str], order: list[Column], value: str, forward: bool = True) -> tuple[DataFrame, Column]:
+    """The stream in cells of its order, and the last value at or before a row (the first at or after it if not ``forward``).
+
+    Inside a cell it is a window; what the cells before hold last is one row a cell and is carried on, so no task
+    orders a whole group.
+    """
+    place = F.struct(*[F.col(c) for c in ("_at", "_kind")])
+    pick = F.max_by if forward else F.min_by
+    ends = stream.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cell").alias("_c")).agg(pick(value, F.when(F.col(value).isNotNull(), place)).alias("_end"))
+    cells = Window.partitionBy(*[f"_g_{g}" for g in group]).orderBy("_c")
+    span = cells.rowsBetween(Window.unboundedPreceding, -1) if forward else cells.rowsBetween(1, Window.unboundedFollowing)
+    name = "_before" if forward else "_after"
+    ends = ends.withColumn(name, (F.last if forward else F.first)("_end", True).over(span)).drop("_end")
+    joined = stream.join(ends, same(stream, ends, {g: f"_g_{g}" for g in group} | {"_cell": "_c"})).drop("_c", *[f"_g_{g}" for g in group])
+    inside = Window.partitionBy(*group, "_cell").orderBy(*order)
+    own = F.last(value, True).over(inside.rangeBetween(Window.unboundedPreceding, 0) if len(order) == 1 else inside.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(value, True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    return joined, F.coalesce(own, F.col(name))
+
+
 def place_in_intervals(points: DataFrame, intervals: DataFrame, group: list[str], pos: str, how: str = "left") -> DataFrame:
     """Points with the interval [t_start, t_end) of their group that holds them; a group's intervals do not overlap.
 
@@ -28,9 +49,9 @@ def place_in_intervals(points: DataFrame, intervals: DataFrame, group: list[str]
     others = [c for c in intervals.columns if c not in group]
     at = points.select(*group, F.col(pos).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
     starts = intervals.select(*group, F.col("t_start").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.struct(*others).alias("_interval"))
-    both = at.unionByName(starts, allowMissingColumns=True)
-    before = Window.partitionBy(*group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_last", F.last("_interval", True).over(before)).where("_kind = 1")
+    order = [F.asc("_at"), F.asc("_kind")]
+    both, last = _carried(in_cells(at.unionByName(starts, allowMissingColumns=True), group, order), group, order, "_interval")
+    placed = both.withColumn("_last", last).where("_kind = 1")
     placed = placed.withColumn("_last", F.when(F.col("_at") < F.col("_last.t_end"), F.col("_last")))
     if how == "inner":
         placed = placed.where("_last is not null")
@@ -43,14 +64,12 @@ def nearest_event(points: DataFrame, events: DataFrame, group: list[str], pos: s
     Points and events are one ordered stream, so each side is one running value and nothing multiplies.
     """
     cols = points.columns
-    both = points.withColumn("_event", F.lit(None).cast("long")).unionByName(
-        events.select(*group, F.col(pos), F.col(pos).cast("long").alias("_event")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*group).orderBy(pos)
-    back = F.last("_event", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_event", True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col(pos) - back, ahead - F.col(pos))
-    return both.withColumn("event_gap", gap).where("_event is null").select(*cols, "event_gap")
+    marks = events.select(*group, F.col(pos).alias("_at"), F.lit(0).alias("_kind"), F.col(pos).cast("long").alias("_event"))
+    both = points.select("*", F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_event")).unionByName(marks, allowMissingColumns=True)
+    stream, back = _carried(in_cells(both, group, [F.asc("_at")]), group, [F.asc("_at")], "_event")
+    stream, ahead = _carried(stream.withColumn("_back", back), group, [F.asc("_at")], "_event", forward=False)
+    gap = F.least(F.col("_at") - F.col("_back"), ahead - F.col("_at"))
+    return stream.withColumn("event_gap", gap).where("_kind = 1").select(*cols, "event_gap")
 
 
 def audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

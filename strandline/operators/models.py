@@ -7,8 +7,11 @@ the counts of the two classes and the fitted parameters.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import exact_levels
+
 #: Scores are kept this far from 0 and 1 before their logit is taken.
 LOGIT_MARGIN = 1e-6
 
@@ -118,3 +123,55 @@ def cross_source_rows(a: DataFrame, b: DataFrame, key: str, label: str, both: bo
         row = j.select(*rest, F.lit(name).alias("origin"), F.when(shared, 0.25 if both else 0.5).otherwise(1.0).alias("weight"), labels.alias("_sl_labels"))
         parts.append(row.withColumn(label, F.explode("_sl_labels")).drop("_sl_labels"))
     return parts[0].unionByName(parts[1])
+
+
+def partial_dependence(df: DataFrame, inputs: list[str], varied: str, scorer: Callable[[dict[str, np.ndarray]], np.ndarray], levels: list[float], raise_to: str | None = None) -> DataFrame:
+    """(step, level, value, mean): the mean score of all rows with one input set to each of its quantiles.
+
+    ``scorer`` takes arrays by input name and gives a score each. The grid runs inside it, batch by batch, so the table
+    is read twice (once for the quantiles) and never multiplied. ``raise_to`` names an input that is never below the varied one.
+    Rows with a null input are left out; an empty table gives no row.
+    """
+    rows = df.where(_complete(inputs)).select(*[F.col(c).cast("double").alias(c) for c in inputs])
+    found = exact_levels(rows, varied, levels).first()["levels"]  # a number for each level
+    grid = [float(v) for v in found or []]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(grid)), 0
+        for b in batches:
+            x = {c: b.column(c).to_numpy() for c in inputs}
+            for i, v in enumerate(grid):
+                changed = x | {varied: np.full(b.num_rows, v)}
+                if raise_to is not None:
+                    changed[raise_to] = np.maximum(x[raise_to], v)
+                total[i] += float(np.sum(scorer(changed)))
+            n += b.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"step": np.arange(len(grid), dtype=np.int32), "total": total, "n": np.full(len(grid), n)})
+
+    sums = rows.mapInArrow(run, "step int, total double, n long").groupBy("step").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    steps = F.array(*[F.struct(F.lit(i).alias("_s"), F.lit(float(q)).alias("level"), F.lit(v).alias("value")) for i, (q, v) in enumerate(zip(levels, grid, strict=False))]) if grid else None
+    if steps is None:
+        return sums.select("step", F.lit(0.0).alias("level"), F.lit(0.0).alias("value"), "mean")
+    at = F.element_at(steps, F.col("step") + 1)
+    return sums.select("step", at["level"].alias("level"), at["value"].alias("value"), "mean")
+
+
+def average_linkage(distances: dict[tuple[str, str], float]) -> list[str]:
+    """Names in the order in which average linkage joins them: each merge puts the earlier made cluster first.
+
+    For the few names of a correlation table; distances between clusters are the means over their members.
+    """
+    names = sorted({n for pair in distances for n in pair})
+    d = {frozenset((i, j)): distances.get((a, b), distances.get((b, a))) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    members = {i: [i] for i in range(len(names))}
+    made = len(names)
+    while len(members) > 1:
+        apart = min(((d[frozenset((i, j))], i, j) for i in members for j in members if i < j))
+        _, i, j = apart
+        a, b = members.pop(i), members.pop(j)
+        for k in members:
+            d[frozenset((k, made))] = (len(a) * d[frozenset((k, i))] + len(b) * d[frozenset((k, j))]) / (len(a) + len(b))
+        members[made] = a + b
+        made += 1
+    return [names[i] for m in members.values() for i in m]

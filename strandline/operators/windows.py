@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import band_pairs
-from .tables import saved
+from .tables import in_cells, same
 
 #: Stands for "no neighbour on this side" in distances.
 NO_NEIGHBOUR = 100_000.0
@@ -54,23 +54,6 @@ def relative_position(df: DataFrame, group: list[str], pos: str) -> DataFrame:
     )
 
 
-def in_cells(values: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """values with _cell, the number of the range of (group, order) that holds a row: a saved table.
-
-    Spark's range partitions are the cells, so their number and size follow the data and no task orders a whole
-    group. What ``values`` is made of is read once. Null groups and values are values like others.
-    """
-    return saved(values.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_cell", F.spark_partition_id()), "cells")
-
-
-def same(a: DataFrame, b: DataFrame, keys: dict[str, str]) -> Column:
-    """Null-safe equality of a's columns with b's."""
-    on = F.lit(True)
-    for x, y in keys.items():
-        on = on & a[x].eqNullSafe(b[y])
-    return on
-
-
 def running_sums(values: DataFrame, group: list[str], by: str | list[Column], columns: dict[str, str], descending: bool = False) -> DataFrame:
     """values with sums up to each row in the order of ``by``, named by ``columns``.
 
@@ -148,3 +131,19 @@ def kernel_mean(df: DataFrame, group: list[str], pos: str, value: str, radius: i
     means = near.select(*group, "_w", F.inline(both)).groupBy(*group, "_p").agg((F.sum(F.col("_w") * F.col("_u")) / F.sum("_w")).alias("kernel_mean"))
     joined = df.join(means.withColumnRenamed("_p", pos), [*group, pos], "left")
     return joined.withColumn("kernel_mean", F.coalesce(F.round("kernel_mean", 6), F.lit(0.0)))
+
+
+def kernel_neighbours(df: DataFrame, group: list[str], pos: str, value: str, radius: int, scale: float, best_radius: int) -> DataFrame:
+    """Adds kernel_mean as ``kernel_mean`` does, best (the largest other value within ``best_radius``, 0 without one) and has_neighbour."""
+    near = band_pairs(df, group, pos, radius, [value])
+    both = F.array(*[F.struct(F.col(f"{pos}_{me}").alias("_p"), F.col(f"{value}_{you}").alias("_u")) for me, you in ("ab", "ba")])
+    each = near.select(*group, "distance", F.exp(-F.col("distance") / scale).alias("_w"), F.inline(both))
+    found = each.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group], "_p").agg(
+        (F.sum(F.col("_w") * F.col("_u")) / F.sum("_w")).alias("_mean"), F.max(F.when(F.col("distance") <= best_radius, F.col("_u"))).alias("_best")
+    )
+    joined = df.join(found, same(df, found, {pos: "_p"} | {g: f"_g_{g}" for g in group}), "left")
+    zero = F.lit(0.0)
+    return joined.select(
+        *[df[c] for c in df.columns], F.coalesce(F.round("_mean", 6), zero).alias("kernel_mean"),
+        F.coalesce(F.col("_best").cast("double"), zero).alias("best"), F.col("_mean").isNotNull().cast("int").alias("has_neighbour"),
+    )

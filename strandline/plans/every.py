@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, evaluation, features, studies
+from . import catalog, evaluation, features, files, studies
 
-MODULES = (catalog, features, evaluation, studies)
+MODULES = (catalog, features, evaluation, studies, files)
 queries, oracle_sql = catalog.queries, catalog.oracle_sql

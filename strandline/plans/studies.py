@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from ..operators import grading as G
+from ..operators import joins as J
+from ..operators import metrics as M
+from ..operators import models as X
 from ..operators import nearest as N
-from .catalog import query, rounded, table
-from .evaluation import _h, _ranked
+from ..operators import resample as R
+from ..operators import windows as W
+from .catalog import SITES, query, rounded, sites, table
+from .evaluation import _h, _ranked, _weight
 
 # --- grading against a truth on the genome -----------------------------------
 # A transcript is an order of three exons of 100 places, orders of one customer are its isoforms.
@@ -100,3 +108,113 @@ def mutual_neighbours(spark, d):
     )
     lists = N.neighbour_lists(N.thinned(t, ["g"], ["i"], 60, "knn"), ["g"], "i", ["x", "z"], "y", max(_KS))
     return rounded(N.mutual_statistics(lists, ["g"], _KS), "homophily", "isolated")
+
+
+# --- neighbours by weight, views, resampled bands -------------------------------
+
+
+@query(f"""with {SITES}, x as (select a.u, a.p, b.v, exp(-abs(a.p - b.p) / 10000.0::double) w, abs(a.p - b.p) g from s a join s b on a.u = b.u and a.p <> b.p and abs(a.p - b.p) <= 50000),
+k as (select u, p, sum(w * v) / sum(w) m, max(v) filter (where g <= 20000) best from x group by 1, 2)
+select s.u, s.p, coalesce(round(m, 6), 0) kernel_mean, coalesce(round(best, 6), 0) best, case when m is null then 0 else 1 end has_neighbour from s left join k using (u, p)""")
+def kernel_neighbours(spark, d):
+    out = W.kernel_neighbours(sites(spark, d), ["u"], "p", "v", 50000, 10000.0, 20000)
+    return out.select("u", "p", "kernel_mean", F.round("best", 6).alias("best"), "has_neighbour")
+
+
+_ARC = round(0.3 * (1 << 32))
+
+
+@query(f"""with {SITES}, c as (select u, p, cast('0x' || {_h("circle", "u", "p")} as bigint) at from s),
+v as (select u, p, at, view from c, range(4) t(view) where (((at - view * {_ARC}) % 4294967296) + 4294967296) % 4294967296 < {_ARC}),
+n as (select u, p, at, view, count(*) over (partition by view, u order by p range between 86400 preceding and 86400 following) - 1 n_seen from v)
+select u, p, n_seen from n where at // {_ARC} = view""".replace(" at,", " plc,").replace(" at from", " plc from").replace("(at -", "(plc -").replace("where at //", "where plc //"))
+def circular_density(spark, d):
+    v = E.circular_views(sites(spark, d), ["u"], "p", 0.3, "circle")
+    w = Window.partitionBy("view", "u").orderBy("p").rangeBetween(-86400, 86400)
+    return v.withColumn("n_seen", F.count(F.lit(1)).over(w) - 1).where("home").select("u", "p", "n_seen")
+
+
+@query("""with k as (select l_suppkey % 10 u, l_partkey p from lineitem group by 1, 2 having count(*) * 0.5 >= 2)
+select u, p, count(*) over (partition by u order by p range between 20 preceding and 20 following) - 1 n_seen from k""")
+def coverage_density(spark, d):
+    li = table(spark, d, "lineitem")
+    n = li.groupBy((F.col("l_suppkey") % 10).alias("u"), F.col("l_partkey").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return W.neighbour_counts(E.covered(n, "n", 0.5, 2).select("u", "p"), ["u"], "p", [20]).withColumnRenamed("n_20", "n_seen")
+
+
+@query(f"""with {SITES}, h as (select u, p, v, substr(md5(concat_ws(':', 'single', cast(u as varchar), cast(p as varchar))), 1, 8) h from s)
+select u, p, round(v, 6) v from h qualify row_number() over (partition by u order by h, p) = 1""")
+def single_sites(spark, d):
+    s = sites(spark, d)
+    one = E.without_neighbours(s.select("u", "p"), ["u"], "single")
+    return rounded(one.join(s, ["u", "p"]), "v")
+
+
+@query(f"""with {SITES}, y as (select u, p, case when v > 50 then 1 else 0 end y from s), g as (select u, count(*) n, sum(y) k from y group by u),
+x as (select a.u, case when b.p - a.p < 20000 then 'near' else 'far' end band, a.y * b.y both_high from y a join y b on a.u = b.u and a.p < b.p and b.p - a.p <= 50000),
+c as (select x.u, band, sum(both_high) b, count(*) * any_value(k * (k - 1) / nullif(cast(n * (n - 1) as double), 0)) e from x join g using (u) group by 1, 2),
+r as (select u, i resample, {_weight(_h("pairs", "i", "u"))} w from (select distinct u from c), range(1, 51) t(i) union all select distinct u, 0, 1 from c),
+v as (select band, resample, sum(w * b) / nullif(sum(w * e), 0) v from c join r using (u) where w > 0 group by 1, 2)
+select band, round(max(v) filter (where resample = 0), 6) point, round(quantile_cont(v, 0.025) filter (where resample > 0), 6) lo, round(quantile_cont(v, 0.975) filter (where resample > 0), 6) hi from v group by band""")
+def resampled_bands(spark, d):
+    s = sites(spark, d).withColumn("y", (F.col("v") > 50).cast("int"))
+    g = s.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    x = J.band_pairs(s, ["u"], "p", 50000, ["y"]).withColumn("band", F.when(F.col("distance") < 20000, "near").otherwise("far"))
+    sums = x.groupBy("u", "band").agg(F.sum(F.col("y_a") * F.col("y_b")).alias("both"), F.count(F.lit(1)).alias("pairs")).join(g, "u")
+    expected = F.col("pairs") * (F.col("k") * (F.col("k") - 1) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0)))
+    sums = G.saved(sums.select("u", "band", "both", expected.alias("expected")), "band-sums")
+    return rounded(R.resampled_ratio(sums, "u", ["band"], "both", "expected", 50, "pairs"), "point", "lo", "hi")
+
+
+# --- repeated cross-validation, partial dependence --------------------------------
+
+_SEEDS = R.repetition_seeds(3, 11)
+
+
+@query(f"""with g as (select distinct user_id u, r.rep, r.seed from events, (values {", ".join(f"({i}, '{s}')" for i, s in enumerate(_SEEDS))}) r(rep, seed)),
+f as (select rep, u, (row_number() over (partition by rep order by substr(md5(concat_ws(':', seed, cast(u as varchar))), 1, 8), u) - 1) % 5 fold from g)
+select rep, u, cast(fold as integer) fold from f""")
+def repeated_folds(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("u"))
+    return R.repeated_folds(e, "u", 5, 3, 11)
+
+
+_REPEATED = f"""g as (select distinct user_id u, r.rep, r.seed from events, (values {", ".join(f"({i}, '{s}')" for i, s in enumerate(_SEEDS))}) r(rep, seed)),
+f as (select rep, u, (row_number() over (partition by rep order by substr(md5(concat_ws(':', seed, cast(u as varchar))), 1, 8), u) - 1) % 5 fold from g),
+x as (select rep, fold, event_id, event_type t, case when value > 60 then 1 else 0 end y from events join f on f.u = events.user_id),
+c as (select rep, fold, t, count(*) n, sum(y) k from x group by 1, 2, 3),
+o as (select rep, fold, t, (sum(k) over (partition by rep, t) - k) / nullif(cast(sum(n) over (partition by rep, t) - n as double), 0) own,
+(sum(k) over (partition by rep) - sum(k) over (partition by rep, fold)) / nullif(cast(sum(n) over (partition by rep) - sum(n) over (partition by rep, fold) as double), 0) rest from c),
+z as (select rep, fold, event_id, y, coalesce(own, rest) s from x join o using (rep, fold, t))"""
+
+
+def repeated_scores(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("u"), F.col("event_type").alias("t"), (F.col("value") > 60).cast("int").alias("y"))
+    return R.out_of_fold_rates(e, R.repeated_folds(e, "u", 5, 3, 11), "u", "t", "y")
+
+
+@query(f"with {_REPEATED} select rep, cast(fold as integer) fold, event_id, round(s, 6) score from z")
+def repeated_out_of_fold(spark, d):
+    return rounded(repeated_scores(spark, d).select("rep", "fold", "event_id", "score"), "score")
+
+
+@query(f"""with {_REPEATED}, m as ({_ranked("z", "rep, fold")}), n as (select rep, fold, count(*) n, sum(y) positives from z group by 1, 2)
+select rep, cast(fold as integer) fold, n, cast(positives as bigint) positives, round(ap, 6) ap, round(auc, 6) auc from m join n using (rep, fold)""")
+def train_and_evaluate(spark, d):
+    scored = repeated_scores(spark, d)
+    return rounded(M.ap_and_auc(scored.withColumn("s", F.round("score", 12)), ["rep", "fold"], "s", "y"), "ap", "auc").select("rep", "fold", "n", "positives", "ap", "auc")
+
+
+_LEVELS = [i / 10 for i in range(11)]
+
+
+def _logit_score(x):
+    return 1 / (1 + np.exp(-(0.03 * x["l_quantity"] - 20 * x["l_discount"] + 0.5 * np.sqrt(x["l_quantity"]) * x["l_tax"])))
+
+
+@query(f"""with q as (select unnest(range(0, 11)) step), v as (select step, (select list_extract(quantile_cont(l_discount, {_LEVELS}), step + 1) from lineitem) value from q)
+select cast(step as integer) step, round(step / 10.0::double, 6) level, round(value, 6) value, round((select avg(1 / (1 + exp(-(0.03 * l_quantity - 20 * value + 0.5 * sqrt(l_quantity) * l_tax)))) from lineitem), 6) mean from v""")
+def partial_dependence(spark, d):
+    inputs = ["l_quantity", "l_discount", "l_tax"]
+    out = X.partial_dependence(table(spark, d, "lineitem"), inputs, "l_discount", _logit_score, _LEVELS)
+    return rounded(out, "level", "value", "mean")

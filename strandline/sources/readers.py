@@ -40,12 +40,16 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Predictions of shard files, with the fold that their path names (fold_3/...); broken and empty rows go, copies too."""
+    """Predictions of shard files, with the fold that their path names (fold_3/...); broken and empty rows go.
+
+    Copies of a key that agree are one row. Copies that differ are one row without a probability: none of them is kept by chance.
+    """
     rows = spark.read.csv(paths, schema="transcript_id string, transcript_position int, probability double", header=True, mode="DROPMALFORMED")
     fold = F.regexp_extract(F.col("_metadata.file_path"), r"fold[_=-]?(\d+)", 1)
     rows = rows.select("*", F.when(fold != "", fold.cast("int")).alias("fold"))
     fine = rows.where(F.col("transcript_position").isNotNull() & F.col("probability").isNotNull() & ~F.isnan("probability"))
-    return fine.dropDuplicates(["transcript_id", "transcript_position", "fold"])
+    once = fine.groupBy("transcript_id", "transcript_position", "fold").agg(F.min("probability").alias("_low"), F.max("probability").alias("_high"))
+    return once.select("transcript_id", "transcript_position", F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("probability"), "fold")
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import running_sums
+from ..operators.tables import saved
+from ..operators.windows import numbered, running_sums
 
 
 def offset_index(lines: DataFrame, order: str, line: str) -> DataFrame:
@@ -56,11 +59,11 @@ def write_folds(rows: DataFrame, folds: DataFrame, path: str, group: str, seed:
     parts.withColumn("part", part).drop("_own").write.mode("overwrite").partitionBy("fold", "part").csv(path, header=True)
 
 
-def write_by_name(rows: DataFrame, path: str, keys: list[str], columns: list[str]) -> DataFrame:
-    """One JSON record a key under a file name made of its hash; returns (keys, name), the index that names them."""
+def write_by_name(rows: DataFrame, path: str, keys: list[str], columns: list[str], digits: int = 24) -> DataFrame:
+    """One JSON record a key in a folder named by its hash, or by the first ``digits`` of it; returns (keys, name), the index."""
     name = F.substring(F.sha2(F.concat_ws(":", *keys), 256), 1, 24)
     records = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("sites")).withColumn("name", name)
-    records.repartition("name").write.mode("overwrite").partitionBy("name").json(path)
+    records.withColumn("name", F.substring("name", 1, digits)).repartition("name").write.mode("overwrite").partitionBy("name").json(path)
     return records.select(*keys, "name")
 
 
@@ -84,6 +87,56 @@ def write_sample(lines: DataFrame, path: str, n: int, key: str, line: str, seed:
     lines.orderBy(draw, key).limit(n).orderBy(key).coalesce(1).select(line).write.mode("overwrite").text(path, compression="gzip")
 
 
-def write_ranked(rows: DataFrame, path: str, kmer: str = "kmer") -> None:
-    """Ranked rows as quoted csv, bases of RNA."""
-    rows.withColumn(kmer, F.translate(kmer, "T", "U")).coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True)
+def write_ranked(rows: DataFrame, path: str, order: list[str], kmer: str = "kmer") -> None:
+    """Rows in order as quoted csv with a header, bases of RNA, quotes doubled, lines ended by CR LF.
+
+    The files in the order of their names, joined, are one csv; the header is in the first of them that has lines.
+    """
+    rna = rows.withColumn(kmer, F.translate(kmer, "T", "U")) if kmer in rows.columns else rows
+
+    def quoted(c: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+    lines = numbered(rna, [], [F.asc(c) for c in order], "_at").select("_at", F.concat_ws(",", *[quoted(F.col(c)) for c in rows.columns]).alias("value"))
+    header = rows.sparkSession.createDataFrame([(-1, ",".join(f'"{c}"' for c in rows.columns))], "_at long, value string")
+    lines.unionByName(header).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def gene_records(sites: DataFrame, batches: DataFrame, first: int = 5) -> DataFrame:
+    """One nested record a gene: its sites in order, and for each line the sites' ranks, depths and their places in the batches.
+
+    ``sites`` have line, gene, pos, kmer, region, tx, rank (0 to 1) and n_reads; ``batches`` line, batch, gene, pos and
+    rank. Ranks are whole numbers up to 9999, -1 where a batch has no rank. ``holds`` counts the batches in which a site is
+    among its gene's ``first`` sites. A gene's sites are as many as its transcripts have candidates.
+    """
+    place = Window.partitionBy("line", "batch", "gene").orderBy(F.desc("rank"), "pos")
+    whole = F.coalesce(F.round(F.col("rank") * 9999).cast("int"), F.lit(-1))
+    placed = batches.withColumn("_place", F.when(F.col("rank").isNotNull(), F.row_number().over(place))).withColumn("_r", whole)
+    near = placed.groupBy("line", "gene", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("batch", F.col("_r").alias("r")))).alias("batches"), F.count_if(F.col("_place") <= first).cast("int").alias("holds")
+    )
+    fixed = sites.groupBy("gene", "pos").agg(F.min("kmer").alias("kmer"), F.mode("region", True).alias("region"), F.array_sort(F.collect_set("tx")).alias("tx"))
+    merged = sites.groupBy("line", "gene", "pos").agg(F.max("rank").alias("rank"), F.sum("n_reads").alias("n")).withColumn("r", whole)
+    row = F.struct("pos", "r", "n", F.coalesce("batches", F.array().cast(near.schema["batches"].dataType)).alias("batches"), F.coalesce("holds", F.lit(0)).alias("holds"))
+    lines = merged.join(near, ["line", "gene", "pos"], "left").groupBy("gene", "line").agg(F.array_sort(F.collect_list(row)).alias("sites"))
+    lines = lines.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("line", "sites"))).alias("lines"))
+    listed = fixed.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer", "region", "tx"))).alias("sites"))
+    return listed.join(lines, "gene", "left")
+
+
+def write_export(records: DataFrame, path: str, shards: int) -> None:
+    """``path``/shards/shard=n/*.json.gz and ``path``/genes: each gene's shard, number of sites and best rank by line.
+
+    Everything is written beside the target and then moved in one step, so a reader sees the whole export or none. An
+    existing target is an error.
+    """
+    spark = records.sparkSession
+    part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    held = saved(records.withColumn("shard", F.pmod(F.xxhash64("gene"), F.lit(shards)).cast("int")), "gene-records")
+    held.repartition("shard").write.partitionBy("shard").json(f"{part}/shards", compression="gzip")
+    best = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), F.size(x["sites"]).alias("n"), F.array_max(F.transform(x["sites"], lambda s: s["r"])).alias("best")))
+    held.select("gene", "shard", best.alias("lines")).write.json(f"{part}/genes", compression="gzip")
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (part, path))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(new) or not files.rename(old, new):
+        raise FileExistsError(path)

@@ -51,6 +51,9 @@ def test_tables(spark, tmp_path):
     genes = R.read_genes(spark, str(tmp_path / "a.gtf"))
     assert sorted(tuple(r) for r in genes.collect()) == [("G0", "RPL3", "rna"), ("G1", "RPL3", "coding")]
     assert [r.transcript_id for r in S.read_annotation(spark, str(tmp_path / "a.gtf"), ["exon"]).collect()] == ["T1.1"]
+    (tmp_path / "fold_0" / "q.csv").write_text("transcript_id,transcript_position,probability\nT1,3,0.7\n")
+    both = R.read_predictions(spark, [str(tmp_path / "fold_0" / f"{n}.csv") for n in "pq"]).collect()
+    assert [(r.transcript_id, r.probability) for r in both] == [("T1", None)]  # two that differ are none
     (tmp_path / "sets.gmt").write_text("S1\thttp://x\tRPL3\tNONE\n")
     assert [tuple(r) for r in R.read_gene_sets(spark, str(tmp_path / "sets.gmt"), genes).collect()] == [("S1", "G0")]
     assert genes.where(R.ribosomal(F.col("gene_name"))).count() == 2
@@ -99,8 +102,9 @@ def test_writers(spark, tmp_path):
         K.write_sample(rows, str(tmp_path / name), 17, "i", "line")
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "a")).collect()) == sorted(r.value for r in spark.read.text(str(tmp_path / "b")).collect())
     assert spark.read.text(str(tmp_path / "a")).count() == 17
-    K.write_ranked(spark.createDataFrame([("ATT", 1)], "kmer string, n int"), str(tmp_path / "r"))
-    assert '"AUU","1"' in next((tmp_path / "r").glob("part-*")).read_text()
+    K.write_ranked(spark.createDataFrame([("ATT", 2, 'a"b'), ("GGG", 1, None)], "kmer string, n int, x string").repartition(2), str(tmp_path / "r"), ["n"])
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert whole == b'"kmer","n","x"\r\n"GGG","1",""\r\n"AUU","2","a""b"\r\n'
     K.write_scores(spark.createDataFrame([("t", 1, 0.5, "x")], "transcript_id string, transcript_position int, score double, more string"), str(tmp_path / "sub"))
     assert spark.read.csv(str(tmp_path / "sub"), header=True).columns == ["transcript_id", "transcript_position", "score"]
     K.write_sharded(rows.withColumn("shard", F.col("i") % 4), str(tmp_path / "sh"), "shard")
