@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import LOWER, SPACE_WORDS, runs, spans, text_buffer
+from .textkit import LOWER, SPACE_WORDS, give_back, runs, spans, text_buffer
 
 GROUP_WINDOWS = 64
 #: Bytes of texts encoded together.
-TOGETHER = 2 << 20
-#: Most words remembered by a task, about 75 MB.
-REMEMBERED = 300_000
+TOGETHER = 1 << 20
+#: Most words remembered by a task, about 50 MB.
+REMEMBERED = 200_000
 #: New words encoded in one call.
 CHUNK = 8192
 #: Words that the tokenizer neither changes nor parts: small Latin letters, each of one code point.
@@ -64,10 +64,10 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, end_id: int = 2):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merges.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)  # the same merges, without normalisation
         self.merges.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -297,5 +297,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
         made += packer.finish()
         if made:
             yield batch_of(made)
+        del words
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, schema)

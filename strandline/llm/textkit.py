@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +34,28 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep unused: Spark's Python workers live on and would hold it through other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def runs(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``limit`` bytes of text each, or one row."""
+    """Slices of a batch with at most ``limit`` bytes of text each, or one row; unused memory goes back on the way."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    ends, start, given = np.cumsum(sizes, dtype=np.int64), 0, 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+        if ends[stop - 1] - given > 4 << 20 or stop == len(ends):
+            given = ends[stop - 1]
+            give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
