@@ -64,18 +64,25 @@ h as (select host, count(bad) n, coalesce(sum(bad), 0) k,
       from p left join o using (page_id) group by host),
 hd as (select *, case when length(host) <= length(suffix) + 1 then host
                       else split_part(substr(host, 1, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix end domain from h),
-s0 as (select suffix, sum(n) n, sum(k) k, (select case when sum(n) > 0 then (sum(k) + 0.5) / (sum(n) + 1.0) else 0 end from hd) m from hd group by suffix),
-s1 as (select suffix, (k + s * m) / (n + s) m from s0, {_strength("s0")}),
-d0 as (select domain, suffix, sum(n) n, sum(k) k, any_value(s1.m) m from hd join s1 using (suffix) group by domain, suffix),
-d1 as (select domain, (k + s * m) / (n + s) m from d0, {_strength("d0")}),
-h0 as (select host, n, k, m from hd join d1 using (domain)),
-h1 as (select host, n, s, (k + s * m) / (n + s) mean from h0, {_strength("h0")}),
-h2 as (select host, greatest(mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)), 0) low from h1),
+hl as (select *, case when n > 0 then 1 else 0 end l from hd),
+t0 as (select sum(n) n0, sum(k) k0, sum(l) l0 from hl),
+s0 as (select suffix, sum(n) n, sum(k) k, sum(l) l, (select case when n0 > 0 then (k0 + 0.5) / (n0 + 1.0) else 0 end from t0) m from hl group by suffix),
+s1 as (select suffix, n n1, k k1, l l1, s e1, (k + s * m) / (n + s) m from s0, {_strength("s0")}),
+d0 as (select domain, suffix, sum(n) n, sum(k) k, sum(l) l, any_value(s1.m) m from hl join s1 using (suffix) group by domain, suffix),
+d1 as (select domain, n n2, k k2, l l2, s e2, (k + s * m) / (n + s) m from d0, {_strength("d0")}),
+h0 as (select host, suffix, domain, n, k, l, m from hl join d1 using (domain)),
+h1 as (select host, n, k, l, n0, k0, l0, n1, k1, l1, e1, n2, k2, l2, e2, s e3 from h0 join s1 using (suffix) join d1 using (domain), t0, {_strength("h0")}),
+p0 as (select *, case when l0 - l > 0 then (k0 - k + 0.5) / (n0 - n + 1.0::double) else 0.0::double end pm, case when l0 - l > 0 then least(e1, cast(l0 - l as double)) else 1.0::double end pe from h1),
+p1 as (select * replace ((k1 - k + pe * pm) / (n1 - n + pe) as pm, least(e2, l1 - l + pe) as pe) from p0),
+p2 as (select * replace ((k2 - k + pe * pm) / (n2 - n + pe) as pm, least(e3, l2 - l + pe) as pe) from p1),
+ab as (select host, k + pe * pm a, n - k + pe * (1 - pm) b from p2),
+h2 as (select host, case when a + b > 200 then a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.3 when a <= 0 then false when b <= 0 then true
+    else list_sum(list_transform(range(0, 402), lambda j: exp(lgamma(a + b + j) - lgamma(a + 1 + j) - lgamma(b) + (a + j) * ln(0.3) + b * ln(0.7)))) < 0.05 end bad from ab),
 r(pattern, rhost, rpath, rv) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
     ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 m as (select page_id, arg_max(pattern, length(pattern)) rule, arg_max(rv, length(pattern)) rv
       from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
-select page_id, host, path, rule, coalesce(rv, case when low > 0.3 then 'block' else 'allow' end) verdict
+select page_id, host, path, rule, coalesce(rv, case when bad then 'block' else 'allow' end) verdict
 from p join h2 using (host) left join m using (page_id)
 """
 
