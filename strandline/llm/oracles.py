@@ -44,12 +44,12 @@ select doc_id, n_bytes, case when k = 0 then '' else lpad(bin(p), cast(k as inte
 from d join f on h >> (48 - k) = p
 """
 
-_FIT = "case when {n} > 0 then {n} * power({k} / cast({n} as double) - m, 2) - m * (1 - m) end"
+_FIT = "n * power(k / cast(n as double) - m, 2) - m * (1 - m)"
 
 
 def _strength(table: str) -> str:
     """Moment estimate of the prior strength, as one row s."""
-    return f"""(select 1 / least(greatest(coalesce(sum({_FIT.format(n="n", k="k")}) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0), 0.001), 0.9) - 1 s
+    return f"""(select 1 / least(greatest((coalesce(greatest(sum({_FIT}), 0), 0) + 0.5::double) / (coalesce(sum(m * (1 - m) * (n - 1)) * (count(*) - 1) / greatest(count(*), 1), 0) + 1), 0.001), 0.9) - 1 s
                from {table} where n > 0)"""
 
 
@@ -66,15 +66,15 @@ hd as (select *, case when length(host) <= length(suffix) + 1 then host
                       else split_part(substr(host, 1, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix end domain from h),
 hl as (select *, case when n > 0 then 1 else 0 end l from hd),
 t0 as (select sum(n) n0, sum(k) k0, sum(l) l0 from hl),
-s0 as (select suffix, sum(n) n, sum(k) k, sum(l) l, (select case when n0 > 0 then (k0 + 0.5) / (n0 + 1.0) else 0 end from t0) m from hl group by suffix),
+s0 as (select suffix, sum(n) n, sum(k) k, sum(l) l, (select case when n0 > 0 then (k0 + 0.5) / (n0 + 2.0::double) else 0 end from t0) m from hl group by suffix),
 s1 as (select suffix, n n1, k k1, l l1, s e1, (k + s * m) / (n + s) m from s0, {_strength("s0")}),
 d0 as (select domain, suffix, sum(n) n, sum(k) k, sum(l) l, any_value(s1.m) m from hl join s1 using (suffix) group by domain, suffix),
 d1 as (select domain, n n2, k k2, l l2, s e2, (k + s * m) / (n + s) m from d0, {_strength("d0")}),
 h0 as (select host, suffix, domain, n, k, l, m from hl join d1 using (domain)),
 h1 as (select host, n, k, l, n0, k0, l0, n1, k1, l1, e1, n2, k2, l2, e2, s e3 from h0 join s1 using (suffix) join d1 using (domain), t0, {_strength("h0")}),
-p0 as (select *, case when l0 - l > 0 then (k0 - k + 0.5) / (n0 - n + 1.0::double) else 0.0::double end pm, case when l0 - l > 0 then least(e1, cast(l0 - l as double)) else 1.0::double end pe from h1),
-p1 as (select * replace ((k1 - k + pe * pm) / (n1 - n + pe) as pm, least(e2, l1 - l + pe) as pe) from p0),
-p2 as (select * replace ((k2 - k + pe * pm) / (n2 - n + pe) as pm, least(e3, l2 - l + pe) as pe) from p1),
+p0 as (select *, case when l0 - l > 0 then (k0 - k + 0.5) / (n0 - n + 2.0::double) else 0.0::double end pm, case when l0 - l > 0 then least(e1, cast(l0 - l as double)) else 1.0::double end pe from h1),
+p1 as (select * replace ((k1 - k + pe * pm) / (n1 - n + pe) as pm, least(e2, l1 - l + pe, greatest(l0 - l, 1)) as pe) from p0),
+p2 as (select * replace ((k2 - k + pe * pm) / (n2 - n + pe) as pm, least(e3, l2 - l + pe, greatest(l0 - l, 1)) as pe) from p1),
 ab as (select host, k + pe * pm a, n - k + pe * (1 - pm) b from p2),
 h2 as (select host, case when a + b > 200 then a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.3 when a <= 0 then false when b <= 0 then true
     else list_sum(list_transform(range(0, 402), lambda j: exp(lgamma(a + b + j) - lgamma(a + 1 + j) - lgamma(b) + (a + j) * ln(0.3) + b * ln(0.7)))) < 0.05 end bad from ab),

@@ -18,7 +18,7 @@ Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule, and the reputation of the empty host. Repeated pages each give a row;
 repeated labels of a page count once, as bad if any says so. Labels that are
 null are no outcome. Without labels nothing is blocked but by rule; where no other
-host is labelled, the prior is one good page. Urls of any length are taken whole.
+host is labelled, the prior is one good page. The share of all pages starts from half a bad page in two. Urls of any length are taken whole.
 Further columns of pages are not returned, whatever their names. An empty table
 gives no row. Rules of equal length: a block comes before an allow. A null page id has
 no label.
@@ -97,11 +97,15 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 
 def _strength(groups: DataFrame) -> DataFrame:
-    """Prior strength from children (_k bad of _n) about their parents' mean _m: one row."""
-    v = F.col("_m") * (1 - F.col("_m"))
-    excess = F.sum(F.col("_n") * F.pow(F.col("_k") / F.col("_n") - F.col("_m"), 2) - v)
-    scale = F.sum(v * (F.col("_n") - 1))
-    rho = F.least(F.greatest(F.coalesce(excess / F.nullif(scale, F.lit(0.0)), F.lit(0.0)), F.lit(0.001)), F.lit(0.9))
+    """Prior strength from children (_k bad of _n) about their parents' mean _m: one row.
+
+    The moment estimate of the spread starts from a half, so it takes pages of several groups to show that groups are
+    alike; with one group, or one page in each, the strength is one page.
+    """
+    v, some = F.col("_m") * (1 - F.col("_m")), F.count(F.lit(1))
+    excess = F.greatest(F.sum(F.col("_n") * F.pow(F.col("_k") / F.col("_n") - F.col("_m"), 2) - v), F.lit(0.0))
+    scale = F.sum(v * (F.col("_n") - 1)) * (some - 1) / F.greatest(some, F.lit(1))
+    rho = F.least(F.greatest((F.coalesce(excess, F.lit(0.0)) + 0.5) / (F.coalesce(scale, F.lit(0.0)) + 1), F.lit(0.001)), F.lit(0.9))
     return groups.where("_n > 0").agg((1 / rho - 1).alias("_s"))
 
 
@@ -157,7 +161,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = 0.3) -> D
         return [F.coalesce(F.sum(c), F.lit(0)).alias(c + mark) for c in ("_n", "_k", "_h")]
 
     top = hosts.agg(*sums("0"))  # one row
-    share = F.when(F.col("_n0") > 0, (F.col("_k0") + 0.5) / (F.col("_n0") + 1)).otherwise(0.0)  # without labels nothing is bad
+    share = F.when(F.col("_n0") > 0, (F.col("_k0") + 0.5) / (F.col("_n0") + 2)).otherwise(0.0)  # without labels nothing is bad
 
     def shrunk(groups: DataFrame, mark: str, name: str) -> DataFrame:
         """groups with the strength of this level (one row, broadcast) and their own mean for the level below."""
@@ -173,11 +177,11 @@ def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = 0.3) -> D
 
     # the host's prior from the outcomes of others: share and strength of all, then of its suffix, then of its domain
     others = F.col("_h0") - F.col("_h")
-    mean = F.when(others > 0, (F.col("_k0") - F.col("_k") + 0.5) / (F.col("_n0") - F.col("_n") + 1)).otherwise(0.0)
+    mean = F.when(others > 0, (F.col("_k0") - F.col("_k") + 0.5) / (F.col("_n0") - F.col("_n") + 2)).otherwise(0.0)
     leaves = leaves.withColumns({"_p": mean, "_e": F.when(others > 0, F.least(F.col("_s1"), others.cast("double"))).otherwise(1.0)})
     for mark, strength in (("1", "_s2"), ("2", "_s3")):
         n, k, h = (F.col(c + mark) - F.col(c) for c in ("_n", "_k", "_h"))
-        leaves = leaves.withColumns({"_p": (k + F.col("_e") * F.col("_p")) / (n + F.col("_e")), "_e": F.least(F.col(strength), h + F.col("_e"))})
+        leaves = leaves.withColumns({"_p": (k + F.col("_e") * F.col("_p")) / (n + F.col("_e")), "_e": F.least(F.col(strength), h + F.col("_e"), F.greatest(others, F.lit(1)).cast("double"))})
     a, b = F.col("_k") + F.col("_e") * F.col("_p"), F.col("_n") - F.col("_k") + F.col("_e") * (1 - F.col("_p"))
     return leaves.select(
         F.col("_host").alias("host"), F.col("_n").alias("n_labelled"), F.col("_k").alias("n_bad"), (a / (a + b)).alias("bad_mean"),

@@ -247,3 +247,39 @@ def test_pipeline_keeps_columns(spark):
         assert 0 < after.count() <= before.count()
         before = after
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() >= before.count()
+
+
+def test_few_labels_do_not_speak_for_the_web(spark):
+    urls = [(i, f"http://h{i}.d{i % 7}.net/p") for i in range(30)] + [(100, "http://only.org/a"), (101, "http://only.org/b")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+
+    def blocked(bad):
+        labels = spark.createDataFrame(bad, "page_id long, bad boolean")
+        return {r.host for r in judge_urls(pages, labels, rules=()).collect() if r.verdict == "block"}
+
+    assert blocked([(0, True)]) == set()  # one bad page blocks nothing, its own host neither
+    assert not {h for h in blocked([(0, True), (100, True)]) if not h.endswith((".d0.net", "only.org"))}  # two do not reach other domains
+    assert "only.org" not in blocked([(i, True) for i in range(3)] + [(i, False) for i in range(3, 30)])
+
+
+def test_odd_urls_and_columns(spark):
+    long = "http://Long.example.com/" + "x" * 200_000
+    rows = [(None, long, "a", "b"), (1, long, "a", "b"), (1, long, "a", "b"), (2, "http:///path", "c", "d"), (3, "x://HOST?q/r", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, _n string")
+    got = judge_urls(pages, spark.createDataFrame([(1, False), (None, True)], "page_id long, bad boolean"), rules=()).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.verdict) for r in got) == [(0, "long.example.com", 200_001, "allow"), (1, "long.example.com", 200_001, "allow"), (1, "long.example.com", 200_001, "allow"), (2, "", 5, "allow"), (3, "host", 0, "allow")]
+
+
+def test_the_beta_quantile(spark):
+    # chances that beta(a, b) lies at or below 0.3, from binomial sums where a and b are whole numbers
+    from math import comb
+
+    from strandline.llm.url_filter import quantile_exceeds
+
+    cases = [(a, b) for a in (1, 2, 3, 7, 20, 60) for b in (1, 2, 5, 11, 40, 90)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double")
+    got = {(int(r.a), int(r.b)): r.x for r in df.withColumn("x", quantile_exceeds(F.col("a"), F.col("b"), 0.3)).collect()}
+    for a, b in cases:
+        n = a + b - 1
+        below = sum(comb(n, j) * 0.3**j * 0.7 ** (n - j) for j in range(a, n + 1))
+        assert got[a, b] == (below < 0.05), (a, b, below)
