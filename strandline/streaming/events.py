@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -41,3 +42,46 @@ def running_moments(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(
         update, "user_id long, n long, mean double, sd double", "n long, s double, ss double", "update", GroupStateTimeout.NoTimeout
     )
+
+
+class _Pool(StatefulProcessor):
+    """Readings of a site so far in a list; a timer gives the pooled site once no sample has come for a while."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.readings = handle.getListState("readings", "sample int, kmer string, reads array<array<float>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        self.readings.appendList([(int(r.sample), r.kmer, [list(map(float, x)) for x in r.reads]) for f in frames for r in f.itertuples(index=False)])
+        set_before = list(self.handle.listTimers())
+        latest = max(int(f["ts"].max().timestamp() * 1000) for f in frames)
+        due = max([latest, timerValues.getCurrentWatermarkInMs()]) + self.quiet_ms
+        for timer in set_before:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max([due, *set_before]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = sorted(self.readings.get(), key=lambda x: x[0])
+        self.readings.clear()
+        reads = [[float(v) for v in r] for _, _, part in held for r in part]
+        yield pd.DataFrame({"transcript_id": [key[0]], "transcript_position": [key[1]], "kmer": [held[0][1]], "reads": [reads], "n_reads": [len(reads)]})
+
+    def close(self) -> None:
+        pass
+
+
+def pooled_sites(stream: DataFrame, late: str = "10 minutes", quiet: str = "1 hour") -> DataFrame:
+    """One row a site with the readings of all samples in the order of their numbers, once no sample has come for ``quiet``.
+
+    ``stream`` has ts, sample, transcript_id, transcript_position, kmer and reads (lists of nine numbers, as many as the
+    sample holds). The state of a site is a list, so a sample is appended without reading what is there.
+    """
+    quiet_ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    keyed = stream.withWatermark("ts", late).groupBy("transcript_id", "transcript_position")
+    schema = "transcript_id string, transcript_position int, kmer string, reads array<array<float>>, n_reads long"
+    return keyed.transformWithStateInPandas(_Pool(quiet_ms), schema, "Append", "EventTime")

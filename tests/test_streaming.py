@@ -36,3 +36,20 @@ def test_draws_and_rules(spark):
     obs = spark.createDataFrame([("a", 1.0, 0.5), ("a", 2.0, 1.0), ("a", 2.0, 1.5), ("b", 1.0, None)], "g string, x double, y double")
     p = E.paired(obs, ["g"], "x", "y", 5).collect()
     assert len(p) == 1 and abs(p[0]["mean"] - 2 / 3) < 1e-9 and abs(p[0]["t_naive"] - 4) < 1e-6 and abs(p[0]["t_corrected"] - 2 / 3 / (1 / 12 * (1 / 3 + 0.25)) ** 0.5) < 1e-6
+
+
+def test_pooled_sites_equal_the_pooled_files(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "ts timestamp, sample int, transcript_id string, transcript_position int, kmer string, reads array<array<float>>"
+    rows = [("2024-01-01 00:00:00", s, f"t{t}", 7 * t, "AAGACCA", [[float(10 * s + i)] * 9 for i in range(s + t)]) for s in (2, 0, 1) for t in range(1, 4)]
+    for i in range(0, len(rows), 3):
+        part = spark.createDataFrame([(None, *r[1:]) for r in rows[i : i + 3]], schema).withColumn("ts", F.lit(rows[0][0]).cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    late = spark.createDataFrame([(None, 9, "z", 1, "AAGACCA", [[1.0] * 9])], schema).withColumn("ts", F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    late.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = S.pooled_sites(stream, quiet="2 hours").writeStream.format("memory").queryName("pooled").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = {(r.transcript_id, r.transcript_position): [x[0] for x in r.reads] for r in spark.table("pooled").collect()}
+    assert got == {(f"t{t}", 7 * t): [float(10 * s + i) for s in range(3) for i in range(s + t)] for t in range(1, 4)}
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
