@@ -92,18 +92,51 @@ def envelope(curve: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     return curve.withColumn(y, F.max(y).over(w))
 
 
-def bootstrap_ap(df: DataFrame, cluster: list[str], arms: list[str], label: str, resamples: int, seed: str) -> DataFrame:
-    """Average precision of every arm in each Poisson resample of clusters: (resample, arm, ap).
+def bootstrap_ap(df: DataFrame, cluster: list[str], arms: list[str], label: str, resamples: int, seed: str, group: list[str] | None = None) -> DataFrame:
+    """Average precision of every arm in each Poisson resample of clusters: (group, resample, arm, ap).
 
-    Rows are summed to (cluster, arm, score) first; all arms share a resample's draws. Resamples without positives are left out.
+    Rows are summed to (cluster, arm, score) first; all arms and groups share a resample's draws. Resamples without positives are left out.
     """
-    long = df.select(*cluster, F.col(label).cast("long").alias("_y"), F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("s")) for a in arms])))
-    cells = long.groupBy(*cluster, "arm", "s").agg(F.sum("_y").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    group = group or []
+    long = df.select(*group, *cluster, F.col(label).cast("long").alias("_y"), F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("s")) for a in arms])))
+    cells = long.groupBy(*group, *cluster, "arm", "s").agg(F.sum("_y").alias("_k"), F.count(F.lit(1)).alias("_n"))
     drawn = cells.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     drawn = drawn.withColumn("_w", poisson_weight(keyed(seed, "resample", *cluster))).where("_w > 0")
-    t = drawn.groupBy("resample", "arm", "s").agg(F.sum(F.col("_w") * F.col("_k")).alias("tp"), F.sum(F.col("_w") * F.col("_n")).alias("n"))
-    t = running_sums(t, ["resample", "arm"], "s", {"tp": "ctp", "n": "cn"}, descending=True)
-    return t.groupBy("resample", "arm").agg(F.sum("tp").alias("_p"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("_x")).where("_p > 0").select("resample", "arm", (F.col("_x") / F.col("_p")).alias("ap"))
+    keys = [*group, "resample", "arm"]
+    t = drawn.groupBy(*keys, "s").agg(F.sum(F.col("_w") * F.col("_k")).alias("tp"), F.sum(F.col("_w") * F.col("_n")).alias("n"))
+    t = running_sums(t, keys, "s", {"tp": "ctp", "n": "cn"}, descending=True)
+    sums = t.groupBy(*keys).agg(F.sum("tp").alias("_p"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("_x")).where("_p > 0")
+    return sums.select(*keys, (F.col("_x") / F.col("_p")).alias("ap"))
+
+
+def head_to_head(rows: DataFrame, group: list[str], a: str, b: str, label: str, cluster: str, resamples: int, seed: str, least: int = 20) -> DataFrame:
+    """Two scores of the same rows, for each group with ``least`` positives: n, positives, ap of both, their difference and its interval, wins."""
+    rows = saved(rows.select(*group, a, b, label, cluster), "head-to-head")
+    ours, theirs = (M.ap_and_auc(rows, group, x, label).select(*group, F.col("ap").alias(f"ap_{n}"), F.col("auc").alias(f"auc_{n}"), "n", "positives") for x, n in ((a, "a"), (b, "b")))
+    boot = bootstrap_ap(rows, [cluster], [a, b], label, resamples, seed, group)
+    by_arm = boot.groupBy(*group, "resample").agg((F.max(F.when(F.col("arm") == a, F.col("ap"))) - F.max(F.when(F.col("arm") == b, F.col("ap")))).alias("_d"))
+    spread = interval(by_arm.where("_d is not null"), group, "_d").select(*group, "low", "high", F.col("share_positive").alias("wins"))
+    out = ours.where(F.col("positives") >= least)
+    for other in (theirs.drop("n", "positives"), spread):
+        other = other.toDF(*[f"_g_{g}" for g in group], *[c for c in other.columns if c not in group])
+        out = out.join(other, same(out, other, {g: f"_g_{g}" for g in group})).drop(*[f"_g_{g}" for g in group])
+    return out.withColumn("gain", F.col("ap_a") - F.col("ap_b"))
+
+
+def by_type(rows: DataFrame, families: dict[str, Column], draws: list[str], label: str, cluster: str, least: int) -> DataFrame:
+    """(family, type, n, positives, clusters, pair_accuracy, draw_sd, note): each draw's AUC in every type of every family, and their mean.
+
+    Types with fewer than ``least`` of either class get a note and no number.
+    """
+    kinds = F.array(*[F.struct(F.lit(f).alias("family"), c.cast("string").alias("type")) for f, c in families.items()])
+    long = saved(rows.select(label, cluster, *draws, F.inline(kinds)), "types")
+    keys = ["family", "type"]
+    each = long.select(*keys, label, F.inline(F.array(*[F.struct(F.lit(d).alias("draw"), F.col(d).cast("double").alias("s")) for d in draws])))
+    auc = M.roc_auc(each, [*keys, "draw"], "s", label).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg("auc").alias("_mean"), F.stddev_pop("auc").alias("_sd"))
+    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.count_distinct(cluster).alias("clusters"))
+    few = F.least(F.col("positives"), F.col("n") - F.col("positives")) < least
+    out = n.join(auc, same(n, auc, {k: f"_{k}" for k in keys}), "left")
+    return out.select(*keys, "n", "positives", "clusters", F.when(~few, F.col("_mean")).alias("pair_accuracy"), F.when(~few, F.col("_sd")).alias("draw_sd"), F.when(few, "too few to judge").otherwise("").alias("note"))
 
 
 def interval(values: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -176,6 +209,7 @@ def rank_shift(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def rank_in_sample(new: DataFrame, sample: DataFrame, score: str) -> DataFrame:
     """Adds place: the average rank share of each score within a stored sample, (below + at or below + 1) / 2 / n."""
+    new = saved(new, "rows-to-place")  # their scores are computed once
     zero = new.groupBy(F.col(score).alias("_s")).agg(F.lit(0).cast("long").alias("_n"))
     counts = zero.unionByName(sample.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))).groupBy("_s").agg(F.sum("_n").alias("_n"))
     place = running_sums(counts, [], "_s", {"_n": "_le"})
@@ -335,6 +369,20 @@ def column_audit(df: DataFrame, columns: list[str], level: str) -> DataFrame:
     return means.join(F.broadcast(zero), "column").select("column", level, ((F.col("_m") - F.col("_m0")) / F.nullif(F.col("_s0"), F.lit(0.0))).alias("shift"))
 
 
+def audit_shapes(shifts: DataFrame, level: str, last: float) -> DataFrame:
+    """For each column of ``column_audit``: rank correlation of shift and level, the level and shift of its peak, the shift at ``last``, and the hump between.
+
+    A hump is how much larger the peak's shift is than the last one's; of equal peaks the lowest level counts.
+    """
+    known = saved(shifts.where("shift is not null"), "shifts")
+    ranked = average_rank(average_rank(known, ["column"], level, "_a"), ["column"], "shift", "_b")
+    size = F.abs("shift")
+    end = F.max(F.when(F.col(level) == last, F.col("shift")))
+    peak = F.max_by(F.struct(F.col(level).alias("l"), F.col("shift").alias("s")), F.struct(size, -F.col(level)))
+    g = ranked.groupBy("column").agg(F.corr("_a", "_b").alias("monotonic"), peak.alias("_p"), end.alias("shift_at_last"), F.max(size).alias("_top"))
+    return g.select("column", "monotonic", F.col("_p.l").alias("peak"), F.col("_p.s").alias("shift_at_peak"), "shift_at_last", (F.col("_top") - F.abs("shift_at_last")).alias("hump"))
+
+
 def window_links(points: DataFrame, sites: DataFrame, group: list[str], flank: int) -> DataFrame:
     """Site pairs (a < b) and the largest value of the point pairs (x, y, v) whose ends lie within ``flank`` of each.
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import saved
 from .windows import running_sums
 
 
@@ -63,8 +64,9 @@ def exact_levels(df: DataFrame, column: str, levels: list[float]) -> DataFrame:
 def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
     """The rows of the highest scores, max(1, round(share * n)) of them; ties are broken by key. Halves round to even.
 
-    Only rows of the one score at the cut are ranked.
+    Only rows of the one score at the cut are ranked. Rows are saved first, so that their scores are computed once.
     """
+    df = saved(df, "rows-to-cut")
     t = running_sums(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [], score, {"_n": "_cn"}, descending=True)
     k = t.agg(F.greatest(F.lit(1), F.bround(F.lit(share) * F.max("_cn"), 0).cast("long")).alias("_k"))
     cut = t.join(F.broadcast(k), how="cross").where("_cn - _n < _k")
@@ -151,6 +153,40 @@ def t_two_sided(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
+def t_chance(t: Column, df: Column, steps: int = 4000) -> Column:
+    """Two-sided p value of Student's t as a column: the density's integral from 0 to |t| by midpoints."""
+    half = (df + 1) / 2.0
+    front = F.exp(_log_gamma(half) - _log_gamma(df / 2.0)) / F.sqrt(df * math.pi)
+    width = F.abs(t) / steps
+
+    def density(i: Column) -> Column:
+        x = (i + 0.5) * width
+        return F.pow(1 + x * x / df, -half)
+
+    area = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0), lambda acc, i: acc + density(i))
+    return F.greatest(1 - 2 * front * area * width, F.lit(0.0))
+
+
+def _log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers, by Stirling's series eight places up."""
+    up = z + 8
+    series = (up - 0.5) * F.log(up) - up + math.log(2 * math.pi) / 2 + 1 / (12 * up) - 1 / (360 * up * up * up)
+    return series - sum((F.log(z + i) for i in range(8)), F.lit(0.0))
+
+
+def welch(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n_a, n_b, difference, t, df) of two unpaired samples with unequal variances; null t without spread."""
+    sides = []
+    for df, n in ((a, "a"), (b, "b")):
+        sides.append(df.groupBy(*keys).agg(F.count(value).alias(f"n_{n}"), F.avg(value).alias(f"_m{n}"), F.var_samp(value).alias(f"_v{n}")))
+    j = sides[0].join(sides[1], keys)
+    ea, eb = F.col("_va") / F.col("n_a"), F.col("_vb") / F.col("n_b")
+    se = F.nullif(ea + eb, F.lit(0.0))
+    freedom = se * se / (ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1))
+    gap = F.col("_ma") - F.col("_mb")
+    return j.where("n_a > 1 and n_b > 1").select(*keys, "n_a", "n_b", gap.alias("difference"), (gap / F.sqrt(se)).alias("t"), freedom.alias("df"))
+
+
 def paired_comparison(obs: DataFrame, a: str, b: str, folds: int) -> dict[str, float]:
     """Paired differences of two arms over repeated folds: mean, wins, and naive and corrected p values."""
     d = F.col(a) - F.col(b)

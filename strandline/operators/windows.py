@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import band_pairs
-from .tables import in_cells, same
+from .tables import in_cells, same, saved
 
 #: Stands for "no neighbour on this side" in distances.
 NO_NEIGHBOUR = 100_000.0
@@ -80,7 +80,9 @@ def average_rank(df: DataFrame, group: list[str], by: str, name: str, share: boo
     """Adds the rank of ``by`` from 1 with ties at their mean, as a share of the group's rows if asked. Null values rank first.
 
     Ranks are made of distinct values and joined back, so no task orders all rows of a group; null groups are groups.
+    The rows are saved first: a mean that is computed twice may differ in its last digit and would find no rank.
     """
+    df = saved(df, "rows-to-rank")
     counts = df.groupBy(*group, by).agg(F.count(F.lit(1)).alias("_n"))
     ranks = running_sums(counts, group, by, {"_n": "_le"})
     rank = F.col("_le") - (F.col("_n") - 1) / 2.0

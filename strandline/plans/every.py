@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, evaluation, features, files, studies
+from . import catalog, composites, evaluation, features, files, studies
 
-MODULES = (catalog, features, evaluation, studies, files)
+MODULES = (catalog, features, evaluation, studies, files, composites)
 queries, oracle_sql = catalog.queries, catalog.oracle_sql
