@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,12 +74,59 @@ def loglinear_fit(df: DataFrame, group: list[str], x: str, y: str, weight: str)
     return out.withColumn("scale", F.when(F.col("slope") < 0, -1 / F.col("slope"))).select(*group, "slope", "intercept", "scale")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def leading_direction(cov: Column) -> Column:
+    """(largest, v0, v1, v2): largest eigenvalue and unit eigenvector of a symmetric 3 x 3 matrix, an array [xx, xy, xz, yy, yz, zz].
+
+    The eigenvalue is the closed trigonometric form. The vector is the longest cross product of two rows of the matrix less
+    that eigenvalue; where all eigenvalues are equal it is the last axis.
+    """
+
+    def largest(c: Column, m: Column, p: Column) -> Column:
+        x, y, z = c[0] - m, c[3] - m, c[5] - m
+        det = x * (y * z - c[4] * c[4]) - c[1] * (c[1] * z - c[4] * c[2]) + c[2] * (c[1] * c[4] - y * c[2])
+        cosine = F.coalesce(det / F.nullif(2 * p * p * p, F.lit(0.0)), F.lit(1.0))
+        return m + 2 * p * F.cos(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) / 3)
+
+    def spread(c: Column, m: Column) -> Column:
+        off = c[1] * c[1] + c[2] * c[2] + c[4] * c[4]
+        return F.sqrt(((c[0] - m) * (c[0] - m) + (c[3] - m) * (c[3] - m) + (c[5] - m) * (c[5] - m) + 2 * off) / 6)
+
+    def longest(c: Column, g: Column) -> Column:
+        rows = ((c[0] - g, c[1], c[2]), (c[1], c[3] - g, c[4]), (c[2], c[4], c[5] - g))
+        made = []
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            u, v = rows[i], rows[j]
+            made.append(F.array(u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]))
+        square = F.transform(F.array(*made), lambda v: F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("n"), v[0].alias("v0"), v[1].alias("v1"), v[2].alias("v2")))
+        return F.array_max(square)
+
+    def unit(g: Column, v: Column) -> Column:
+        parts = [F.when(v["n"] > 0, v[f"v{i}"] / F.sqrt(v["n"])).otherwise(F.lit(float(i == 2))).alias(f"v{i}") for i in range(3)]
+        return F.struct(g.alias("largest"), *parts)
+
+    return _let(cov, lambda c: _let((c[0] + c[3] + c[5]) / 3, lambda m: _let(spread(c, m), lambda p: _let(largest(c, m, p), lambda g: _let(longest(c, g), lambda v: unit(g, v))))))
+
+
 def eigen_alignment(df: DataFrame, group: list[str], columns: list[str], schema_keys: str) -> DataFrame:
     """Leading eigenvector of the group's covariance: alignment with the diagonal and dominance of its eigenvalue.
 
-    The covariance numbers are aggregated by Spark; only one small matrix a group reaches Python.
+    The covariance numbers are aggregated by Spark. Three columns are solved in columns; for another number one small
+    matrix a group reaches Python.
     """
     k = len(columns)
+    if k == 3:
+        pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
+        held = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.coalesce(F.covar_samp(x, y), F.lit(0.0)) for x, y in pairs]).alias("_c"))
+        held = held.withColumn("_e", leading_direction(F.col("_c")))
+        total = F.col("_c")[0] + F.col("_c")[3] + F.col("_c")[5]
+        fine = (F.col("_n") >= 5) & (total > 0)
+        along = F.abs(F.col("_e.v0") + F.col("_e.v1") + F.col("_e.v2")) / F.sqrt(F.lit(3.0))
+        return held.select(*group, F.when(fine, along).otherwise(0.0).alias("alignment"), F.when(fine, F.col("_e.largest") / total).otherwise(0.0).alias("dominance"))
     names = [f"_c{i}_{j}" for i in range(k) for j in range(i, k)]
     cov = [F.covar_samp(columns[i], columns[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)]
     table = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *cov)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sites import READ_COLUMNS
-from .aggregates import QUANTILES
+from .aggregates import QUANTILES, leading_direction
 from .windows import NO_NEIGHBOUR
 
 SITE = ["t", "p"]
@@ -87,23 +87,15 @@ def _coupling() -> list[Column]:
 
 def _directions(df: DataFrame) -> DataFrame:
     """Adds how far the leading direction of each measurement's three places is (1, 1, 1), and its share of the variance."""
-    names = [f"coupling_{m}_{x}" for m in MEASURES for x in ("align111", "lead_frac")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for m in MEASURES:
-                c = np.array(batch.column(f"_cov_{m}").flatten(), float).reshape(-1, 6)
-                full = c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-                values, vectors = np.linalg.eigh(full)
-                total = values.sum(1)
-                sound = (batch.column("n_reads").to_numpy() >= LEAST_READS) & (c[:, [0, 3, 5]].min(1) > 0) & (total > 0)
-                align = np.abs(vectors[:, :, 2]).sum(1) / np.sqrt(3)
-                out += [np.where(sound, align, 0.0), np.where(sound, values[:, 2] / np.where(total > 0, total, 1), 0.0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], [*batch.schema.names, *names])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join(fields + [f"{n} double" for n in names])).drop(*[f"_cov_{m}" for m in MEASURES])
+    df = df.withColumns({f"_dir_{m}": leading_direction(F.col(f"_cov_{m}")) for m in MEASURES})
+    out = {}
+    for m in MEASURES:
+        cov, found = F.col(f"_cov_{m}"), F.col(f"_dir_{m}")
+        total = cov[0] + cov[3] + cov[5]
+        sound = (F.col("n_reads") >= LEAST_READS) & (F.least(cov[0], cov[3], cov[5]) > 0) & (total > 0)
+        out[f"coupling_{m}_align111"] = F.when(sound, (F.abs(found["v0"]) + F.abs(found["v1"]) + F.abs(found["v2"])) / F.sqrt(F.lit(3.0))).otherwise(0.0)
+        out[f"coupling_{m}_lead_frac"] = F.when(sound, found["largest"] / total).otherwise(0.0)
+    return df.withColumns(out).drop(*[f"{x}_{m}" for m in MEASURES for x in ("_cov", "_dir")])
 
 
 def _joint(reads: DataFrame) -> DataFrame:

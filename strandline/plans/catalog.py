@@ -324,7 +324,28 @@ def safe_correlation(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(A.safe_corr("l_quantity", "l_tax"), 6).alias("r"))
 
 
-@query()
+def leading_sql(source: str, keys: str) -> str:
+    """SQL CTEs e1 to e4 over rows (keys, n, xx, xy, xz, yy, yz, zz): e4 has largest, total and the unit vector v0, v1, v2."""
+    rows = {0: ("xx - largest", "xy", "xz"), 1: ("xy", "yy - largest", "yz"), 2: ("xz", "yz", "zz - largest")}
+
+    def cross(i: int, j: int) -> str:
+        u, v = ([f"({x})" for x in rows[k]] for k in (i, j))
+        made = [f"{u[1]} * {v[2]} - {u[2]} * {v[1]}", f"{u[2]} * {v[0]} - {u[0]} * {v[2]}", f"{u[0]} * {v[1]} - {u[1]} * {v[0]}"]
+        return f"[{' + '.join(f'power({m}, 2)' for m in made)}, {', '.join(made)}]"
+
+    return f"""e1 as (select *, xx + yy + zz total, (xx + yy + zz) / 3 mid, sqrt((power(xx - (xx + yy + zz) / 3, 2) + power(yy - (xx + yy + zz) / 3, 2) + power(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) wide from {source}),
+e2 as (select *, mid + 2 * wide * cos(acos(least(greatest(coalesce(((xx - mid) * ((yy - mid) * (zz - mid) - yz * yz) - xy * (xy * (zz - mid) - yz * xz) + xz * (xy * yz - (yy - mid) * xz)) / nullif(2 * wide * wide * wide, 0), 1), -1), 1)) / 3) largest from e1),
+e3 as (select *, greatest({cross(0, 1)}, {cross(0, 2)}, {cross(1, 2)}) l from e2),
+e4 as (select {keys}, n, xx, yy, zz, total, largest, {", ".join(f"case when l[1] > 0 then l[{i + 2}] / sqrt(l[1]) else {float(i == 2)} end v{i}" for i in range(3))} from e3)"""
+
+
+def _cov_sql(columns: list[str], f: str) -> str:
+    names = ("xx", "xy", "xz", "yy", "yz", "zz")
+    return ", ".join(f"coalesce({f}({x}, {y}), 0) {n}" for n, (x, y) in zip(names, [(x, y) for i, x in enumerate(columns) for y in columns[i:]], strict=True))
+
+
+@query(f"""with c as (select l_partkey, count(*) n, {_cov_sql(["l_quantity", "l_discount", "l_tax"], "covar_samp")} from lineitem group by 1), {leading_sql("c", "l_partkey")}
+select l_partkey, round(case when n >= 5 and total > 0 then abs(v0 + v1 + v2) / sqrt(3.0) else 0 end, 6) alignment, round(case when n >= 5 and total > 0 then largest / total else 0 end, 6) dominance from e4""")
 def eigen_alignment(spark, d):
     return rounded(A.eigen_alignment(table(spark, d, "lineitem"), ["l_partkey"], ["l_quantity", "l_discount", "l_tax"], "l_partkey long"), "alignment", "dominance")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..sources.sites import READ_COLUMNS
-from .catalog import query, table
+from .catalog import _cov_sql, leading_sql, query, table
 
 #: Readings of a line: nine numbers, positive where a measurement must be; the factor keeps means off the edges of rounding.
 _READING = {
@@ -94,7 +94,17 @@ def feature_family_coupling(spark, d):
     return _out(X.feature_set(readings(spark, d), "quantiles_coupling_v1"), list(_COUPLED))
 
 
-@query()
+def _directions_sql() -> str:
+    parts = []
+    for m in X.MEASURES:
+        sound = "n >= 5 and least(xx, yy, zz) > 0 and total > 0"
+        cov = _cov_sql([f"{m}_{x}" for x in X.PLACES], "covar_pop")
+        parts.append(f"""{m} as (with c as (select t, p, count(*) n, {cov} from r group by t, p), {leading_sql("c", "t, p")}
+select t, p, round(case when {sound} then (abs(v0) + abs(v1) + abs(v2)) / sqrt(3.0) else 0 end, 6) coupling_{m}_align111, round(case when {sound} then largest / total else 0 end, 6) coupling_{m}_lead_frac from e4)""")
+    return f"with {R}, {', '.join(parts)} select * from {X.MEASURES[0]} {' '.join(f'join {m} using (t, p)' for m in X.MEASURES[1:])}"
+
+
+@query(_directions_sql())
 def feature_family_directions(spark, d):
     f = X.feature_set(readings(spark, d), "quantiles_coupling_v1")
     return _out(f, [c for c in f.columns if c.endswith(("_align111", "_lead_frac"))])
