@@ -154,7 +154,7 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def t_chance(t: Column, df: Column, steps: int = 4000) -> Column:
-    """Two-sided p value of Student's t as a column: the density's integral from 0 to |t| by midpoints."""
+    """Two-sided p value of Student's t as a column: the density's integral from 0 to |t| by midpoints; null without a t."""
     half = (df + 1) / 2.0
     front = F.exp(_log_gamma(half) - _log_gamma(df / 2.0)) / F.sqrt(df * math.pi)
     width = F.abs(t) / steps
@@ -164,7 +164,7 @@ def t_chance(t: Column, df: Column, steps: int = 4000) -> Column:
         return F.pow(1 + x * x / df, -half)
 
     area = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0), lambda acc, i: acc + density(i))
-    return F.greatest(1 - 2 * front * area * width, F.lit(0.0))
+    return F.when(t.isNotNull() & df.isNotNull(), F.greatest(1 - 2 * front * area * width, F.lit(0.0)))
 
 
 def _log_gamma(z: Column) -> Column:

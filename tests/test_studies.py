@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.operators import evaluation as E
 from strandline.operators import grading as G
 from strandline.operators import joins as J
+from strandline.operators import metrics as M
 from strandline.operators import models as X
 from strandline.operators import nearest as N
 from strandline.operators import resample as R
@@ -167,3 +168,30 @@ def test_export_is_whole_or_an_error(spark, tmp_path):
     assert spark.read.json(f"{path}/genes").count() == 1 and [p.name for p in tmp_path.iterdir()] == ["export"]
     with pytest.raises(FileExistsError):
         K.write_export(K.gene_records(sites, batches), path, 4)
+
+
+def test_t_chance_and_welch(spark):
+    cases = [(t, n) for t in (0.0, 0.7, -1.96, 2.5, 6.0) for n in (1.0, 4.0, 9.5, 60.0)]
+    for r in spark.createDataFrame(cases, "t double, n double").withColumn("p", M.t_chance(F.col("t"), F.col("n"))).collect():
+        assert r.p == pytest.approx(M.t_two_sided(r.t, r.n), abs=1e-6)
+    a = spark.createDataFrame([("x", float(v)) for v in (1, 2, 3, 4)] + [("y", 1.0)], "g string, v double")
+    b = spark.createDataFrame([("x", float(v)) for v in (2, 4, 9)] + [("y", 1.0)], "g string, v double")
+    (r,) = M.welch(a, b, ["g"], "v").collect()
+    ea, eb = (5 / 3) / 4, 13 / 3
+    assert (r.g, r.n_a, r.n_b, r.difference) == ("x", 4, 3, -2.5)
+    assert r.t == pytest.approx(-2.5 / math.sqrt(ea + eb)) and r.df == pytest.approx((ea + eb) ** 2 / (ea**2 / 3 + eb**2 / 2))
+
+
+def test_types_and_shapes(spark):
+    rows = [("big" if i < 60 else "small", i % 2, f"c{i % 7}", float(i % 5), float(i % 2)) for i in range(64)]
+    df = spark.createDataFrame(rows, "kind string, y int, cl string, a double, b double")
+    got = {(r.family, r.type): r for r in E.by_type(df, {"all": F.lit("all"), "kind": F.col("kind")}, ["a", "b"], "y", "cl", 10).collect()}
+    big = [(y, a) for k, y, _, a, _ in rows if k == "big"]
+    auc = np.mean([(p > n) + (p == n) / 2 for y, p in big if y for z, n in big if not z])
+    r = got["kind", "big"]
+    assert (r.n, r.positives, r.clusters, r.note) == (60, 30, 7, "") and r.pair_accuracy == pytest.approx((auc + 1) / 2) and r.draw_sd == pytest.approx(abs(1 - auc) / 2)
+    assert got["kind", "small"].note == "too few to judge" and got["kind", "small"].pair_accuracy is None and ("all", "all") in got
+    shifts = spark.createDataFrame([("u", 0, 0.0), ("u", 1, 2.0), ("u", 2, -3.0), ("u", 3, 1.0), ("v", 0, 0.0), ("v", 3, 5.0), ("v", 1, None)], "column string, lev int, shift double")
+    u, v = sorted(E.audit_shapes(shifts, "lev", 3).collect(), key=lambda r: r["column"])
+    assert (u.peak, u.shift_at_peak, u.shift_at_last, u.hump) == (2, -3.0, 1.0, 2.0) and (v.monotonic, v.hump) == (1.0, 0.0)
+    assert u.monotonic == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 4, 1, 3])[0, 1])
