@@ -13,12 +13,13 @@ MOTIF = "^[AGT][AG]AC[ACT]$"
 
 def parse_sites(lines: DataFrame, column: str = "value", width: int = 9) -> DataFrame:
     """Sites of JSON lines: the first key of each level; blank lines are skipped, readings of another width fail."""
-    first = lines.where(F.trim(column) != "").select(F.map_entries(F.from_json(column, SITE_TYPE))[0].alias("t"))
-    second = first.select(F.col("t.key").alias("transcript_id"), F.map_entries("t.value")[0].alias("p"))
-    third = second.select("transcript_id", F.col("p.key").cast("int").alias("transcript_position"), F.map_entries("p.value")[0].alias("k"))
-    out = third.select("transcript_id", "transcript_position", F.col("k.key").alias("kmer"), F.col("k.value").alias("reads"))
-    fits = F.forall("reads", lambda r: F.size(r) == width)
-    out = out.withColumn("reads", F.when(fits, F.col("reads")).otherwise(F.raise_error(F.lit(f"a reading does not have {width} values"))))
+    # a one-row explode keeps the optimizer from copying the parse into every later filter and column
+    first = lines.where(F.trim(column) != "").select(F.explode(F.array(F.map_entries(F.from_json(column, SITE_TYPE))[0])).alias("t"))
+    second = first.select(F.col("t.key").alias("transcript_id"), F.explode(F.array(F.map_entries("t.value")[0])).alias("p"))
+    third = second.select("transcript_id", F.col("p.key").cast("int").alias("transcript_position"), F.explode(F.array(F.map_entries("p.value")[0])).alias("k"))
+    reads = F.col("k.value")
+    fits = F.when(F.forall(reads, lambda r: F.size(r) == width), reads).otherwise(F.raise_error(F.lit(f"a reading does not have {width} values")))
+    out = third.select("transcript_id", "transcript_position", F.col("k.key").alias("kmer"), F.explode(F.array(fits)).alias("reads"))
     return out.withColumn("n_reads", F.size("reads")).withColumn("motif", F.substring("kmer", 2, 5))
 
 
