@@ -116,7 +116,7 @@ def _logged(c: str) -> str:
 
 @query(_sql({f"moments_{x}__{y}": _corr(_logged(x), _logged(y)) for x, y in X.MOMENT_PAIRS}))
 def feature_family_moments(spark, d):
-    f = X.feature_set(readings(spark, d), "quantiles_all_moments_v1")
+    f = X.feature_set(readings(spark, d), "quantiles_all_moments_v1", ("moments_",))
     return _out(f, [c for c in f.columns if c.startswith("moments_")])
 
 
@@ -160,7 +160,7 @@ def _near(x: int) -> str:
 @query(f"""with {_S} select t, p, {", ".join(f"cast(count(*) over {_near(x)} as double) nbrsig_n_w{x}" for x in X.SIGNAL_WINDOWS)},
 {", ".join(f"coalesce(round({f}({c}) over {_near(x)}, 6), 0) nbrsig_{c}_w{x}_{n}" for x in X.SIGNAL_WINDOWS for c in X.AGGREGATED for n, f in (("mean", "avg"), ("max", "max")))} from s""")
 def feature_family_signal(spark, d):
-    f = X.feature_set(readings(spark, d), "quantiles_nbr_signal_v1")
+    f = X.feature_set(readings(spark, d), "quantiles_nbr_signal_v1", ("nbrsig_",))
     return _out(f, [c for c in f.columns if c.startswith("nbrsig_")])
 
 
