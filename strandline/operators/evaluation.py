@@ -23,13 +23,27 @@ def thin_readings(reads: DataFrame, site: list[str], item: list[str], depths: li
 
 def thinning_envelope(reads: DataFrame, site: list[str], item: list[str], value: str, depths: list[int], draws: int, seed: str) -> DataFrame:
     """(site, depth, median, p10, p90) of a site's mean over ``draws`` keyed draws of ``depth`` readings each, for every site."""
-    at = F.array(*[F.struct(F.lit(i + 1).alias("draw"), F.lit(n).alias("depth")) for i in range(draws) for n in depths])
-    each = reads.select(*site, *item, value, F.inline(at))
-    w = Window.partitionBy(*site, "draw", "depth").orderBy(keyed(seed, "draw", "depth", *site, *item), *item, value)
-    kept = each.withColumn("_r", F.row_number().over(w)).where("_r <= depth")
-    means = kept.groupBy(*site, "depth", "draw").agg(F.avg(value).alias("_s"))
-    q = means.groupBy(*site, "depth").agg(F.percentile("_s", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("_q"))
-    return q.select(*site, "depth", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "p10", "p90"))])
+    # readings are shuffled once; every draw sorts a site's list in place instead of a copy of the table
+    sites = reads.groupBy(*site).agg(F.collect_list(F.struct(*[F.col(c).alias(f"i{k}") for k, c in enumerate(item)], F.col(value).cast("double").alias("v"))).alias("_r"))
+
+    def mean(draw: int, depth: int) -> Column:
+        def placed(r: Column) -> Column:
+            key = F.concat_ws(":", F.lit(f"{seed}:{draw}:{depth}"), *[F.col(c).cast("string") for c in site], *[r[f"i{k}"].cast("string") for k in range(len(item))])
+            return F.struct(F.substring(F.md5(key), 1, 8).alias("h"), *[r[f"i{k}"].alias(f"i{k}") for k in range(len(item))], r["v"].alias("v"))
+
+        kept = F.filter(F.transform(F.slice(F.array_sort(F.transform("_r", placed)), 1, depth), lambda r: r["v"]), lambda v: v.isNotNull())
+        total = F.aggregate(kept, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")))
+        return F.aggregate(F.array(total), F.lit(None).cast("double"), lambda _, t: t["s"] / F.nullif(t["n"], F.lit(0.0)))
+
+    each = F.array(*[F.struct(F.lit(n).alias("depth"), F.array_sort(F.array_compact(F.array(*[mean(i + 1, n) for i in range(draws)]))).alias("_m")) for n in depths])
+    means = sites.select(*site, F.inline(each))
+
+    def level(q: float) -> Column:
+        at = (F.size("_m") - 1) * F.lit(q)
+        low, high = F.get("_m", F.floor(at).cast("int")), F.get("_m", F.ceil(at).cast("int"))
+        return F.when(F.size("_m") > 0, low + (high - low) * (at - F.floor(at)))
+
+    return means.select(*site, "depth", level(0.5).alias("median"), level(0.1).alias("p10"), level(0.9).alias("p90"))
 
 
 def depth_sweep(scored: DataFrame, full: int) -> DataFrame:
@@ -95,15 +109,15 @@ def envelope(curve: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
 def bootstrap_ap(df: DataFrame, cluster: list[str], arms: list[str], label: str, resamples: int, seed: str, group: list[str] | None = None) -> DataFrame:
     """Average precision of every arm in each Poisson resample of clusters: (group, resample, arm, ap).
 
-    Rows are summed to (cluster, arm, score) first; all arms and groups share a resample's draws. Resamples without positives are left out.
+    All arms and groups share a resample's draws, which are made before the arms are told apart. Drawn rows are summed by
+    score at once: no table of clusters and scores, which is as long as the rows, is shuffled. Resamples without positives are left out.
     """
     group = group or []
-    long = df.select(*group, *cluster, F.col(label).cast("long").alias("_y"), F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("s")) for a in arms])))
-    cells = long.groupBy(*group, *cluster, "arm", "s").agg(F.sum("_y").alias("_k"), F.count(F.lit(1)).alias("_n"))
-    drawn = cells.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    drawn = df.select(*group, *cluster, *arms, F.col(label).cast("long").alias("_y"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
     drawn = drawn.withColumn("_w", poisson_weight(keyed(seed, "resample", *cluster))).where("_w > 0")
     keys = [*group, "resample", "arm"]
-    t = drawn.groupBy(*keys, "s").agg(F.sum(F.col("_w") * F.col("_k")).alias("tp"), F.sum(F.col("_w") * F.col("_n")).alias("n"))
+    long = drawn.select(*group, "resample", "_w", "_y", F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("s")) for a in arms])))
+    t = long.groupBy(*keys, "s").agg(F.sum(F.col("_w") * F.col("_y")).alias("tp"), F.sum("_w").cast("long").alias("n"))
     t = running_sums(t, keys, "s", {"tp": "ctp", "n": "cn"}, descending=True)
     sums = t.groupBy(*keys).agg(F.sum("tp").alias("_p"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("_x")).where("_p > 0")
     return sums.select(*keys, (F.col("_x") / F.col("_p")).alias("ap"))

@@ -93,16 +93,39 @@ def band_of(distance: Column, edges: list[int]) -> Column:
     return out
 
 
+def exon_lists(exons: DataFrame, group: str) -> DataFrame:
+    """(_g, _exons): a transcript's exons along it, each with its number k and its half-open place [t_start, t_end) on the transcript.
+
+    ``exons`` are closed intervals (group, chrom, strand, start, end); on the minus strand their order runs down. A
+    transcript's exons are one list, as they are one molecule; its points are not.
+    """
+    order = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
+    length = (F.col("end") - F.col("start") + 1).cast("long")
+    row = F.struct(order.alias("o"), "chrom", "strand", "start", "end", length.alias("n"))
+    lists = exons.groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(row)).alias("_l"))
+
+    def placed(e: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice("_l", F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        return F.struct((i + 1).alias("k"), e["chrom"].alias("chrom"), e["strand"].alias("strand"), e["start"].alias("start"), e["end"].alias("end"), before.alias("t_start"), (before + e["n"]).alias("t_end"))
+
+    return lists.select("_g", F.transform("_l", placed).alias("_exons"))
+
+
+def on_exons(points: DataFrame, exons: DataFrame, group: str, pos: str) -> DataFrame:
+    """Points with _exons, their transcript's list, and _exon, the one that holds them (null beyond the last): one join by transcript."""
+    lists = exon_lists(exons, group)
+    j = points.join(lists, same(points, lists, {group: "_g"}), "left").drop("_g")
+    holds = F.filter("_exons", lambda e: (F.col(pos) >= e["t_start"]) & (F.col(pos) < e["t_end"]))
+    return j.withColumn("_exon", F.get(holds, F.lit(0)))
+
+
 def lift_over(points: DataFrame, exons: DataFrame, group: str, pos: str) -> DataFrame:
     """Points with chrom, strand and gpos: the genome's place of a transcript's place, null beyond its last exon.
 
     ``exons`` are closed intervals (group, chrom, strand, start, end); on the minus strand both order and places run down.
     """
-    order = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
-    along = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    length = F.col("end") - F.col("start") + 1
-    placed = exons.select("*", (F.sum(length).over(along) - length).alias("t_start"), F.sum(length).over(along).alias("t_end"))
-    held = place_in_intervals(points, placed.select(group, "chrom", "strand", "start", "end", "t_start", "t_end"), [group], pos)
-    into = F.col(pos) - F.col("t_start")
-    gpos = F.when(F.col("strand") == "-", F.col("end") - into).otherwise(F.col("start") + into)
-    return held.select(*points.columns, "chrom", "strand", gpos.cast("long").alias("gpos"))
+    held = on_exons(points, exons, group, pos)
+    e = F.col("_exon")
+    into = F.col(pos) - e["t_start"]
+    gpos = F.when(e["strand"] == "-", e["end"] - into).otherwise(e["start"] + into)
+    return held.select(*points.columns, e["chrom"].alias("chrom"), e["strand"].alias("strand"), gpos.cast("long").alias("gpos"))

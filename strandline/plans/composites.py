@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import verdict
@@ -109,16 +108,11 @@ r as (select case k when 1 then 'first' when 3 then 'last' else 'internal' end e
 u as (select 'exon' feature, exon "value", y from r union all select 'junction', junction, y from r)
 select feature, "value", count(*) n, round(avg(y), 6) rate, round(avg(y) / (select avg(y) from r), 6) lift from u group by 1, 2""")
 def annotation_context(spark, d):
-    ex = exons(spark, d)
-    order = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
-    along = Window.partitionBy("tx").orderBy(order)  # the exons of one transcript
-    length = F.col("end") - F.col("start") + 1
-    placed = ex.select("tx", F.row_number().over(along).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("tx")).alias("m"), F.sum(length).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("t_end"), length.alias("_l"))
-    placed = placed.withColumn("t_start", F.col("t_end") - F.col("_l")).drop("_l")
     sites = scored_sites(spark, d).select("tx", "pos", F.col("other").alias("y"))
-    held = J.place_in_intervals(sites, placed, ["tx"], "pos", how="inner")
-    junctions = placed.where("t_start > 0").select("tx", F.col("t_start").cast("long").alias("pos"))
-    near = J.nearest_event(held, junctions, ["tx"], "pos")
+    held = J.on_exons(sites, exons(spark, d), "tx", "pos").where("_exon is not null")
+    junctions = F.filter("_exons", lambda e: e["t_start"] > 0)
+    gap = F.array_min(F.transform(junctions, lambda e: F.abs(F.col("pos") - e["t_start"])))
+    near = held.select("y", F.col("_exon.k").alias("k"), F.size("_exons").alias("m"), gap.alias("event_gap"))
     exon = F.when(F.col("m") == 1, "single").when(F.col("k") == 1, "first").when(F.col("k") == F.col("m"), "last").otherwise("internal")
     kinds = F.array(F.struct(F.lit("exon").alias("feature"), exon.alias("value")), F.struct(F.lit("junction").alias("feature"), J.band_of(F.col("event_gap"), [0, 25, 50, 100]).alias("value")))
     rows = G.saved(near.select("y", F.inline(kinds)), "contexts")
