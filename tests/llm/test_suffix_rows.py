@@ -65,3 +65,22 @@ def test_windows_of_a_large_key_leave_its_block(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 2000)
     assert found(spark, rows) == expected
     assert sizes.value - before < before / 4
+
+
+def test_routing_moves_distinct_contents_only(spark, monkeypatch):
+    line = noise(58)
+    rows = [(i, line + ("\n" + line) * 40 + f" {i % 3}") for i in range(30)]  # one anchor, many occurrences of few contents
+    frame, kept = type(spark.range(1)), []
+    whole = frame.join
+
+    def join(self, other, on=None, how=None):
+        out = whole(self, other, on, how)
+        if how == "left_semi":
+            kept.append(out.count())
+        return out
+
+    expected = brute(rows)
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 2000)
+    monkeypatch.setattr(frame, "join", join)
+    assert found(spark, rows) == expected
+    assert 0 < sum(kept) < 200
