@@ -40,11 +40,11 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
 def by_run(rows: DataFrame, keys: list[str], made: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """``made`` of batches of whole runs and the runs' starts. Rows are already partitioned by the keys and sorted with them first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches, keys):
             yield made(b, _starts(b, keys))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(along, schema)
 
 
 class Runs:
