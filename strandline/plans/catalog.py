@@ -18,6 +18,7 @@ from ..operators import metrics as M
 from ..operators import models as X
 from ..operators import resample as R
 from ..operators import windows as W
+from ..operators.tables import saved
 from ..sources import sinks as K
 from ..sources import sites as S
 
@@ -760,13 +761,13 @@ TRAITS = ["size", "spaces", "digits", "lines"]
 
 
 def traits(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, source, y and four measures of the text) for labelled documents."""
+    """(doc_id, source, y and four measures of the text) for labelled documents: a saved table, as every pass of a fit reads it anew."""
     n = F.greatest(F.length("text"), F.lit(1))
     docs = table(spark, d, "documents").select(
         "doc_id", "source", F.log1p(n).alias("size"), (F.regexp_count("text", F.lit(" ")) / n).alias("spaces"),
         (F.regexp_count("text", F.lit("[0-9]")) / n).alias("digits"), (F.regexp_count("text", F.lit("\n")) / n).alias("lines"),
     )
-    return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    return saved(docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id"), "traits")
 
 
 def thirds(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import metrics as M
 from strandline.operators import models as X
+from strandline.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,9 @@ def test_interpolation_is_linear_and_flat_beyond_the_ends(spark):
     df = spark.createDataFrame([("a", 0.25, 1.0), ("a", 0.75, 3.0), ("a", None, 9.0)], "g string, x double, y double")
     got = [r.y for r in M.interpolate(df, ["g"], "x", "y", 5).orderBy("step").collect()]
     assert got == pytest.approx([1.0, 1.0, 2.0, 3.0, 3.0])
+
+
+def test_fits_read_measures_not_texts(spark):
+    made = catalog.thirds(catalog.traits(spark, "/root/testdata/sf0.001"))
+    assert made.count() > 0 and not any("documents.parquet" in f for f in made.inputFiles())
+    assert "regexp_count" not in made._jdf.queryExecution().optimizedPlan().toString()
