@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
+from .runs import by_run
+from .tables import saved
+
+#: Pairs of rows whose distances are in memory together; a group of more is taken alone.
+PAIRS = 1 << 18
 
 
 def thinned(rows: DataFrame, group: list[str], item: list[str], most: int, seed: str) -> DataFrame:
@@ -17,19 +24,49 @@ def thinned(rows: DataFrame, group: list[str], item: list[str], most: int, seed:
 def neighbour_lists(rows: DataFrame, group: list[str], item: str, axes: list[str], label: str, most: int) -> DataFrame:
     """(group, item, y, n, near): the ``most`` nearest others of each row by squared distance, ties by item, nearest first.
 
-    Groups must be thinned to a bounded depth: a group's rows travel as one array, each row meets them inside
-    its own row, and the list is cut to ``most`` at once.
+    Groups must be thinned to a bounded depth: each row meets its group's rows in numpy, some groups at a time, and its
+    list is cut to ``most`` at once. A row without item is in no list and has none; a distance of null comes first.
     """
-    point = F.struct(F.col(item).alias("i"), F.col(label).cast("int").alias("y"), *[F.col(a).cast("double").alias(f"x{k}") for k, a in enumerate(axes)])
-    groups = rows.groupBy(*group).agg(F.collect_list(point).alias("_all")).withColumn("n", F.size("_all"))
-    each = groups.select(*group, "n", "_all", F.explode("_all").alias("_me"))
+    plain = rows.select(*group, F.col(item).alias("item"), F.col(label).cast("int").alias("y"), *[F.col(a).cast("double").alias(f"_x{k}") for k, a in enumerate(axes)])
+    keys = plain.select(*group, "item", "y").schema
+    near = f"array<struct<d: double, i: {keys['item'].dataType.simpleString()}, y: int>>"
 
-    def apart(o: Column) -> Column:
-        return sum(((o[f"x{k}"] - F.col(f"_me.x{k}")) * (o[f"x{k}"] - F.col(f"_me.x{k}")) for k in range(len(axes))), F.lit(0.0))
+    def lists(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(np.append(starts, b.num_rows))
+        x = [b.column(f"_x{k}").to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(axes))]
+        lost = np.zeros(b.num_rows, bool)  # rows without a place have a distance of null, which comes first
+        for k in range(len(axes)):
+            lost |= b.column(f"_x{k}").is_null().to_numpy(zero_copy_only=False)
+        code = b.column("item").dictionary_encode().indices.fill_null(-1).to_numpy()
+        parts, distances, unknown, sizes, at = [], [], [], [], 0
+        cost = np.cumsum(n * n)
+        while at < len(n):
+            end = max(int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+            size = np.repeat(n[at:end], n[at:end])  # a row's group
+            me = np.repeat(np.arange(starts[at], starts[at] + len(size)), size)
+            other = np.arange(len(me)) - np.repeat(np.cumsum(size) - size - np.repeat(starts[at:end], n[at:end]), size)
+            fine = (code[me] != code[other]) & (code[me] >= 0) & (code[other] >= 0)
+            me, other = me[fine], other[fine]
+            d = sum(((v[other] - v[me]) * (v[other] - v[me]) for v in x), np.zeros(len(me)))
+            null = lost[me] | lost[other]
+            order = np.lexsort((other, np.where(null, 0.0, d), ~null, me))  # rows are sorted by item inside a group
+            me, other, d, null = me[order], other[order], d[order], null[order]
+            begin = np.flatnonzero(np.append(True, me[1:] != me[:-1])[: len(me)])
+            place = np.arange(len(me)) - np.repeat(begin, np.diff(np.append(begin, len(me))))
+            kept = place < most
+            parts.append(other[kept])
+            distances.append(d[kept])
+            unknown.append(null[kept])
+            sizes.append(np.bincount(me[kept] - starts[at], minlength=len(size)))
+            at = end
+        taken, ends = pa.array(np.concatenate(parts)), np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
+        held = pa.StructArray.from_arrays([pa.array(np.concatenate(distances), mask=np.concatenate(unknown)), b.column("item").take(taken), b.column("y").take(taken)], ["d", "i", "y"])
+        columns = [*(b.column(c) for c in keys.names), pa.array(np.repeat(n, n).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), held)]
+        return pa.RecordBatch.from_arrays(columns, [*keys.names, "n", "near"])
 
-    others = F.filter("_all", lambda o: o["i"] != F.col("_me.i"))
-    near = F.slice(F.array_sort(F.transform(others, lambda o: F.struct(apart(o).alias("d"), o["i"].alias("i"), o["y"].alias("y")))), 1, most)
-    return each.select(*group, F.col("_me.i").alias("item"), F.col("_me.y").alias("y"), "n", near.alias("near"))
+    along = plain.repartition(*group).sortWithinPartitions(*group, "item")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["n int", f"near {near}"])
+    return by_run(along, group, lists, schema)
 
 
 def mutual_edges(lists: DataFrame, group: list[str]) -> DataFrame:
@@ -46,8 +83,9 @@ def mutual_statistics(lists: DataFrame, group: list[str], ks: list[int]) -> Data
     """(group, k, n, edges, homophily, isolated, components) of the mutual k-nearest-neighbour graph, for k below the group's rows.
 
     Homophily is the share of edges between equal labels, adjusted for chance (null without edges or with one label).
-    Components are joined edge by edge over a group's bounded rows.
+    Components are joined edge by edge over a group's bounded rows. The lists are saved, as rows and edges are both made of them.
     """
+    lists = saved(lists, "neighbour-lists")
     nodes = lists.groupBy(*group).agg(F.first("n").alias("n"), F.avg("y").alias("_p"), F.array_sort(F.collect_list("item")).alias("_items"))
     asked = nodes.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("k < n")
     edges = mutual_edges(lists, group).groupBy(*group).agg(F.collect_list(F.struct("rank", "a", "b", (F.col("ya") == F.col("yb")).alias("same"))).alias("_edges"))

@@ -91,6 +91,24 @@ def test_mutual_neighbours(spark):
         assert got[key] == pytest.approx(values), key
 
 
+def test_neighbours_of_groups_are_found_in_blocks(spark, monkeypatch):
+    rows = [(g, i, float(RNG.integers(0, 5)), float(RNG.integers(0, 5)), i % 2) for g, n in (("a", 1), ("b", 25), (None, 8), ("c", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, z double, y int").repartition(3)
+
+    def lists():
+        made = N.neighbour_lists(df, ["g"], "i", ["x", "z"], "y", 4)
+        assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+        return {(r.g, r.item): (r.n, r.y, [(o.d, o.i, o.y) for o in r.near]) for r in made.collect()}
+
+    want = {}
+    for g, i, x, z, y in rows:
+        others = [((x - a) ** 2 + (z - b) ** 2, j, v) for h, j, a, b, v in rows if h == g and j != i]
+        want[g, i] = (len(others) + 1, y, sorted(others)[:4])
+    assert lists() == want
+    monkeypatch.setattr(N, "PAIRS", 10)
+    assert lists() == want
+
+
 def test_grades(spark):
     rows = [(g, round(float(s), 1), int(k), int(y)) for g in ("x", None) for k, (s, y) in enumerate(zip(RNG.random(90), RNG.random(90) < 0.4, strict=True))] + [("few", 0.5, 1, 1)]
     df = spark.createDataFrame(rows, "g string, s double, k int, y int")
