@@ -107,18 +107,23 @@ def gene_records(sites: DataFrame, batches: DataFrame, first: int = 5) -> DataFr
 
     ``sites`` have line, gene, pos, kmer, region, tx, rank (0 to 1) and n_reads; ``batches`` line, batch, gene, pos and
     rank. Ranks are whole numbers up to 9999, -1 where a batch has no rank. ``holds`` counts the batches in which a site is
-    among its gene's ``first`` sites. A gene's sites are as many as its transcripts have candidates.
+    among its gene's ``first`` sites. A gene's sites are as many as its transcripts have candidates. Both tables are moved
+    once, by gene; what follows, and the record itself, is the gene's.
     """
-    place = Window.partitionBy("line", "batch", "gene").orderBy(F.desc("rank"), "pos")
+    known = F.col("line").isNotNull() & F.col("gene").isNotNull() & F.col("pos").isNotNull()
+    both = sites.withColumn("_site", F.lit(True)).unionByName(batches.where(known).select("line", "batch", "gene", "pos", "rank").withColumn("_site", F.lit(False)), allowMissingColumns=True)
+    moved = both.repartition("gene")
+    place = Window.partitionBy("gene", "line", "batch", "_site").orderBy(F.desc("rank"), "pos")
     whole = F.coalesce(F.round(F.col("rank") * 9999).cast("int"), F.lit(-1))
-    placed = batches.withColumn("_place", F.when(F.col("rank").isNotNull(), F.row_number().over(place))).withColumn("_r", whole)
-    near = placed.groupBy("line", "gene", "pos").agg(
-        F.array_sort(F.collect_list(F.struct("batch", F.col("_r").alias("r")))).alias("batches"), F.count_if(F.col("_place") <= first).cast("int").alias("holds")
-    )
-    fixed = sites.groupBy("gene", "pos").agg(F.min("kmer").alias("kmer"), F.mode("region", True).alias("region"), F.array_sort(F.collect_set("tx")).alias("tx"))
-    merged = sites.groupBy("line", "gene", "pos").agg(F.max("rank").alias("rank"), F.sum("n_reads").alias("n")).withColumn("r", whole)
-    row = F.struct("pos", "r", "n", F.coalesce("batches", F.array().cast(near.schema["batches"].dataType)).alias("batches"), F.coalesce("holds", F.lit(0)).alias("holds"))
-    lines = merged.join(near, ["line", "gene", "pos"], "left").groupBy("gene", "line").agg(F.array_sort(F.collect_list(row)).alias("sites"))
+    placed = moved.select("line", "gene", "pos", "batch", "rank", "n_reads", "_site", F.when(F.col("rank").isNotNull(), F.row_number().over(place)).alias("_place"), whole.alias("_r"))
+    mine, theirs = F.col("_site"), ~F.col("_site")
+    merged = placed.groupBy("gene", "line", "pos").agg(
+        F.max(F.when(mine, F.col("rank"))).alias("rank"), F.sum(F.when(mine, F.col("n_reads"))).alias("n"), F.max("_site").alias("_held"),
+        F.array_sort(F.collect_list(F.when(theirs, F.struct("batch", F.col("_r").alias("r"))))).alias("batches"), F.count_if(theirs & (F.col("_place") <= first)).cast("int").alias("holds"),
+    )
+    fixed = moved.where("_site").groupBy("gene", "pos").agg(F.min("kmer").alias("kmer"), F.mode("region", True).alias("region"), F.array_sort(F.collect_set("tx")).alias("tx"))
+    row = F.struct("pos", whole.alias("r"), "n", "batches", "holds")
+    lines = merged.where("_held").groupBy("gene", "line").agg(F.array_sort(F.collect_list(row)).alias("sites"))
     lines = lines.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("line", "sites"))).alias("lines"))
     listed = fixed.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer", "region", "tx"))).alias("sites"))
     return listed.join(lines, "gene", "left")

@@ -2,6 +2,7 @@
 
 from strandline.operators import evaluation as E
 from strandline.operators import joins as J
+from strandline.sources import sinks as K
 
 
 def plan(df):
@@ -37,3 +38,15 @@ def test_resampled_rows_are_summed_by_score_alone(spark):
     finally:
         E.running_sums = kept
     assert plan(sums[0]).count("Exchange") == 1 and len(boot) == 5 and all(0 < r.ap <= 1 for r in boot)
+
+
+def test_gene_records_move_their_tables_once(spark):
+    sites = spark.createDataFrame([("A", "g", 1, "K", "cds", "t", 0.5, 3), ("B", "g", 1, "K", "cds", "u", 0.25, 2), ("A", "h", 2, "K", None, "t", None, 1)], "line string, gene string, pos int, kmer string, region string, tx string, rank double, n_reads long")
+    batches = spark.createDataFrame([("A", "x", "g", 1, 0.5), ("A", "y", "g", 1, None), ("A", "x", "g", 9, 0.9), ("B", "x", "h", 2, 0.1)], "line string, batch string, gene string, pos int, rank double")
+    out = K.gene_records(sites, batches, 1)
+    assert plan(out).count("Exchange hashpartitioning") <= 2
+    got = {r.gene: r.asDict(True) for r in out.collect()}
+    assert got["g"]["sites"] == [{"pos": 1, "kmer": "K", "region": "cds", "tx": ["t", "u"]}] and len(got) == 2
+    a = {"pos": 1, "r": 5000, "n": 3, "batches": [{"batch": "x", "r": 5000}, {"batch": "y", "r": -1}], "holds": 0}
+    assert got["g"]["lines"] == [{"line": "A", "sites": [a]}, {"line": "B", "sites": [{"pos": 1, "r": 2500, "n": 2, "batches": [], "holds": 0}]}]
+    assert got["h"]["lines"] == [{"line": "A", "sites": [{"pos": 2, "r": -1, "n": 1, "batches": [], "holds": 0}]}]
