@@ -166,7 +166,10 @@ def _filter(anchors: DataFrame) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, th, start, content) of every stretch whose anchor is common."""
+    """(key, doc_id, th, start, content, low, high) of every stretch whose anchor is common.
+
+    Of equal contents in a batch the first row alone has low and high, their smallest and largest document; the others' are null.
+    """
     few = anchors.count() <= FILTER_ROWS
     seen = docs.sparkSession.sparkContext.broadcast(_filter(anchors))
 
@@ -184,11 +187,18 @@ def _occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 content = pa.BinaryArray.from_buffers(
                     pa.binary(), len(key), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]
                 )
-                start = begin - offsets[row] + place[row]
-                columns = [pa.array(key), pa.array(ids[0][row]), pa.array(ids[1][row]), pa.array(start), content]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "th", "start", "content"])
-
-    made = docs.mapInArrow(run, "key long, doc_id long, th long, start long, content binary")
+                start, doc = begin - offsets[row] + place[row], ids[0][row]
+                same = content.dictionary_encode().indices.to_numpy()
+                lead = np.unique(same, return_index=True)[1]
+                low, high, again = doc[lead], doc[lead], np.ones(len(same), bool)
+                np.minimum.at(low, same, doc)
+                np.maximum.at(high, same, doc)
+                again[lead] = False
+                ends_of = [pa.array(x[same], mask=again) for x in (low, high)]
+                columns = [pa.array(key), pa.array(doc), pa.array(ids[1][row]), pa.array(start), content, *ends_of]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "th", "start", "content", "low", "high"])
+
+    made = docs.mapInArrow(run, "key long, doc_id long, th long, start long, content binary, low long, high long")
     return made if few else made.join(anchors, "key", "left_semi")
 
 
@@ -286,7 +296,7 @@ def _verdicts(contents: DataFrame, length: int, buckets: int) -> DataFrame:
 def _frequent_keys(met: DataFrame) -> DataFrame:
     """(key): keys whose occurrences hold more than KEY_BYTES, so that others' distinct contents hold less; at most one for each KEY_BYTES of met.
 
-    Whether their contents are distinct is not asked: rows of met stay where they are, and only distinct contents are routed.
+    Whether their contents are distinct is not asked: rows of met stay where they are, and each batch's distinct contents are routed.
     """
     size = F.sum(F.octet_length("content")).alias("b")
     return saved(met.groupBy("key").agg(size).where(F.col("b") > KEY_BYTES).select("key"), "frequent-keys")
@@ -351,13 +361,16 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     met = saved(_occurrences(searched, anchors, length).withColumn("ck", F.xxhash64("content")), "stretches")
     blocks_bytes = met.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b")).first()["b"]
     blocks_of = max(48, int(blocks_bytes // BLOCK_BYTES))
-    contents = met.groupBy("key", "content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("ck").alias("ck"))
+    # Spark filters by key before it aggregates, so what it filters has to be distinct in each batch already
+    distinct = met.where("low is not null").select("key", "content", "low", "high", "ck")
+    contents = distinct.groupBy("key", "content").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("ck").alias("ck"))
     frequent = _frequent_keys(met)
     if frequent.isEmpty():
         verdicts = saved(_verdicts(contents, length, blocks_of), "verdicts")
     else:
         blocks = saved(_verdicts(contents.join(F.broadcast(frequent), "key", "left_anti"), length, blocks_of), "verdicts")
-        verdicts = blocks.unionByName(saved(_spread_verdicts(contents.join(F.broadcast(frequent), "key", "left_semi"), length), "spread-verdicts"))
+        spread = saved(contents.join(F.broadcast(frequent), "key", "left_semi"), "spread-contents")
+        verdicts = blocks.unionByName(saved(_spread_verdicts(spread, length), "spread-verdicts"))
     hits = met.select("key", "ck", *ROW, "start").join(verdicts, ["key", "ck"]).where("least < doc_id")
     span = F.struct((F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi") + length).alias("to"))
     found = hits.groupBy(*ROW).agg(F.collect_list(span).alias("found"))
