@@ -28,9 +28,9 @@ def site_lines(spark, d, flag: str | None = None):
     li = table(spark, d, "lineitem")
     li = li if flag is None else li.where(F.col("l_returnflag") == flag)
     li = li.withColumn("pos", F.col("l_partkey") % 100)
-    reading = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: (F.col("l_quantity") + i).cast("float"))
-    packed = li.groupBy("l_orderkey", "pos").agg(F.collect_list(reading).alias("reads"))
-    inner = F.create_map(F.lit("AAGACCA"), F.col("reads"))
+    packed = li.groupBy("l_orderkey", "pos").agg(F.collect_list("l_quantity").alias("q"))  # one number a reading moves
+    reads = F.transform("q", lambda q: F.array(*[(q + i).cast("float") for i in range(1, 10)]))
+    inner = F.create_map(F.lit("AAGACCA"), reads)
     return packed.select(F.to_json(F.create_map(F.concat(F.lit("T"), F.col("l_orderkey").cast("string"), F.lit(".1")), F.create_map(F.col("pos").cast("string"), inner))).alias("value"))
 
 

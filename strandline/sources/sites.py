@@ -13,13 +13,21 @@ MOTIF = "^[AGT][AG]AC[ACT]$"
 
 def parse_sites(lines: DataFrame, column: str = "value", width: int = 9) -> DataFrame:
     """Sites of JSON lines: the first key of each level; blank lines are skipped, readings of another width fail."""
+    # Spark's JSON parser keeps a table of field names and copies it for every name it has not met, so a transcript's
+    # name is taken out of the line before; a line of another form, or a name with escapes, is parsed as it is
+    cut = lines.where(F.trim(column) != "").select(column, F.split(column, '"', 3).alias("_cut"))
+    head, name, rest = (F.get("_cut", F.lit(i)) for i in range(3))
+    plain = (F.trim(head) == "{") & ~name.rlike(r"[\\\x00-\x1f]") & rest.isNotNull()
+    line = F.when(plain, F.concat(F.lit('{""'), rest)).otherwise(F.col(column))
     # a one-row explode keeps the optimizer from copying the parse into every later filter and column
-    first = lines.where(F.trim(column) != "").select(F.explode(F.array(F.map_entries(F.from_json(column, SITE_TYPE))[0])).alias("t"))
-    second = first.select(F.col("t.key").alias("transcript_id"), F.explode(F.array(F.map_entries("t.value")[0])).alias("p"))
-    third = second.select("transcript_id", F.col("p.key").cast("int").alias("transcript_position"), F.explode(F.array(F.map_entries("p.value")[0])).alias("k"))
-    reads = F.col("k.value")
+    parsed = cut.select(F.when(plain, name).alias("name"), F.explode(F.array(F.from_json(line, SITE_TYPE))).alias("t"))
+    p = F.map_values("t")[0]
+    k = F.map_values(p)[0]
+    transcript = F.coalesce("name", F.map_keys("t")[0]).alias("transcript_id")
+    third = parsed.select(transcript, F.map_keys(p)[0].cast("int").alias("transcript_position"), F.map_keys(k)[0].alias("kmer"), F.map_values(k)[0].alias("r"))
+    reads = F.col("r")
     fits = F.when(F.forall(reads, lambda r: F.size(r) == width), reads).otherwise(F.raise_error(F.lit(f"a reading does not have {width} values")))
-    out = third.select("transcript_id", "transcript_position", F.col("k.key").alias("kmer"), F.explode(F.array(fits)).alias("reads"))
+    out = third.select("transcript_id", "transcript_position", "kmer", F.explode(F.array(fits)).alias("reads"))
     return out.withColumn("n_reads", F.size("reads")).withColumn("motif", F.substring("kmer", 2, 5))
 
 

@@ -116,3 +116,18 @@ def test_lift_over(spark):
     points = spark.createDataFrame([("p", x) for x in (0, 9, 10, 14, 15)] + [("m", x) for x in (0, 4, 5, 14)] + [("q", 1)], "t string, pos int")
     got = {(r.t, r.pos): r.gpos for r in J.lift_over(points, exons, "t", "pos").collect()}
     assert got == {("p", 0): 100, ("p", 9): 109, ("p", 10): 200, ("p", 14): 204, ("p", 15): None, ("m", 0): 204, ("m", 4): 200, ("m", 5): 109, ("m", 14): 100, ("q", 1): None}
+
+
+def test_transcript_names_are_no_field_names_to_the_parser(spark):
+    def line(head, rest='"7": {"AAGACCA": [[1,2,3,4,5,6,7,8,9]]}'):
+        return f"{head}: {{{rest}}}}}"
+
+    heads = ['{"T1.1"', ' {  "T2" ', '{"T\\u0033"', '{"T\\"4"', "{'T5'", '\t{"T6"', '{""']
+    lines = [line(h) for h in heads] + ["", '{"T8":{"9":{"A":[],"B":[[1]]}},"T9":{"1":{}}}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = [(r.transcript_id, r.transcript_position, r.kmer, r.n_reads) for r in S.parse_sites(df).collect()]
+    assert got == [(t, 7, "AAGACCA", 1) for t in ("T1.1", "T2", "T3", 'T"4', "T5", "T6", "")] + [("T8", 9, "A", 0)]
+    for broken in (line('{"T1"')[:-1], line('{"T1'), '{"T1":', "T1"):
+        with pytest.raises(Exception, match="9 values"):
+            S.parse_sites(spark.createDataFrame([(broken,)], "value string")).collect()
+    assert 'concat({""' in S.parse_sites(df)._jdf.queryExecution().optimizedPlan().toString()
