@@ -131,3 +131,10 @@ def test_transcript_names_are_no_field_names_to_the_parser(spark):
         with pytest.raises(Exception, match="9 values"):
             S.parse_sites(spark.createDataFrame([(broken,)], "value string")).collect()
     assert 'concat({""' in S.parse_sites(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scanned_lines_are_made_once(spark):
+    from strandline.plans import catalog
+
+    told = catalog.queries()["scan_nested_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("StructsToJson") == 1
