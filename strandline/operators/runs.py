@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 
 
 def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """Where a run of equal keys begins; nulls are equal."""
+    """Where a run of equal keys begins; nulls are equal, and so are values that are no number."""
     new = np.zeros(max(batch.num_rows - 1, 0), bool)
     for k in keys:
         a, b = batch.column(k)[1:], batch.column(k)[:-1]
-        new |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        unlike = pc.not_equal(a, b)
+        if pa.types.is_floating(a.type):
+            unlike = pc.and_not(unlike, pc.and_(pc.is_nan(a), pc.is_nan(b)))
+        new |= pc.fill_null(unlike, False).to_numpy(zero_copy_only=False) | pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
     return np.append(0, np.flatnonzero(new) + 1)
 
 
@@ -37,12 +40,18 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
         yield pa.concat_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole runs of rows sorted by the keys, and the runs' starts."""
+    for b in _whole(batches, keys):
+        yield b, _starts(b, keys)
+
+
 def by_run(rows: DataFrame, keys: list[str], made: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """``made`` of batches of whole runs and the runs' starts. Rows are already partitioned by the keys and sorted with them first."""
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _whole(batches, keys):
-            yield made(b, _starts(b, keys))
+        for b, starts in whole_runs(batches, keys):
+            yield made(b, starts)
 
     return rows.mapInArrow(along, schema)
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import band_pairs
+from .runs import whole_runs
 from .tables import in_cells, same, saved
 
 #: Stands for "no neighbour on this side" in distances.
@@ -98,6 +104,47 @@ def average_rank(df: DataFrame, group: list[str], by: str, name: str, share: boo
     return out.select(*[df[c] for c in df.columns], F.col("_rank").alias(name))
 
 
+def rank_share(df: DataFrame, by: str, name: str, spread: list[str]) -> DataFrame:
+    """Adds what ``average_rank`` adds with share and without groups, for values that are mostly distinct: rows move once and meet no join by value.
+
+    Rows are ranged by ``by`` and a hash of ``spread``, so a range (cell) holds a bounded part even of one value's rows. Places
+    are counted along a cell; a row per cell then tells what lies before it and how many of its first and last value lie in
+    other cells. df is read twice, so it should be a saved table or this function's own result.
+    """
+    kept = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_less", T.LongType()), T.StructField("_like", T.LongType())])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for b, starts in whole_runs(batches, [by]):
+            n = np.diff(np.append(starts, b.num_rows))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.repeat(starts + before, n)), pa.array(np.repeat(n, n))], schema.names)
+            before += b.num_rows
+
+    ranged = df.repartitionByRange(F.col(by), F.xxhash64(*spread)).sortWithinPartitions(by)
+    placed = saved(ranged.select(*kept, F.spark_partition_id().alias("_cell")).mapInArrow(places, schema), "ranked-cells")
+    first, last = F.col("_less") == 0, F.col("_less") + F.col("_like") == F.col("_n")
+    cells = placed.groupBy("_cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(by, "_less").alias("_lo"), F.min_by("_like", "_less").alias("_n_lo"), F.max_by(by, "_less").alias("_hi"), F.max_by("_like", "_less").alias("_n_hi")
+    )
+    cells = saved(cells, "cells-of-ranks")  # a row per cell
+    others = cells.select(*[F.col(c).alias(f"_o{c}") for c in cells.columns])
+    earlier, later = F.col("_o_cell") < F.col("_cell"), F.col("_o_cell") > F.col("_cell")
+
+    def total(where: Column, count: str) -> Column:
+        return F.sum(F.when(where, F.col(count)).otherwise(0))
+
+    around = cells.join(F.broadcast(others), how="cross").groupBy("_cell", "_n").agg(
+        total(earlier, "_o_n").alias("_before"), F.sum("_o_n").alias("_all"),
+        total(earlier & F.col("_o_hi").eqNullSafe(F.col("_lo")), "_o_n_hi").alias("_earlier"), total(later & F.col("_o_lo").eqNullSafe(F.col("_hi")), "_o_n_lo").alias("_later"),
+    )
+    joined = placed.join(F.broadcast(saved(around, "ranks-of-cells")), "_cell")
+    tied_before = F.when(first, F.col("_earlier")).otherwise(0)
+    like = F.col("_like") + tied_before + F.when(last, F.col("_later")).otherwise(0)
+    rank = F.col("_before") - tied_before + F.col("_less") + (like + 1) / 2.0
+    return joined.select(*kept, (rank / F.col("_all")).alias(name))
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rk") <= k)
 

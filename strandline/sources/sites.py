@@ -19,15 +19,18 @@ def parse_sites(lines: DataFrame, column: str = "value", width: int = 9) -> Data
     head, name, rest = (F.get("_cut", F.lit(i)) for i in range(3))
     plain = (F.trim(head) == "{") & ~name.rlike(r"[\\\x00-\x1f]") & rest.isNotNull()
     line = F.when(plain, F.concat(F.lit('{""'), rest)).otherwise(F.col(column))
-    # a one-row explode keeps the optimizer from copying the parse into every later filter and column
-    parsed = cut.select(F.when(plain, name).alias("name"), F.explode(F.array(F.from_json(line, SITE_TYPE))).alias("t"))
-    p = F.map_values("t")[0]
-    k = F.map_values(p)[0]
-    transcript = F.coalesce("name", F.map_keys("t")[0]).alias("transcript_id")
-    third = parsed.select(transcript, F.map_keys(p)[0].cast("int").alias("transcript_position"), F.map_keys(k)[0].alias("kmer"), F.map_values(k)[0].alias("r"))
-    reads = F.col("r")
-    fits = F.when(F.forall(reads, lambda r: F.size(r) == width), reads).otherwise(F.raise_error(F.lit(f"a reading does not have {width} values")))
-    out = third.select("transcript_id", "transcript_position", "kmer", F.explode(F.array(fits)).alias("reads"))
+
+    def site(t: Column) -> Column:
+        p = F.map_values(t)[0]
+        k = F.map_values(p)[0]
+        reads = F.map_values(k)[0]
+        fits = F.when(F.forall(reads, lambda r: F.size(r) == width), reads).otherwise(F.raise_error(F.lit(f"a reading does not have {width} values")))
+        transcript = F.coalesce(F.when(plain, name), F.map_keys(t)[0]).alias("transcript_id")
+        return F.struct(transcript, F.map_keys(p)[0].cast("int").alias("transcript_position"), F.map_keys(k)[0].alias("kmer"), fits.alias("reads"))
+
+    # a one-row explode keeps the optimizer from copying the parse into every later filter and column; only the site's
+    # own values are in its row, not the parser's maps
+    out = cut.select(F.inline(F.transform(F.array(F.from_json(line, SITE_TYPE)), site)))
     return out.withColumn("n_reads", F.size("reads")).withColumn("motif", F.substring("kmer", 2, 5))
 
 

@@ -92,3 +92,22 @@ def test_too_few_common_scores_raise(spark):
     assert kept.count() == 1999
     with pytest.raises(PySparkException, match="too many rows unscored"):
         E.keep_scored({"a": a, "b": a.where("k > 100")}, ["k"]).collect()
+
+
+def test_rank_shares_by_cells_equal_those_by_value(spark):
+    rows = [(i, v) for i, v in enumerate([2.0] * 200 + [float(x) for x in range(60)] * 2 + [float("nan")] * 9 + [None] * 5 + [-0.0, 7.5])]
+    df = spark.createDataFrame(rows, "k int, v double")
+    want = {r.k: r.r for r in W.average_rank(df, [], "v", "r", share=True).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part, n in ((df, 4), (df.where("v = 2"), 4), (df.where("k < 0"), 0)):
+            out = W.rank_share(part, "v", "r", ["k"])
+            got = {r.k: r.r for r in out.collect()}
+            if part is df:
+                assert got == want
+            elif n:  # one value's rows are held by several cells
+                assert set(got.values()) == {(len(got) + 1) / 2 / len(got)} and sum("ranked-cells" in f for f in out.inputFiles()) > 1
+            else:
+                assert got == {}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
