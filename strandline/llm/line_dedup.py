@@ -38,6 +38,8 @@ from .common import column, free_name, saved
 #: Rows of a side that is broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 300_000
 LAST = (1 << 63) - 1
+#: ASCII white space that a line can hold.
+BLANK = " \t\x0b\f\r"
 #: Words of which one edit is a fifth.
 LEAST_WORDS = 5
 #: Words whose sums are kept together, so that a variant of a long line needs few steps.
@@ -51,16 +53,25 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that are not blank: pos (id, line number), row key _rk, _no, line and its hashes _h, _g."""
-    every = docs.select(
+def _split(docs: DataFrame) -> DataFrame:
+    """(_id, _rk, _no, line): every line with its document's id, row key and its number."""
+    return docs.select(
         F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_id"),
         F.xxhash64("doc_id", "text").alias("_rk"),
         F.posexplode(F.split("text", "\n")).alias("_no", "line"),
     )
-    return every.where(F.col("line").rlike(r"[^ \t\x0B\f\r]")).select(
-        F.struct("_id", "_no").alias("pos"), "_id", "_rk", "_no", "line", F.xxhash64("line").alias("_h"), F.hash("line").alias("_g")
-    )
+
+
+def _lines(docs: DataFrame, characters: bool) -> DataFrame:
+    """Lines that are not blank, without their words: _id, row key _rk, _no, hashes _h and _g, and _halves.
+
+    Narrow and saved, so that texts are not split again by each of its readers. Lines too short for an edit have no halves.
+    """
+    every = _split(docs).where(F.ltrim("line", F.lit(BLANK)) != "")
+    sized = every.select("*", _unspaced(characters).alias("_un"), _size(characters).alias("_n"))
+    halves = F.when(F.col("_n") >= LEAST_WORDS - 1, _halves("_n", characters))
+    made = sized.select("_id", "_rk", "_no", F.xxhash64("line").alias("_h"), F.hash("line").alias("_g"), halves.alias("_halves"))
+    return saved(made, "line-hashes").withColumn("pos", F.struct("_id", "_no"))
 
 
 def _unspaced(characters: bool) -> Column:
@@ -155,21 +166,22 @@ def _variants(chosen: DataFrame) -> DataFrame:
     return chosen.select("_h", "_g", "pos", F.inline(F.concat(replaced, shorter, whole)))
 
 
-def _near_cuts(lines: DataFrame, characters: bool) -> DataFrame:
+def _near_cuts(docs: DataFrame, lines: DataFrame, characters: bool) -> DataFrame:
     """(_h, _g, cut): for lines within one edit of another line, the earliest place of such a line."""
     units = _units(characters)
-    sized = lines.select("pos", "_h", "_g", "line", _unspaced(characters).alias("_un"), _size(characters).alias("_n"))
-    worded = sized.where(F.col("_n") >= LEAST_WORDS - 1)
-    halves = worded.select("_h", F.explode(_halves("_n", characters)).alias("s")).select("_h", "s.key")
+    halves = lines.select("pos", "_rk", "_h", "_g", F.inline("_halves"))
     shared = halves.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo != hi").select("key")
     shared = _small(saved(shared, "line-halves"))
-    chosen = (
-        worded.select("pos", "_h", "_g", "line", F.explode(_halves("_n", characters)).alias("s"))
-        .select("pos", "_h", "_g", "line", "s.head", "s.key")
-        .join(shared, "key")
+    wanted = (
+        halves.join(shared, "key")
         .groupBy("_h", "_g")
-        .agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.max("head").alias("by_head"), F.min("head").alias("by_both"))
+        .agg(F.min(F.struct("pos", "_rk")).alias("at"), F.max("head").alias("by_head"), F.min("head").alias("by_both"))
+        .select("_h", "_g", "at.pos", "by_head", "by_both", F.col("at._rk").alias("_rk"), F.col("at.pos._no").alias("_no"))
     )
+    wanted = _small(saved(wanted, "line-wanted"))
+    # only the first of equal lines is read again, by its row and number; rows that repeat id and text give it again
+    chosen = _split(docs).select("_rk", "_no", "line").join(wanted, ["_rk", "_no"])
+    chosen = chosen.groupBy("_h", "_g").agg(*[F.first(c).alias(c) for c in ("pos", "line", "by_head", "by_both")])
     chosen = saved(_with_sums(chosen, units), "line-candidates").withColumn("_w", units)
     variants = _variants(chosen)
     shared = variants.groupBy("key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo != hi").select("key")
@@ -200,9 +212,10 @@ def _near_cuts(lines: DataFrame, characters: bool) -> DataFrame:
 
 def mark_lines(docs: DataFrame, characters: bool = False) -> DataFrame:
     """(_id, _rk, removed): the sorted line numbers that go, for the documents that lose any."""
-    lines = _lines(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    lines = _lines(docs, characters)
     exact = lines.groupBy("_h", "_g").agg(F.min("pos").alias("cut"), F.count("*").alias("n")).where("n > 1").drop("n")
-    cuts = exact.unionByName(_near_cuts(lines, characters)).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
+    cuts = exact.unionByName(_near_cuts(docs, lines, characters)).groupBy("_h", "_g").agg(F.min("cut").alias("cut"))
     cuts = _small(saved(cuts, "line-cuts"))
     gone = lines.select("_id", "_rk", "_no", "pos", "_h", "_g").join(cuts, ["_h", "_g"]).where("pos > cut")
     return gone.groupBy("_id", "_rk").agg(F.array_sort(F.collect_set("_no")).alias("removed"))
@@ -213,14 +226,13 @@ def dedup_lines(docs: DataFrame, characters: bool = False, name: str = "_removed
     removed = mark_lines(docs, characters)
     others = F.struct(*[column(c) for c in docs.columns if c != "text"])  # they travel as one column, so that no name clashes
     keyed = docs.select(
-        others.alias("_row"), F.col("text").alias("_text"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_id"), F.xxhash64("doc_id", "text").alias("_rk")
+        others.alias("_row"), F.split("text", "\n").alias("_parts"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_id"), F.xxhash64("doc_id", "text").alias("_rk")
     )
     joined = keyed.join(removed, ["_id", "_rk"], "left")
-    parts = F.split("_text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.element_at(parts, i + 1)), "\n")
-    )
+    # the lines are a column of the join's input: split here, a text would be split again for each of its lines
+    left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("removed"))
+    kept = F.when(F.col("removed").isNull(), F.col("_parts")).otherwise(F.transform(left, lambda i: F.get("_parts", i)))
+    text = F.array_join(kept, "\n")
     return joined.select(*[(text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns], F.col("removed").alias(name))
 
 
