@@ -2,30 +2,152 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import keyed
 from .runs import by_run
-from .tables import saved
 
-#: Pairs of rows whose distances are in memory together; a group of more is taken alone.
+#: Pairs of rows whose distances are in memory together; a row meets at least all that may be near it.
 PAIRS = 1 << 18
-
-
-def thinned(rows: DataFrame, group: list[str], item: list[str], most: int, seed: str) -> DataFrame:
-    """At most ``most`` rows of each group, those of the smallest keyed draws: the depth at which groups are compared."""
-    w = Window.partitionBy(*group).orderBy(keyed(seed, *group, *item), *item)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+#: Groups of at most so many rows are taken together; of more than so many rows are cut into leaves; rows of a leaf.
+SMALL, LARGE, LEAF = 32, 1024, 128
+
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+class _Places:
+    """A batch's rows, sorted by item inside a group: places on the axes, items as codes (-1: none), rows without a place."""
+
+    def __init__(self, x: list[np.ndarray], code: np.ndarray, lost: np.ndarray, most: int):
+        self.x, self.code, self.lost, self.most = x, code, lost, most
+        self.bounded = ~lost & np.isfinite(np.column_stack(x)).all(1)
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = None
+        with np.errstate(invalid="ignore", over="ignore"):
+            for v in self.x:
+                d = v[b] - v[a]
+                d *= d
+                out = d if out is None else np.add(out, d, out=out)
+        return out
+
+    def nearest(self, me: np.ndarray, other: np.ndarray, d: np.ndarray, null: np.ndarray) -> Pairs:
+        """The pairs of each row's ``most`` nearest others: no number after all numbers, null after that, ties by item."""
+        order = np.lexsort((other, np.where(null, 0.0, d), null, me))
+        me = me[order]
+        begin = np.flatnonzero(np.append(True, me[1:] != me[:-1])[: len(me)])
+        kept = np.arange(len(me)) - np.repeat(begin, np.diff(np.append(begin, len(me)))) < self.most
+        order = order[kept]
+        return me[kept], other[order], d[order], null[order]
+
+    def reach(self, d: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """How far each row's ``most``-th other is, of those that are apart from it; no number counts as endless."""
+        if d.shape[1] <= self.most:
+            return np.full(len(d), np.inf)
+        return np.partition(np.where(apart, d, np.inf), self.most - 1, axis=1)[:, self.most - 1]
+
+    def among(self, me: np.ndarray, other: np.ndarray) -> Iterator[Pairs]:
+        """Each row's nearest of the others, from all distances between them, some rows at a time."""
+        step = max(PAIRS // max(len(other), 1), 1)
+        bounded = bool(self.bounded[me].all() and self.bounded[other].all())
+        for at in range(0, len(me) if len(other) else 0, step):
+            a, b = me[at : at + step, None], other[None, :]
+            d, apart = self.distances(a, b), self.code[a] != self.code[b]
+            if bounded:
+                kept = d <= self.reach(d, apart)[:, None]
+            else:
+                numbers = apart & ~np.isnan(d)  # a row without a place has no distance that is a number
+                kept = ~(d > self.reach(d, numbers)[:, None])
+            kept &= apart
+            i, j = np.divmod(np.flatnonzero(kept), len(other))  # with all ties of the last
+            mine, far = a[i, 0], other[j]
+            yield self.nearest(mine, far, d[i, j], self.lost[mine] | self.lost[far])
+
+    def firsts(self, rows: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
+        """The rows that can be in a list at all: of equal places the first ``most`` items and one, as a row is not its own neighbour."""
+        order = np.lexsort((rows, *axes))
+        rows, axes = rows[order], [v[order] for v in axes]
+        new = np.append(True, np.any([v[1:] != v[:-1] for v in axes], axis=0) if axes else np.zeros(max(len(rows) - 1, 0), bool))[: len(rows)]
+        item = new | np.append(True, self.code[rows[1:]] != self.code[rows[:-1]])[: len(rows)]
+        at, number = np.arange(len(rows)), np.cumsum(item)
+        begin = np.maximum.accumulate(np.where(item, at, 0))
+        first = np.maximum.accumulate(np.where(new, number, 0))
+        return rows[(number - first <= self.most) & (at - begin < self.most)]
+
+    def in_leaves(self, rows: np.ndarray) -> Iterator[Pairs]:
+        """Each row's nearest in a large group: leaves of near rows meet only the leaves that can hold a nearer row."""
+        bounded, lost = rows[self.bounded[rows]], rows[self.lost[rows]]
+        odd = rows[~self.bounded[rows] & ~self.lost[rows]]
+        held = np.zeros(len(self.code), bool)
+        held[self.firsts(bounded, [v[bounded] for v in self.x])] = True
+        beside = np.append(odd, self.firsts(lost, []))  # no place bounds these
+        yield from self.among(lost, self.firsts(rows, []))
+        yield from self.among(odd, np.append(np.flatnonzero(held), beside))
+        leaves = self.leaves(bounded)
+        if not leaves:
+            return
+        starts, flat = np.cumsum([0, *map(len, leaves[:-1])]), np.concatenate(leaves)
+        boxes = []
+        for v in self.x:
+            low, high = (np.where(held[flat], v[flat], end) for end in (np.inf, -np.inf))
+            boxes.append((np.minimum.reduceat(v[flat], starts), np.maximum.reduceat(v[flat], starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
+        inside = [leaf[held[leaf]] for leaf in leaves]
+        sizes, enough = np.array(list(map(len, inside))), 2 * max(LEAF, self.most)
+        for k, leaf in enumerate(leaves):
+            apart = sum(np.square(np.maximum(np.maximum(low - ends[k], begins[k] - high), 0)) for begins, ends, low, high in boxes)
+            order = np.argsort(apart, kind="stable")
+            first = order[: int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1]
+            some = np.concatenate([inside[i] for i in first])
+            reach = self.reach(self.distances(leaf[:, None], some), self.code[leaf[:, None]] != self.code[some]).max()
+            yield from self.among(leaf, np.concatenate([*(inside[i] for i in np.flatnonzero(apart <= reach)), beside]))
+
+    def leaves(self, rows: np.ndarray) -> list[np.ndarray]:
+        """The rows cut in halves along their widest axis until they fit a leaf."""
+        out, left = [], [rows] if len(rows) else []
+        while left:
+            part = left.pop()
+            if len(part) <= LEAF:
+                out.append(part)
+                continue
+            widest = max((v[part] for v in self.x), key=np.ptp)
+            order, half = np.argpartition(widest, len(part) // 2), len(part) // 2
+            left += [part[order[:half]], part[order[half:]]]
+        return out
+
+    def pairs(self, starts: np.ndarray, n: np.ndarray) -> Iterator[Pairs]:
+        """The nearest of all rows: small groups together, the others one by one. Rows without item are left out."""
+        none = np.zeros(0, np.int64)
+        yield none, none, none.astype(float), none.astype(bool)
+        small = np.flatnonzero(n <= SMALL)
+        cost, at = np.cumsum(n[small] ** 2), 0
+        while at < len(small):
+            end = max(int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+            g = small[at:end]
+            size = np.repeat(n[g], n[g])  # a row's group
+            rows = np.arange(len(size)) + np.repeat(starts[g] - np.cumsum(n[g]) + n[g], n[g])
+            me = np.repeat(rows, size)
+            other = np.arange(len(me)) - np.repeat(np.cumsum(size) - size - np.repeat(starts[g], n[g]), size)
+            fine = (self.code[me] != self.code[other]) & (self.code[me] >= 0) & (self.code[other] >= 0)
+            me, other = me[fine], other[fine]
+            yield self.nearest(me, other, self.distances(me, other), self.lost[me] | self.lost[other])
+            at = end
+        for g in np.flatnonzero(n > SMALL):
+            rows = np.arange(starts[g], starts[g] + n[g])
+            rows = rows[self.code[rows] >= 0]
+            yield from self.among(rows, rows) if len(rows) <= LARGE else self.in_leaves(rows)
 
 
 def neighbour_lists(rows: DataFrame, group: list[str], item: str, axes: list[str], label: str, most: int) -> DataFrame:
     """(group, item, y, n, near): the ``most`` nearest others of each row by squared distance, ties by item, nearest first.
 
-    Groups must be thinned to a bounded depth: each row meets its group's rows in numpy, some groups at a time, and its
-    list is cut to ``most`` at once. A row without item is in no list and has none; a distance of null comes first.
+    All rows of a group are compared, in numpy: up to ``LARGE`` rows with each other, in larger groups with those of the
+    leaves that can hold a nearer row, so time does not follow a large group's square. An item names one row of its group.
+    A row without item is in no list and has none; a distance of null comes last. A group's rows stay together.
     """
     plain = rows.select(*group, F.col(item).alias("item"), F.col(label).cast("int").alias("y"), *[F.col(a).cast("double").alias(f"_x{k}") for k, a in enumerate(axes)])
     keys = plain.select(*group, "item", "y").schema
@@ -34,33 +156,14 @@ def neighbour_lists(rows: DataFrame, group: list[str], item: str, axes: list[str
     def lists(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         n = np.diff(np.append(starts, b.num_rows))
         x = [b.column(f"_x{k}").to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(axes))]
-        lost = np.zeros(b.num_rows, bool)  # rows without a place have a distance of null, which comes first
+        lost = np.zeros(b.num_rows, bool)
         for k in range(len(axes)):
             lost |= b.column(f"_x{k}").is_null().to_numpy(zero_copy_only=False)
         code = b.column("item").dictionary_encode().indices.fill_null(-1).to_numpy()
-        parts, distances, unknown, sizes, at = [], [], [], [], 0
-        cost = np.cumsum(n * n)
-        while at < len(n):
-            end = max(int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")), at + 1)
-            size = np.repeat(n[at:end], n[at:end])  # a row's group
-            me = np.repeat(np.arange(starts[at], starts[at] + len(size)), size)
-            other = np.arange(len(me)) - np.repeat(np.cumsum(size) - size - np.repeat(starts[at:end], n[at:end]), size)
-            fine = (code[me] != code[other]) & (code[me] >= 0) & (code[other] >= 0)
-            me, other = me[fine], other[fine]
-            d = sum(((v[other] - v[me]) * (v[other] - v[me]) for v in x), np.zeros(len(me)))
-            null = lost[me] | lost[other]
-            order = np.lexsort((other, np.where(null, 0.0, d), ~null, me))  # rows are sorted by item inside a group
-            me, other, d, null = me[order], other[order], d[order], null[order]
-            begin = np.flatnonzero(np.append(True, me[1:] != me[:-1])[: len(me)])
-            place = np.arange(len(me)) - np.repeat(begin, np.diff(np.append(begin, len(me))))
-            kept = place < most
-            parts.append(other[kept])
-            distances.append(d[kept])
-            unknown.append(null[kept])
-            sizes.append(np.bincount(me[kept] - starts[at], minlength=len(size)))
-            at = end
-        taken, ends = pa.array(np.concatenate(parts)), np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
-        held = pa.StructArray.from_arrays([pa.array(np.concatenate(distances), mask=np.concatenate(unknown)), b.column("item").take(taken), b.column("y").take(taken)], ["d", "i", "y"])
+        me, other, d, null = (np.concatenate(v) for v in zip(*_Places(x, code, lost, most).pairs(starts, n), strict=True))
+        order = np.argsort(me, kind="stable")
+        taken, ends = pa.array(other[order]), np.append(0, np.cumsum(np.bincount(me, minlength=b.num_rows))).astype(np.int32)
+        held = pa.StructArray.from_arrays([pa.array(d[order], mask=null[order]), b.column("item").take(taken), b.column("y").take(taken)], ["d", "i", "y"])
         columns = [*(b.column(c) for c in keys.names), pa.array(np.repeat(n, n).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), held)]
         return pa.RecordBatch.from_arrays(columns, [*keys.names, "n", "near"])
 
@@ -69,39 +172,75 @@ def neighbour_lists(rows: DataFrame, group: list[str], item: str, axes: list[str
     return by_run(along, group, lists, schema)
 
 
-def mutual_edges(lists: DataFrame, group: list[str]) -> DataFrame:
-    """(group, a, b, ya, yb, rank): pairs a < b that hold each other; they are mutual neighbours for every k from ``rank`` on."""
-    one = lists.select(*group, "item", "y", F.posexplode("near").alias("at", "o"))
-    one = one.select(*group, "item", "y", F.col("o.i").alias("other"), F.col("o.y").alias("yo"), (F.col("at") + 1).alias("rank"))
-    low, high = F.least("item", "other"), F.greatest("item", "other")
-    ends = one.withColumns({"a": low, "b": high, "ya": F.when(F.col("item") < F.col("other"), F.col("y")).otherwise(F.col("yo")), "yb": F.when(F.col("item") < F.col("other"), F.col("yo")).otherwise(F.col("y"))})
-    both = ends.groupBy(*group, "a", "b", "ya", "yb").agg(F.count(F.lit(1)).alias("_n"), F.max("rank").alias("rank"))
-    return both.where("_n = 2").drop("_n")
+def _mutual(b: pa.RecordBatch, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, rank): pairs a < b of rows that hold each other; they are mutual neighbours for every k from ``rank`` on."""
+    near, item = b.column("near"), b.column("item")
+    sizes = pc.list_value_length(near).fill_null(0).to_numpy(zero_copy_only=False)
+    code = pa.concat_arrays([item, near.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    span = int(code.max(initial=0)) + 1
+    me = np.repeat(np.arange(len(run)), sizes)
+    rank = np.arange(len(me)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    named = np.flatnonzero(code[: len(run)] >= 0)
+    named = named[np.argsort(run[named] * span + code[named], kind="stable")]
+    other = named[np.searchsorted(run[named] * span + code[named], run[me] * span + code[len(run) :])] if len(me) else me
+    key = np.minimum(me, other) * len(run) + np.maximum(me, other)
+    order = np.argsort(key, kind="stable")
+    key, rank = key[order], rank[order]
+    both = np.flatnonzero(key[1:] == key[:-1])
+    return key[both] // len(run), key[both] % len(run), np.maximum(rank[both], rank[both + 1])
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's component: roots are hung below the least root they meet, then paths are cut short."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def mutual_statistics(lists: DataFrame, group: list[str], ks: list[int]) -> DataFrame:
     """(group, k, n, edges, homophily, isolated, components) of the mutual k-nearest-neighbour graph, for k below the group's rows.
 
     Homophily is the share of edges between equal labels, adjusted for chance (null without edges or with one label).
-    Components are joined edge by edge over a group's bounded rows. The lists are saved, as rows and edges are both made of them.
+    ``lists`` are those of ``neighbour_lists``, whose groups lie together, so that they are not moved again. A row without
+    item is in no component.
     """
-    lists = saved(lists, "neighbour-lists")
-    nodes = lists.groupBy(*group).agg(F.first("n").alias("n"), F.avg("y").alias("_p"), F.array_sort(F.collect_list("item")).alias("_items"))
-    asked = nodes.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("k < n")
-    edges = mutual_edges(lists, group).groupBy(*group).agg(F.collect_list(F.struct("rank", "a", "b", (F.col("ya") == F.col("yb")).alias("same"))).alias("_edges"))
-    keys = [F.col(g).alias(f"_e_{g}") for g in group]
-    edges = edges.select(*keys, "_edges")
-    on = F.lit(True)
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"_e_{g}"))
-    j = asked.join(edges, on, "left").withColumn("_mine", F.filter(F.coalesce("_edges", F.array().cast(edges.schema["_edges"].dataType)), lambda e: e["rank"] <= F.col("k")))
-    count = F.size("_mine")
-    share = F.size(F.filter("_mine", lambda e: e["same"])) / F.nullif(count, F.lit(0))
-    chance = F.col("_p") * F.col("_p") + (1 - F.col("_p")) * (1 - F.col("_p"))
-    touched = F.size(F.array_distinct(F.concat(F.transform("_mine", lambda e: e["a"]), F.transform("_mine", lambda e: e["b"]))))
-    ends = F.transform("_mine", lambda e: F.struct(F.array_position("_items", e["a"]).cast("int").alias("a"), F.array_position("_items", e["b"]).cast("int").alias("b")))
-    labels = F.aggregate(ends, F.sequence(F.lit(1), F.col("n")), lambda of, e: F.transform(of, lambda x: F.when(x == F.element_at(of, e["b"]), F.element_at(of, e["a"])).otherwise(x)))
-    return j.select(
-        *group, "k", "n", count.alias("edges"), ((share - chance) / F.nullif(1 - chance, F.lit(0.0))).alias("homophily"),
-        ((F.col("n") - touched) / F.col("n")).alias("isolated"), F.size(F.array_distinct(labels)).alias("components"),
-    )
+    kinds = lists.select(*group).schema
+
+    def made(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        n, groups = np.diff(np.append(starts, b.num_rows)), len(starts)
+        run = np.repeat(np.arange(groups), n)
+        known = b.column("y").is_valid().to_numpy(zero_copy_only=False)
+        y = b.column("y").fill_null(0).to_numpy().astype(np.float64)
+        named = b.column("item").is_valid().to_numpy(zero_copy_only=False)
+        one, two, rank = _mutual(b, run)
+        alike = known[one] & known[two] & (y[one] == y[two])
+        out = []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.bincount(run, y * known, groups) / np.bincount(run, known, groups)
+            chance = p * p + (1 - p) * (1 - p)
+            for k in ks:
+                mine = rank <= k
+                c, d = one[mine], two[mine]
+                edges = np.bincount(run[c], minlength=groups)
+                share = np.bincount(run[c], alike[mine], groups) / edges
+                touched = np.zeros(len(run), bool)
+                touched[c] = touched[d] = True
+                alone = n - np.bincount(run[touched], minlength=groups)
+                heads = np.bincount(run[(_roots(len(run), c, d) == np.arange(len(run))) & named], minlength=groups)
+                asked = np.flatnonzero(n > k)
+                out.append((asked, np.full(len(asked), k), n[asked], edges[asked], ((share - chance) / (1 - chance))[asked], (alone / n)[asked], heads[asked]))
+        at, k, size, edges, homophily, isolated, components = (np.concatenate(v) for v in zip(*out, strict=True))
+        whole = [pa.array(v.astype(np.int32)) for v in (k, size, edges)]
+        columns = [*(b.column(g).take(pa.array(starts[at])) for g in group), *whole, pa.array(homophily, mask=~np.isfinite(homophily)), pa.array(isolated), pa.array(components.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, [*group, "k", "n", "edges", "homophily", "isolated", "components"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    held = lists.select(*group, "item", "y", F.col("near.i").alias("near"))
+    return by_run(held, group, made, f"{schema}, k int, n int, edges int, homophily double, isolated double, components int")

@@ -90,7 +90,7 @@ _KS = [3, 5, 10]
 
 
 @query(f"""with t as (select l_suppkey g, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 i, min(cast(round(l_quantity) as bigint)) x, min(cast(round(l_extendedprice / 1000) as bigint)) z, min(case when l_returnflag = 'R' then 1 else 0 end) y from lineitem group by 1, 2),
-r as (select * from t qualify row_number() over (partition by g order by {_h("knn", "g", "i")}, i) <= 60),
+r as (select * from t),
 n as (select a.g, a.i a, b.i b, a.y ya, b.y yb, row_number() over (partition by a.g, a.i order by (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z), b.i) k from r a join r b on a.g = b.g and a.i <> b.i qualify k <= 10),
 m as (select p.g, p.a, p.b, p.ya, p.yb, greatest(p.k, q.k) rank from n p join n q on p.g = q.g and p.a = q.b and p.b = q.a where p.a < p.b),
 v as (select g, count(*) n, avg(y) p from r group by g), ks as (select g, n, p, unnest([3, 5, 10]) k from v),
@@ -104,9 +104,9 @@ def mutual_neighbours(spark, d):
     li = table(spark, d, "lineitem")
     key = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100
     t = li.groupBy(F.col("l_suppkey").alias("g"), key.alias("i")).agg(
-        F.min(F.round("l_quantity").cast("long")).alias("x"), F.min(F.round(F.col("l_extendedprice") / 1000).cast("long")).alias("z"), F.min((F.col("l_returnflag") == "R").cast("int")).alias("y")
+        F.min(F.round("l_quantity").cast("long")).alias("x"), F.min(F.round(F.col("l_extendedprice") / 1000).cast("long")).alias("z"), F.min(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y")
     )
-    lists = N.neighbour_lists(N.thinned(t, ["g"], ["i"], 60, "knn"), ["g"], "i", ["x", "z"], "y", max(_KS))
+    lists = N.neighbour_lists(t.where("g is not null"), ["g"], "i", ["x", "z"], "y", max(_KS))
     return rounded(N.mutual_statistics(lists, ["g"], _KS), "homophily", "isolated")
 
 
