@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .runs import by_run
 
 #: Pairs of rows whose distances are in memory together; a row meets at least all that may be near it.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 #: Groups of at most so many rows are taken together; of more than so many rows are cut into leaves; rows of a leaf.
-SMALL, LARGE, LEAF = 32, 1024, 128
+SMALL, LARGE, LEAF = 32, 1024, 64
 
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -24,8 +24,16 @@ class _Places:
     """A batch's rows, sorted by item inside a group: places on the axes, items as codes (-1: none), rows without a place."""
 
     def __init__(self, x: list[np.ndarray], code: np.ndarray, lost: np.ndarray, most: int):
-        self.x, self.code, self.lost, self.most = x, code, lost, most
+        self.code, self.lost, self.most = code, lost, most
         self.bounded = ~lost & np.isfinite(np.column_stack(x)).all(1)
+        self.x = self.short(x)
+
+    def short(self, x: list[np.ndarray]) -> list[np.ndarray]:
+        """The axes in half the bytes where their squared distances are whole numbers that these hold exactly."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            moved = [v - v[~self.lost].min(initial=np.inf) for v in x]
+            whole = all((v[~self.lost] % 1 == 0).all() for v in x) and sum(v[~self.lost].max(initial=0) ** 2 for v in moved) <= 1 << 24
+            return [v.astype(np.float32) for v in moved] if whole else x
 
     def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = None
@@ -142,6 +150,25 @@ class _Places:
             yield from self.among(rows, rows) if len(rows) <= LARGE else self.in_leaves(rows)
 
 
+def _along(rows: DataFrame, group: list[str], item: str, axes: list[str], label: str) -> DataFrame:
+    """(group, item, y and the axes), a group's rows together, in the order of their items."""
+    plain = rows.select(*group, F.col(item).alias("item"), F.col(label).cast("int").alias("y"), *[F.col(a).cast("double").alias(f"_x{k}") for k, a in enumerate(axes)])
+    return plain.repartition(*group).sortWithinPartitions(*group, "item")
+
+
+def _nearest(b: pa.RecordBatch, starts: np.ndarray, axes: int, most: int) -> Pairs:
+    """The pairs of each row of the batch and its nearest others, in the order of rows and nearest first."""
+    x = [b.column(f"_x{k}").to_numpy(zero_copy_only=False).astype(np.float64) for k in range(axes)]
+    lost = np.zeros(b.num_rows, bool)
+    for k in range(axes):
+        lost |= b.column(f"_x{k}").is_null().to_numpy(zero_copy_only=False)
+    code = b.column("item").dictionary_encode().indices.fill_null(-1).to_numpy()
+    n = np.diff(np.append(starts, b.num_rows))
+    me, other, d, null = (np.concatenate(v) for v in zip(*_Places(x, code, lost, most).pairs(starts, n), strict=True))
+    order = np.argsort(me, kind="stable")
+    return me[order], other[order], d[order].astype(np.float64), null[order]
+
+
 def neighbour_lists(rows: DataFrame, group: list[str], item: str, axes: list[str], label: str, most: int) -> DataFrame:
     """(group, item, y, n, near): the ``most`` nearest others of each row by squared distance, ties by item, nearest first.
 
@@ -149,45 +176,42 @@ def neighbour_lists(rows: DataFrame, group: list[str], item: str, axes: list[str
     leaves that can hold a nearer row, so time does not follow a large group's square. An item names one row of its group.
     A row without item is in no list and has none; a distance of null comes last. A group's rows stay together.
     """
-    plain = rows.select(*group, F.col(item).alias("item"), F.col(label).cast("int").alias("y"), *[F.col(a).cast("double").alias(f"_x{k}") for k, a in enumerate(axes)])
-    keys = plain.select(*group, "item", "y").schema
+    along = _along(rows, group, item, axes, label)
+    keys = along.select(*group, "item", "y").schema
     near = f"array<struct<d: double, i: {keys['item'].dataType.simpleString()}, y: int>>"
 
     def lists(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         n = np.diff(np.append(starts, b.num_rows))
-        x = [b.column(f"_x{k}").to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(axes))]
-        lost = np.zeros(b.num_rows, bool)
-        for k in range(len(axes)):
-            lost |= b.column(f"_x{k}").is_null().to_numpy(zero_copy_only=False)
-        code = b.column("item").dictionary_encode().indices.fill_null(-1).to_numpy()
-        me, other, d, null = (np.concatenate(v) for v in zip(*_Places(x, code, lost, most).pairs(starts, n), strict=True))
-        order = np.argsort(me, kind="stable")
-        taken, ends = pa.array(other[order]), np.append(0, np.cumsum(np.bincount(me, minlength=b.num_rows))).astype(np.int32)
-        held = pa.StructArray.from_arrays([pa.array(d[order], mask=null[order]), b.column("item").take(taken), b.column("y").take(taken)], ["d", "i", "y"])
+        me, other, d, null = _nearest(b, starts, len(axes), most)
+        taken, ends = pa.array(other), np.append(0, np.cumsum(np.bincount(me, minlength=b.num_rows))).astype(np.int32)
+        held = pa.StructArray.from_arrays([pa.array(d, mask=null), b.column("item").take(taken), b.column("y").take(taken)], ["d", "i", "y"])
         columns = [*(b.column(c) for c in keys.names), pa.array(np.repeat(n, n).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), held)]
         return pa.RecordBatch.from_arrays(columns, [*keys.names, "n", "near"])
 
-    along = plain.repartition(*group).sortWithinPartitions(*group, "item")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["n int", f"near {near}"])
     return by_run(along, group, lists, schema)
 
 
-def _mutual(b: pa.RecordBatch, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, rank): pairs a < b of rows that hold each other; they are mutual neighbours for every k from ``rank`` on."""
+def _listed(b: pa.RecordBatch, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the rows that their lists name."""
     near, item = b.column("near"), b.column("item")
-    sizes = pc.list_value_length(near).fill_null(0).to_numpy(zero_copy_only=False)
+    me = np.repeat(np.arange(len(run)), pc.list_value_length(near).fill_null(0).to_numpy(zero_copy_only=False))
     code = pa.concat_arrays([item, near.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
     span = int(code.max(initial=0)) + 1
-    me = np.repeat(np.arange(len(run)), sizes)
-    rank = np.arange(len(me)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
     named = np.flatnonzero(code[: len(run)] >= 0)
     named = named[np.argsort(run[named] * span + code[named], kind="stable")]
-    other = named[np.searchsorted(run[named] * span + code[named], run[me] * span + code[len(run) :])] if len(me) else me
-    key = np.minimum(me, other) * len(run) + np.maximum(me, other)
+    return me, named[np.searchsorted(run[named] * span + code[named], run[me] * span + code[len(run) :])] if len(me) else me
+
+
+def _mutual(rows: int, me: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, rank): pairs a < b of rows that hold each other; they are mutual neighbours for every k from ``rank`` on."""
+    sizes = np.bincount(me, minlength=rows)
+    rank = np.arange(len(me)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    key = np.minimum(me, other) * rows + np.maximum(me, other)
     order = np.argsort(key, kind="stable")
     key, rank = key[order], rank[order]
     both = np.flatnonzero(key[1:] == key[:-1])
-    return key[both] // len(run), key[both] % len(run), np.maximum(rank[both], rank[both + 1])
+    return key[both] // rows, key[both] % rows, np.maximum(rank[both], rank[both + 1])
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,6 +228,43 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+_STATISTICS = "k int, n int, edges int, homophily double, isolated double, components int"
+
+
+def _statistics(b: pa.RecordBatch, starts: np.ndarray, group: list[str], ks: list[int], me: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """The statistics of each group and k, from rows and their nearest others, nearest first."""
+    n, groups = np.diff(np.append(starts, b.num_rows)), len(starts)
+    run = np.repeat(np.arange(groups), n)
+    known = b.column("y").is_valid().to_numpy(zero_copy_only=False)
+    y = b.column("y").fill_null(0).to_numpy().astype(np.float64)
+    named = b.column("item").is_valid().to_numpy(zero_copy_only=False)
+    one, two, rank = _mutual(len(run), me, other)
+    alike = known[one] & known[two] & (y[one] == y[two])
+    out = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.bincount(run, y * known, groups) / np.bincount(run, known, groups)
+        chance = p * p + (1 - p) * (1 - p)
+        for k in ks:
+            mine = rank <= k
+            c, d = one[mine], two[mine]
+            edges = np.bincount(run[c], minlength=groups)
+            share = np.bincount(run[c], alike[mine], groups) / edges
+            touched = np.zeros(len(run), bool)
+            touched[c] = touched[d] = True
+            alone = n - np.bincount(run[touched], minlength=groups)
+            heads = np.bincount(run[(_roots(len(run), c, d) == np.arange(len(run))) & named], minlength=groups)
+            asked = np.flatnonzero(n > k)
+            out.append((asked, np.full(len(asked), k), n[asked], edges[asked], ((share - chance) / (1 - chance))[asked], (alone / n)[asked], heads[asked]))
+    at, k, size, edges, homophily, isolated, components = (np.concatenate(v) for v in zip(*out, strict=True))
+    whole = [pa.array(v.astype(np.int32)) for v in (k, size, edges)]
+    columns = [*(b.column(g).take(pa.array(starts[at])) for g in group), *whole, pa.array(homophily, mask=~np.isfinite(homophily)), pa.array(isolated), pa.array(components.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, [*group, "k", "n", "edges", "homophily", "isolated", "components"])
+
+
+def _kinds(rows: DataFrame, group: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
+
+
 def mutual_statistics(lists: DataFrame, group: list[str], ks: list[int]) -> DataFrame:
     """(group, k, n, edges, homophily, isolated, components) of the mutual k-nearest-neighbour graph, for k below the group's rows.
 
@@ -211,36 +272,19 @@ def mutual_statistics(lists: DataFrame, group: list[str], ks: list[int]) -> Data
     ``lists`` are those of ``neighbour_lists``, whose groups lie together, so that they are not moved again. A row without
     item is in no component.
     """
-    kinds = lists.select(*group).schema
 
     def made(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        n, groups = np.diff(np.append(starts, b.num_rows)), len(starts)
-        run = np.repeat(np.arange(groups), n)
-        known = b.column("y").is_valid().to_numpy(zero_copy_only=False)
-        y = b.column("y").fill_null(0).to_numpy().astype(np.float64)
-        named = b.column("item").is_valid().to_numpy(zero_copy_only=False)
-        one, two, rank = _mutual(b, run)
-        alike = known[one] & known[two] & (y[one] == y[two])
-        out = []
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.bincount(run, y * known, groups) / np.bincount(run, known, groups)
-            chance = p * p + (1 - p) * (1 - p)
-            for k in ks:
-                mine = rank <= k
-                c, d = one[mine], two[mine]
-                edges = np.bincount(run[c], minlength=groups)
-                share = np.bincount(run[c], alike[mine], groups) / edges
-                touched = np.zeros(len(run), bool)
-                touched[c] = touched[d] = True
-                alone = n - np.bincount(run[touched], minlength=groups)
-                heads = np.bincount(run[(_roots(len(run), c, d) == np.arange(len(run))) & named], minlength=groups)
-                asked = np.flatnonzero(n > k)
-                out.append((asked, np.full(len(asked), k), n[asked], edges[asked], ((share - chance) / (1 - chance))[asked], (alone / n)[asked], heads[asked]))
-        at, k, size, edges, homophily, isolated, components = (np.concatenate(v) for v in zip(*out, strict=True))
-        whole = [pa.array(v.astype(np.int32)) for v in (k, size, edges)]
-        columns = [*(b.column(g).take(pa.array(starts[at])) for g in group), *whole, pa.array(homophily, mask=~np.isfinite(homophily)), pa.array(isolated), pa.array(components.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, [*group, "k", "n", "edges", "homophily", "isolated", "components"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, b.num_rows)))
+        return _statistics(b, starts, group, ks, *_listed(b, run))
+
     held = lists.select(*group, "item", "y", F.col("near.i").alias("near"))
-    return by_run(held, group, made, f"{schema}, k int, n int, edges int, homophily double, isolated double, components int")
+    return by_run(held, group, made, f"{_kinds(lists, group)}, {_STATISTICS}")
+
+
+def mutual_graphs(rows: DataFrame, group: list[str], item: str, axes: list[str], label: str, ks: list[int]) -> DataFrame:
+    """``mutual_statistics`` of the rows' ``neighbour_lists``, without lists between them: a group's lists never leave its batch."""
+
+    def made(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        return _statistics(b, starts, group, ks, *_nearest(b, starts, len(axes), max(ks))[:2])
+
+    return by_run(_along(rows, group, item, axes, label), group, made, f"{_kinds(rows, group)}, {_STATISTICS}")

@@ -106,8 +106,7 @@ def mutual_neighbours(spark, d):
     t = li.groupBy(F.col("l_suppkey").alias("g"), key.alias("i")).agg(
         F.min(F.round("l_quantity").cast("long")).alias("x"), F.min(F.round(F.col("l_extendedprice") / 1000).cast("long")).alias("z"), F.min(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y")
     )
-    lists = N.neighbour_lists(t.where("g is not null"), ["g"], "i", ["x", "z"], "y", max(_KS))
-    return rounded(N.mutual_statistics(lists, ["g"], _KS), "homophily", "isolated")
+    return rounded(N.mutual_graphs(t.where("g is not null"), ["g"], "i", ["x", "z"], "y", _KS), "homophily", "isolated")
 
 
 # --- neighbours by weight, views, resampled bands -------------------------------

@@ -47,11 +47,13 @@ def by_sorting(rows, most):
     return out
 
 
-@pytest.mark.parametrize("odd", [False, True])
-def test_large_groups_are_searched_by_leaves(spark, odd):
+@pytest.mark.parametrize("kind", ["whole", "plain", "odd"])
+def test_large_groups_are_searched_by_leaves(spark, kind):
     rng = np.random.default_rng(5)
     places = [(float(a), float(b)) for a, b in rng.integers(0, 40, (900, 2))] + [(3.0, 3.0)] * 400 + [(float(a), float(b)) for a, b in rng.normal(500, 1, (400, 2))] + [(1e5, -1e5)]
-    places += [(None, 1.0), (2.0, None), (None, None), (float("nan"), 1.0), (float("inf"), 3.0)] * 12 if odd else []
+    if kind == "whole":
+        places = [(float(a), float(b)) for a, b in rng.integers(10**9, 10**9 + 60, (1500, 2))] + [(10.0**9 + 2800, 10.0**9 + 2800), (None, 0.5)]
+    places += [(None, 1.0), (2.0, None), (None, None), (float("nan"), 1.0), (float("inf"), 3.0)] * 12 if kind == "odd" else []
     order = rng.permutation(len(places))
     rows = [(int(i), *places[j], int(i) % 2) for i, j in enumerate(order)]
     assert len(rows) > N.LARGE > 60 and len({r[1:3] for r in rows}) > 1000
@@ -72,3 +74,13 @@ def test_equal_places_and_repeated_items_make_few_candidates():
     me, other, d, _ = (np.concatenate(v) for v in zip(*places.pairs(np.array([0]), np.array([n])), strict=True))
     assert len(me) == 3 * n and not d.any() and (code[me] != code[other]).all()
     assert other[me == 9].tolist() == [0, 1, 2] and other[me == 0].tolist() == [2, 3, 4] and sorted(other[me == n - 1].tolist()) == [n // 2, n // 2 + 1, n // 2 + 2]
+
+
+def test_graphs_made_in_one_pass_are_those_of_the_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, int(i), float(a), None if i % 9 == 0 else float(b), None if i % 13 == 0 else int(i % 2)) for g, n in (("a", 40), (None, 12), ("b", 4), ("c", 1)) for i, (a, b) in enumerate(rng.integers(0, 6, (n, 2)))]
+    df = spark.createDataFrame([*rows, ("b", None, 1.0, 1.0, 0)], "g string, i int, x double, z double, y int").repartition(3)
+    two = N.mutual_statistics(N.neighbour_lists(df, ["g"], "i", ["x", "z"], "y", 5), ["g"], [2, 5])
+    one = N.mutual_graphs(df, ["g"], "i", ["x", "z"], "y", [2, 5])
+    assert one.schema == two.schema and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert {(r.g, r.k) for r in one.collect()} == {("a", 2), ("a", 5), (None, 2), (None, 5), ("b", 2)}
